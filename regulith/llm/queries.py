@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec
+
+from . import bradley_terry, decision_list, language_id, mixing, sentencepiece_codec, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +20,43 @@ def public_model(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    judged = decision_list.judge(docs, decision_list.learn(docs, _table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece_codec.encode_documents(_table(spark, sf_dir, "documents"), public_model())
     return sentencepiece_codec.digests(encoded)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(_table(spark, sf_dir, "pages"))
+
+
+def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bradley_terry.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decision_list": op2_decision_list,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_warc": op5_warc,
+    "op6_bradley_terry": op6_bradley_terry,
+    "op7_rank_profiles": op7_rank_profiles,
+    "op8_systematic_mix": op8_systematic_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.SQL,
+    "op8_systematic_mix": mixing.SQL,
+}
