@@ -52,3 +52,12 @@ def share(key: Column, salt: str = "sample") -> Column:
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+
+
+def keyed(docs: DataFrame, path: str) -> DataFrame:
+    """A written table of (row_id, row): each row whole, under a number of its own.
+
+    Decisions are made on the number, so columns of any name and repeated ids do no harm.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return written(docs.select(F.monotonically_increasing_id().alias("row_id"), whole), path)

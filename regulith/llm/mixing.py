@@ -58,10 +58,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return stepped.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target and copies (0, 1 or more)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", keep: tuple[str, ...] = (), **how) -> DataFrame:
+    """Per row of ``docs``: doc_id, columns ``keep``, source, size, source_size, target and copies (0, 1 or more)."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+    base = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
     digits = F.col("size").cast("string")
     rows = written(
         base.withColumn("band", F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, 2))).withColumn(
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     offset = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     upto = (F.col("before") + F.col("place")).cast("double")
     copies = F.floor(each * upto + offset) - F.floor(each * (upto - 1.0) + offset)
-    return at.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return at.select("doc_id", *keep, "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def report(mixed: DataFrame) -> DataFrame:

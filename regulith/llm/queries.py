@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-from . import bradley_terry, decision_list, language_id, mixing, sentencepiece_codec, simhash, top_inner, url_filter, warc
+from . import bradley_terry, decision_list, language_id, mixing, ngram_lm, sentencepiece_codec, simhash, top_inner, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +64,10 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_link_graph": op1_link_graph,
     "op2_decision_list": op2_decision_list,
@@ -75,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_rank_profiles": op7_rank_profiles,
     "op8_systematic_mix": op8_systematic_mix,
     "op9_simhash_trie": op9_simhash_trie,
+    "op10_elias_fano_lm": op10_elias_fano_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
