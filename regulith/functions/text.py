@@ -106,12 +106,16 @@ def jargon_found(text: Column) -> Column:
     return F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rx.fold(jargon_pattern(t))), F.lit(0)) for t in rules.JARGON)))
 
 
+def _always(value: str):
+    return lambda _: F.lit(value)
+
+
 def jargon_changes(text: Column) -> Column:
     """array<struct<before, after>>: the different matches of each term, sorted, and what takes their place."""
     each = []
     for term, plain in rules.JARGON.items():
         found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rx.fold(jargon_pattern(term))), F.lit(0))))
-        each.append(F.transform(found, lambda m, plain=plain: F.struct(m.alias("before"), F.lit(plain or "(removed)").alias("after"))))
+        each.append(F.arrays_zip(found.alias("before"), F.transform(found, _always(plain or "(removed)")).alias("after")))
     return F.when(F.rlike(text, F.lit(rx.fold(any_jargon()))), F.flatten(F.array(*each))).otherwise(F.array().cast("array<struct<before: string, after: string>>"))
 
 

@@ -6,7 +6,7 @@ what it is, and a deleted one has none. Blobs of results are JSON text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,7 +114,7 @@ def from_json(texts: DataFrame, json_col: str = "json") -> DataFrame:
     return texts.select(parsed.alias("p")).select("p.*").withColumns({"id": new_id(), "created_at": iso_now(), "updated_at": iso_now()})
 
 
-def replayed(events: DataFrame, key: str, order: list[str], event: Column) -> DataFrame:
+def replayed(events: DataFrame, key: str, event: Column) -> DataFrame:
     """key, stage, scans, comparisons after all of a project's events.
 
     Stages only move on, so what counts is whether there was a comparison, or else a scan: sums, no replay.
@@ -124,6 +124,6 @@ def replayed(events: DataFrame, key: str, order: list[str], event: Column) -> Da
     return per.withColumn("stage", F.when(F.col("comparisons") > 0, "analyzed").when(F.col("scans") > 0, "scanned").otherwise("created"))
 
 
-def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last event of each key by a window; ``upsert`` does the same by a sum."""
-    return events.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))).where("__r = 1").drop("__r")
+def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The newest row of each key, found by partial sums rather than a window."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
