@@ -103,7 +103,8 @@ def without_jargon(text: Column) -> Column:
 
 def jargon_found(text: Column) -> Column:
     """Every match of every term, in the order of the terms."""
-    return F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rx.fold(jargon_pattern(t))), F.lit(0)) for t in rules.JARGON)))
+    each = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rx.fold(jargon_pattern(t))), F.lit(0)) for t in rules.JARGON)))
+    return F.when(F.rlike(text, F.lit(rx.fold(any_jargon()))), each).otherwise(F.array().cast("array<string>"))
 
 
 def _always(value: str):

@@ -41,49 +41,109 @@ class ScanConfig:
     least_words: int = 30
 
 
+CATALOG = STATUTORY + TAXONOMY
+
+
+def needed(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds, lower-cased; "" if none is sure."""
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|":
+            return ""
+        if c in "([\\.":
+            runs.append(run)
+            run = ""
+            if c == "(":
+                depth = 1
+                while depth:
+                    i += 1
+                    depth += (pattern[i] == "(") - (pattern[i] == ")") if pattern[i - 1] != "\\" else 0
+            elif c == "[":
+                i = pattern.index("]", i)
+            elif c == "\\":
+                i += 1
+        elif c in "?*":
+            runs.append(run[:-1])
+            run = ""
+        elif c == "+":
+            runs.append(run)
+            run = ""
+        elif c == "{":
+            runs.append(run[:-1])
+            run, i = "", pattern.index("}", i)
+        else:
+            run += c
+        i += 1
+    return max([*runs, run], key=len).lower()
+
+
+def folded(body: Column) -> Column:
+    """Lower case, with the letters that equal s, k and i when case is ignored as these: what ``needed`` is looked for in."""
+    return F.lower(F.translate(body, "ſ\u212aİı", "skii"))
+
+
 def _of_rule(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), number + 1)
 
 
-def rule_matches(split: DataFrame, catalog: tuple[Rule, ...]) -> DataFrame:
-    """``split`` with one row for each match: rule_ord, match_ord, start, matched, group, burden_type.
+def rule_matches(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, Column] | None = None) -> DataFrame:
+    """``split`` with one row for each match: number (of the rule), match_ord, start, matched, group, burden_type.
 
-    Which rules match is decided with literal patterns, compiled once a task; offsets are looked
-    for where one did. Rows are multiplied in place.
+    A rule's pattern is tried where the plain text that it needs stands; which rules match is
+    decided with literal patterns, compiled once a task, and offsets are looked for where one did.
+    Outer explodes, as for others Spark would work out an array once more to see if it is empty.
+    Rows are multiplied in place. With ``gate`` = (n, condition), rules from the n-th on are tried
+    only where the condition holds, and give just the first match of each type.
     """
-    hits = F.array_compact(F.array(*(F.when(F.rlike("text", F.lit(rx.fold(r.pattern))), F.lit(i)) for i, r in enumerate(catalog))))
-    some = split.withColumn("rule_ord", F.explode(hits))
-    pattern = _of_rule([rx.fold(r.pattern) for r in catalog], F.col("rule_ord"))
-    each = some.select("*", F.posexplode(rx.matches(F.col("text"), pattern)).alias("match_ord", "__m"))
+    first, condition = gate or (len(catalog), F.lit(True))
+    tried = []
+    for i, r in enumerate(catalog):
+        here = F.contains("__folded", F.lit(needed(r.pattern))) & F.rlike("text", F.lit(rx.fold(r.pattern)))
+        tried.append(F.when(here & condition if i >= first else here, F.lit(i)))
+    some = split.withColumn("__folded", folded(F.col("text"))).withColumn("__hits", F.array_compact(F.array(*tried))).drop("__folded")
+    if gate is not None:
+        kinds = F.array(*(F.lit(r.burden_type) for r in catalog))
+        kind = lambda h: F.element_at(kinds, h + 1)
+        again = lambda h, i: F.exists(F.slice("__hits", 1, i), lambda g: (g >= first) & (kind(g) == kind(h)))
+        some = some.withColumn("__hits", F.filter("__hits", lambda h, i: (h < first) | ~again(h, i)))
+    each = some.withColumn("number", F.explode_outer("__hits")).drop("__hits").where(F.col("number").isNotNull())
+    pattern = _of_rule([rx.fold(r.pattern) for r in catalog], F.col("number"))
+    each = each.select("*", F.posexplode_outer(rx.matches(F.col("text"), pattern)).alias("match_ord", "__m")).where(F.col("match_ord").isNotNull())
+    if gate is not None:
+        each = each.where((F.col("number") < first) | (F.col("match_ord") == 0))
     return each.select(
-        *some.columns, "match_ord", F.col("__m.start").alias("start"), F.col("__m.text").alias("matched"),
-        _of_rule([r.group for r in catalog], F.col("rule_ord")).alias("group"), _of_rule([r.burden_type for r in catalog], F.col("rule_ord")).alias("burden_type"),
+        *[c for c in each.columns if c not in ("match_ord", "__m")], "match_ord", F.col("__m.start").alias("start"), F.col("__m.text").alias("matched"),
+        _of_rule([r.group for r in catalog], F.col("number")).alias("group"), _of_rule([r.burden_type for r in catalog], F.col("number")).alias("burden_type"),
     )
 
 
-def _shaped(found: DataFrame, keys: list[str], source: int, excerpt: Column, rank: Column, explanation: Column) -> DataFrame:
-    none = F.lit(None).cast("string")
-    out = found.withColumn("text_excerpt", excerpt).withColumn("sev_rank", rank.cast("int"))
+def _findings(found: DataFrame, keys: tuple[str, ...], statutory: int) -> DataFrame:
+    """Findings of matches; rules from number ``statutory`` on are the taxonomy's.
+
+    Statutory findings show more round the match, and words there raise their severity.
+    """
+    body, start, size, none = F.col("text"), F.col("start"), F.length("matched"), F.lit(None).cast("string")
+    own = F.col("number") < statutory
+    out = found.withColumn("text_excerpt", F.when(own, rx.excerpt(body, start, size, 150, True)).otherwise(rx.excerpt(body, start, size, 100, False)))
+    typical = text.typical_rank(F.col("burden_type"))
+    out = out.withColumn("sev_rank", F.when(own, text.escalated(typical, F.col("text_excerpt"))).otherwise(typical).cast("int"))
+    said = F.when(own, F.concat(F.lit("Statutory "), F.translate("group", "_", " "), F.lit(" requirement"))).otherwise(F.concat(F.lit("Pattern match: "), F.col("burden_type")))
     return out.select(
-        *keys, "sec_pos", F.lit(source).alias("source_ord"), "rule_ord", "match_ord", "start", "burden_type", text.category(F.col("burden_type")).alias("category"),
-        text.severity_name(F.col("sev_rank")).alias("severity"), "sev_rank", "location", "text_excerpt", explanation.alias("explanation"),
+        *(keys or ("doc_id",)), "sec_pos", (~own).cast("int").alias("source_ord"), F.when(own, F.col("number")).otherwise(F.col("number") - statutory).alias("rule_ord"), "match_ord", "start", "burden_type",
+        text.category(F.col("burden_type")).alias("category"), text.severity_name(F.col("sev_rank")).alias("severity"), "sev_rank", "location", "text_excerpt", said.alias("explanation"),
         none.alias("reform_suggestion"), none.alias("estimated_time_cost"), none.alias("estimated_dollar_cost"), none.alias("affects_population"),
     )
 
 
 def statutory_findings(split: DataFrame, *keys: str) -> DataFrame:
-    """Findings of the statutory rules; words round a match raise its severity."""
-    found = rule_matches(split, STATUTORY)
-    excerpt = rx.excerpt(F.col("text"), F.col("start"), F.length("matched"), 150, True)
-    rank = text.escalated(text.typical_rank(F.col("burden_type")), F.col("text_excerpt"))
-    return _shaped(found, list(keys or ("doc_id",)), 0, excerpt, rank, F.concat(F.lit("Statutory "), F.translate("group", "_", " "), F.lit(" requirement")))
+    """Findings of the statutory rules."""
+    return _findings(rule_matches(split, STATUTORY), keys, len(STATUTORY))
 
 
 def taxonomy_findings(split: DataFrame, *keys: str) -> DataFrame:
     """Findings of the taxonomy's rules, with their types' typical severities."""
-    found = rule_matches(split, TAXONOMY)
-    excerpt = rx.excerpt(F.col("text"), F.col("start"), F.length("matched"), 100, False)
-    return _shaped(found, list(keys or ("doc_id",)), 1, excerpt, text.typical_rank(F.col("burden_type")), F.concat(F.lit("Pattern match: "), F.col("burden_type")))
+    return _findings(rule_matches(split, TAXONOMY), keys, 0)
 
 
 def merged(findings: DataFrame, *keys: str) -> DataFrame:
@@ -98,11 +158,16 @@ def merged(findings: DataFrame, *keys: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, config: ScanConfig = ScanConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Findings of whole documents, filtered by severity and type."""
+    """Findings of whole documents, filtered by severity and type, without a shuffle.
+
+    Findings of patterns have no reform suggestion, so merging those of the taxonomy in a section
+    comes to the first match of each type, which is known where the section is.
+    """
+    if not config.combined:
+        found = statutory_findings(sections.split_sections(docs, id_col, text_col), id_col)
+        return filtered(found, config.min_severity, config.burden_types)
     split = sections.with_eligibility(docs, id_col, text_col, config.least_words, config.max_sections)
-    found = statutory_findings(split, id_col)
-    if config.combined:
-        found = found.unionByName(merged(taxonomy_findings(split.where("eligible"), id_col), id_col, "sec_pos"))
+    found = _findings(rule_matches(split, CATALOG, (len(STATUTORY), F.col("eligible"))), (id_col,), len(STATUTORY))
     return filtered(found, config.min_severity, config.burden_types)
 
 

@@ -28,21 +28,21 @@ def markers(body: Column) -> Column:
 def _cut(marks: Column, body: Column) -> Column:
     """One struct a section. Text before the first marker goes; a first line of under 200 characters becomes the title."""
 
-    def one(mark: Column, i: Column) -> Column:
+    def whole(mark: Column, i: Column) -> Column:
         end = F.coalesce(F.try_element_at(marks, i + 2)["start"], F.length(body))
-        whole = rx.strip(F.substring(body, mark["start"] + 1, end - mark["start"]))
-        line = F.instr(whole, "\n")
-        titled = (line > 0) & (line - 1 < 200)
-        return F.struct(
-            mark["id"].alias("section_id"),
-            F.when(titled, rx.strip(F.substring(whole, F.lit(1), line - 1))).alias("title"),
-            F.when(titled, rx.strip(F.substring(whole, line + 1, F.length(whole)))).otherwise(whole).alias("text"),
-            F.concat(F.lit("§ "), mark["id"]).alias("location"),
-            mark["header"].alias("header"),
-        )
+        return F.struct(mark.alias("mark"), rx.strip(F.substring(body, mark["start"] + 1, end - mark["start"])).alias("whole"))
+
+    def lined(s: Column) -> Column:
+        line = F.instr(s["whole"], "\n")
+        return F.struct(s["mark"].alias("mark"), s["whole"].alias("whole"), F.when((line > 0) & (line - 1 < 200), line).alias("line"))
+
+    def one(s: Column) -> Column:
+        title = F.when(s["line"].isNotNull(), rx.strip(F.substring(s["whole"], F.lit(1), s["line"] - 1)))
+        rest = F.when(s["line"].isNotNull(), rx.strip(F.substring(s["whole"], s["line"] + 1, F.length(s["whole"])))).otherwise(s["whole"])
+        return F.struct(s["mark"]["id"].alias("section_id"), title.alias("title"), rest.alias("text"), F.concat(F.lit("§ "), s["mark"]["id"]).alias("location"), s["mark"]["header"].alias("header"))
 
     alone = F.array(F.struct(F.lit("1").alias("section_id"), F.lit(None).cast("string").alias("title"), rx.strip(body).alias("text"), F.lit("1").alias("location"), F.lit(None).cast("string").alias("header")))
-    return F.when(F.size(marks) == 0, alone).otherwise(F.transform(marks, one))
+    return F.when(F.size(marks) == 0, alone).otherwise(F.transform(F.transform(F.transform(marks, whole), lined), one))
 
 
 def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
@@ -53,7 +53,7 @@ def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     body = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col), *keep, body.alias("__body"))
     marked = base.withColumn("__marks", markers(F.col("__body")))
-    cut = marked.select(id_col, *keep, F.posexplode(_cut(F.col("__marks"), F.col("__body"))).alias("sec_pos", "s"))
+    cut = marked.select(id_col, *keep, F.posexplode_outer(_cut(F.col("__marks"), F.col("__body"))).alias("sec_pos", "s"))
     return cut.select(id_col, *keep, "sec_pos", "s.*")
 
 
@@ -66,7 +66,7 @@ def with_eligibility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # running number of eligible sections, in one pass
     start = F.array(F.lit(0))
     ranks = F.aggregate("w", start, lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + (w > least_words).cast("int")))
-    each = sized.withColumn("r", F.slice(ranks, 2, F.size("w"))).select(id_col, F.posexplode(F.arrays_zip("s", "w", "r")).alias("sec_pos", "z"))
+    each = sized.withColumn("r", F.slice(ranks, 2, F.size("w"))).select(id_col, F.posexplode_outer(F.arrays_zip("s", "w", "r")).alias("sec_pos", "z"))
     flat = each.select(id_col, "sec_pos", "z.s.*", F.col("z.w").alias("words"), F.col("z.r").alias("__rank"))
     return flat.withColumn("eligible", (F.col("words") > least_words) & (F.col("__rank") <= most)).drop("__rank")
 
@@ -75,14 +75,14 @@ def cross_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id, ref_pos, raw_text, section of every cross-reference of the whole text."""
     full = F.lit(rx.fold(rules.CROSS_REFERENCE))
     zipped = F.zip_with(F.regexp_extract_all(text_col, full, F.lit(0)), F.regexp_extract_all(text_col, full, F.lit(1)), lambda raw, s: F.struct(raw.alias("raw_text"), s.alias("section")))
-    return docs.select(F.col(id_col), F.posexplode(zipped).alias("ref_pos", "r")).select(id_col, "ref_pos", "r.*")
+    return docs.select(F.col(id_col), F.posexplode_outer(zipped).alias("ref_pos", "r")).where(F.col("ref_pos").isNotNull()).select(id_col, "ref_pos", "r.*")
 
 
 def attached_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sections with the references whose raw text they contain: id, sec_pos, ref_pos, raw_text. A document's references travel with its sections, so there is no join."""
     refs = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rx.fold(rules.CROSS_REFERENCE)), F.lit(0))
     split = split_sections(docs.withColumn("__refs", refs), id_col, text_col, "__refs")
-    each = split.select(id_col, "sec_pos", "text", F.posexplode("__refs").alias("ref_pos", "raw_text"))
+    each = split.select(id_col, "sec_pos", "text", F.posexplode_outer("__refs").alias("ref_pos", "raw_text"))
     return each.where(F.contains("text", "raw_text")).select(id_col, "sec_pos", "ref_pos", "raw_text")
 
 
@@ -99,16 +99,16 @@ def definitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = F.lit(rx.fold(rules.DEFINITION))
     group = lambda g: F.regexp_extract_all(text_col, full, F.lit(g))
     pairs = F.zip_with(group(1), group(2), lambda t, d: F.struct(F.lower(t).alias("term"), rx.strip(d).alias("definition")))
-    kept = docs.select(F.col(id_col), pairs.alias("p")).where(F.size("p") > 0)
+    kept = docs.select(F.col(id_col), pairs.alias("p"))
     last = F.filter("p", lambda x, i: ~F.exists(F.slice("p", i + 2, F.size("p")), lambda y: y["term"] == x["term"]))
-    return kept.select(id_col, F.inline(last))
+    return kept.select(id_col, F.inline_outer(last)).where(F.col("term").isNotNull())
 
 
 def citations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, raw_text, title, section, subsection of citations of federal codes."""
     full = F.lit(rx.cased(rules.CITATION))
     groups = F.arrays_zip(*(F.regexp_extract_all(text_col, full, F.lit(g)).alias(n) for g, n in enumerate(("raw_text", "title", "section", "subsection"))))
-    return docs.select(F.col(id_col), F.inline(groups).alias("raw_text", "title", "section", "subsection"))
+    return docs.select(F.col(id_col), F.inline_outer(groups).alias("raw_text", "title", "section", "subsection")).where(F.col("raw_text").isNotNull())
 
 
 def document_totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

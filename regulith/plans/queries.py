@@ -68,9 +68,9 @@ def section_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jargon_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each different match of each document, what takes its place, and how often it stands there."""
-    body = corpus(spark, sf_dir).select("doc_id", "text", F.inline(text.jargon_changes(F.col("text"))))
-    terms = F.filter(text.jargon_found(F.col("text")), lambda m: m == F.col("before"))
-    return body.select("doc_id", "before", "after", F.size(terms).cast("long").alias("n"))
+    found = corpus(spark, sf_dir).select("doc_id", text.jargon_found(F.col("text")).alias("found"), text.jargon_changes(F.col("text")).alias("changes"))
+    terms = F.filter("found", lambda m: m == F.col("before"))
+    return found.select("doc_id", "found", F.inline_outer("changes")).where(F.col("before").isNotNull()).select("doc_id", "before", "after", F.size(terms).cast("long").alias("n"))
 
 
 def complexity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def complexity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("doc_id", F.posexplode(text.long_sentences(F.col("text"))).alias("pos", "sentence"))
+    return corpus(spark, sf_dir).select("doc_id", F.posexplode_outer(text.long_sentences(F.col("text"))).alias("pos", "sentence")).where(F.col("pos").isNotNull())
 
 
 def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ QUERIES: dict[str, Query] = {
     "sections": lambda s, d: split(s, d).drop("header"),
     "section_word_counts": lambda s, d: sections.document_totals(corpus(s, d)),
     "statutory_hits": statutory_hits,
-    "taxonomy_hits": lambda s, d: scan.rule_matches(split(s, d), scan.TAXONOMY).groupBy("burden_type", "rule_ord").agg(F.count("*").alias("n")),
+    "taxonomy_hits": lambda s, d: scan.rule_matches(split(s, d), scan.TAXONOMY).groupBy("burden_type", F.col("number").alias("rule_ord")).agg(F.count("*").alias("n")),
     "severity_escalation": severity_escalation,
     "scan_findings_patterns": lambda s, d: scan.scan(corpus(s, d), scan.ScanConfig(combined=False)).select(*SHOWN),
     "scan_findings_combined": lambda s, d: findings(s, d).select(*SHOWN),
