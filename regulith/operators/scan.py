@@ -190,11 +190,12 @@ def from_engine(rows: DataFrame) -> DataFrame:
 # Counts and texts -------------------------------------------------------------------------
 
 
-def counts(findings: DataFrame, *keys: str) -> DataFrame:
-    """(keys, dimension, value, n) for type, category and severity, in one pass."""
+def counts(findings: DataFrame, *keys: str, id_col: str = "doc_id") -> DataFrame:
+    """(keys, dimension, value, n, first) for type, category and severity, in one pass; ``first`` is the place of the first finding."""
     names = {"by_type": "burden_type", "by_category": "category", "by_severity": "severity"}
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), F.col(c).alias("value")) for k, c in names.items())))
-    return findings.select(*keys, pairs.alias("p")).groupBy(*keys, "p.dimension", "p.value").agg(F.count("*").alias("n"))
+    place = F.struct(id_col, *ORDER).alias("place")
+    return findings.select(*keys, place, pairs.alias("p")).groupBy(*keys, "p.dimension", "p.value").agg(F.count("*").alias("n"), F.min("place").alias("first"))
 
 
 def totals(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,11 +48,17 @@ def _read(path: str, data: bytes) -> tuple[str | None, str | None]:
         return None, f"{type(e).__name__}: {e}"
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+
+
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt", jurisdiction: str = "Unknown") -> DataFrame:
     """doc_id, title, doc_type, source, jurisdiction, text, error of a file, or of a folder's files that match (not of its subfolders')."""
-    single = any(path.lower().endswith(s) for s in SUFFIXES)
-    if not single and not any(pattern.lower().endswith(s) for s in SUFFIXES):
-        raise ValueError(f"Unsupported file type: {pattern if '.' in pattern else path}")
+    single = _is_file(spark, path)
+    name = path if single else pattern
+    if not name.lower().endswith(SUFFIXES):
+        raise ValueError(f"Unsupported file type: {name}")
     reader = spark.read.format("binaryFile")
     files = reader.load(path) if single else reader.option("pathGlobFilter", pattern).load(path)
 

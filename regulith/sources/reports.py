@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -10,78 +11,91 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, scan
 
+# The formats of the reports.
+SCAN_HEAD = """# Statutory Burden Scan: {jurisdiction}
+
+## Summary
+- Documents scanned: {documents_scanned}
+- Sections analyzed: {sections_analyzed}
+- Total burdens identified: {total_burdens}
+- High priority findings: {high_priority_count}
+
+## Burden Distribution
+"""
+SCAN_SHARE = "- {value}: {n}\n"
+SCAN_URGENT = "\n## High Priority Findings\n\n"
+SCAN_FINDING = "### {i}. {burden_type} ({severity})\n**Location:** {location}\n**Text:** {excerpt}...\n**Reform Suggestion:** {reform}\n\n"
+SCAN_NO_REFORM = "Review and simplify"
+ADVICE = "## Recommendations\n\n"
+NUMBERED = "{i}. {text}"
+REWRITE = """## Original vs. Rewritten
+
+### Original
+{r.original_text}
+
+### Plain Language Version
+{r.rewritten_text}
+
+**Readability improvement:** {r.readability_before:.1f} → {r.readability_after:.1f}
+**Legal meaning confidence:** {r.confidence:.0%}"""
+REWRITE_CHANGES, REWRITE_CHANGE = "\n\n### Key Changes", '\n- "{c.before}" → "{c.after}"'
+REWRITE_WARNINGS, REWRITE_WARNING = "\n\n### Warnings", "\n- ⚠️ {w}"
+COMPARE_HEAD = "# Cross-State Comparison: {topic}\n*Comparison Dimension: {dimension}*\n\n## Jurisdiction Rankings (Least to Most Burdensome)\n\n"
+COMPARE_RANK = "{rank}. **{jurisdiction}** - Score: {score}\n   - {notes}\n"
+COMPARE_DIFFERENCES, COMPARE_ASPECT, COMPARE_DETAIL = "\n## Key Differences\n\n", "### {aspect}\n", "- **{jurisdiction}**: {detail}\n"
+COMPARE_MODELS, COMPARE_MODEL = "## Model Provisions (Best Practices)\n\n", "### From {source}\n```\n{text}\n```\n*Why it works:* {rationale}\n\n"
+
 
 def findings_json(findings: DataFrame, excerpt: int = 200) -> DataFrame:
     """Findings as they are exported: type, category, severity, location, excerpt, reform."""
     return findings.select(F.col("burden_type").alias("type"), "category", "severity", "location", F.substring("text_excerpt", 1, excerpt).alias("excerpt"), F.col("reform_suggestion").alias("reform"))
 
 
+def _numbered(texts: Iterable[str]) -> str:
+    return "\n".join(NUMBERED.format(i=i, text=t) for i, t in enumerate(texts, 1))
+
+
+def _advice(findings: DataFrame, id_col: str) -> list[str]:
+    return [r.recommendation for r in scan.scan_recommendations(findings, id_col=id_col).orderBy("rank").collect()]
+
+
 def scan_result(docs: DataFrame, findings: DataFrame, jurisdiction: str = "Unknown", id_col: str = "doc_id") -> dict:
     """A scan's result as one object. For large inputs write ``findings_json`` with Spark instead: this collects all findings."""
-    order = [id_col, *scan.ORDER]
-    seen = scan.counts(findings).collect()
-    totals = scan.totals(docs, findings).first()
+    totals = scan.totals(docs, findings).first().asDict()
+    totals.pop("critical_count")
     stats: dict[str, dict[str, int]] = {"by_type": {}, "by_category": {}, "by_severity": {}}
-    for r in sorted(seen, key=lambda r: (r.dimension, -r.n, r.value)):
+    for r in scan.counts(findings, id_col=id_col).orderBy("first").collect():
         stats[r.dimension][r.value] = r.n
-    advice = [r.recommendation for r in scan.scan_recommendations(findings, id_col=id_col).orderBy("rank").collect()]
-    return {
-        "jurisdiction": jurisdiction,
-        "documents_scanned": totals.documents_scanned,
-        "sections_analyzed": totals.sections_analyzed,
-        "total_burdens": totals.total_burdens,
-        "summary_stats": stats,
-        "high_priority_count": totals.high_priority_count,
-        "burdens": [r.asDict() for r in findings_json(findings.orderBy(*order)).collect()],
-        "recommendations": advice,
-    }
+    burdens = [r.asDict() for r in findings_json(findings.orderBy(id_col, *scan.ORDER)).collect()]
+    return {"jurisdiction": jurisdiction, **totals, "summary_stats": stats, "burdens": burdens, "recommendations": _advice(findings, id_col)}
 
 
 def scan_markdown(docs: DataFrame, findings: DataFrame, jurisdiction: str = "Unknown", id_col: str = "doc_id", most: int = 10) -> str:
     """A report with the first ``most`` findings of high priority."""
-    totals = scan.totals(docs, findings).first()
-    shares = scan.counts(findings).where("dimension = 'by_category'").orderBy(F.desc("n"), "value").collect()
+    totals = scan.totals(docs, findings).first().asDict()
+    shares = scan.counts(findings, id_col=id_col).where("dimension = 'by_category'").orderBy("first").collect()
     urgent = scan.high_priority(findings).orderBy(id_col, *scan.ORDER).limit(most).collect()
-    advice = scan.scan_recommendations(findings, id_col=id_col).orderBy("rank").limit(most).collect()
-    out = [f"# Statutory Burden Scan: {jurisdiction}", "", "## Summary", f"- Documents scanned: {totals.documents_scanned}", f"- Sections analyzed: {totals.sections_analyzed}"]
-    out += [f"- Total burdens identified: {totals.total_burdens}", f"- High priority findings: {totals.high_priority_count}", "", "## Burden Distribution"]
-    out += [f"- {r.value}: {r.n}" for r in shares]
-    out += ["", "## High Priority Findings", ""]
-    for i, r in enumerate(urgent, 1):
-        reform = r.reform_suggestion or "Review and simplify"
-        out += [f"### {i}. {r.burden_type} ({r.severity})", f"**Location:** {r.location}", f"**Text:** {r.text_excerpt[:300]}...", f"**Reform Suggestion:** {reform}", ""]
-    out += ["## Recommendations", ""]
-    return "\n".join(out + [f"{i}. {r.recommendation}" for i, r in enumerate(advice, 1)])
+    told = [SCAN_FINDING.format(i=i, excerpt=r.text_excerpt[:300], reform=r.reform_suggestion or SCAN_NO_REFORM, **{c: r[c] for c in ("burden_type", "severity", "location")}) for i, r in enumerate(urgent, 1)]
+    return SCAN_HEAD.format(jurisdiction=jurisdiction, **totals) + "".join(SCAN_SHARE.format(value=r.value, n=r.n) for r in shares) + SCAN_URGENT + "".join(told) + ADVICE + _numbered(_advice(findings, id_col)[:most])
 
 
 def rewrite_markdown(row, most: int = 10) -> str:
     """One row of ``rewrite.rewrite``."""
-    out = ["## Original vs. Rewritten", "", "### Original", row.original_text, "", "### Plain Language Version", row.rewritten_text, ""]
-    out += [f"**Readability improvement:** {row.readability_before:.1f} → {row.readability_after:.1f}", f"**Legal meaning confidence:** {row.confidence:.0%}"]
-    if row.changes:
-        out += ["", "### Key Changes", *(f'- "{c.before}" → "{c.after}"' for c in row.changes[:most])]
-    if row.warnings:
-        out += ["", "### Warnings", *(f"- ⚠️ {w}" for w in row.warnings)]
-    return "\n".join(out)
+    changes = "".join(REWRITE_CHANGE.format(c=c) for c in row.changes[:most])
+    warnings = "".join(REWRITE_WARNING.format(w=w) for w in row.warnings)
+    return REWRITE.format(r=row) + (changes and REWRITE_CHANGES + changes) + (warnings and REWRITE_WARNINGS + warnings)
 
 
-def comparison_markdown(topic: str, provisions: DataFrame, dimension: str = "overall_burden", models: list[dict] | None = None) -> str:
+def comparison_markdown(topic: str, provisions: DataFrame, dimension: str = "overall_burden", models: Iterable[dict] = ()) -> str:
+    """``models``: best provisions as source, text and rationale."""
     ranked = compare.rankings(provisions)
-    out = [f"# Cross-State Comparison: {topic}", f"*Comparison Dimension: {dimension}*", "", "## Jurisdiction Rankings (Least to Most Burdensome)", ""]
-    for r in ranked.orderBy("rank").collect():
-        out += [f"{r['rank']}. **{r.jurisdiction}** - Score: {r.score}", f"   - {r.notes}"]
-    out += ["", "## Key Differences", ""]
+    ranks = "".join(COMPARE_RANK.format(**r.asDict()) for r in ranked.orderBy("rank").collect())
     found = compare.differences(provisions).orderBy("input_ord").collect()
-    for aspect in compare.ASPECTS:
-        rows = [r for r in found if r.aspect == aspect]
-        if rows:
-            out += [f"### {aspect}", *(f"- **{r.jurisdiction}**: {r.detail}" for r in rows), ""]
-    if models:
-        out += ["## Model Provisions (Best Practices)", ""]
-        for m in models:
-            out += [f"### From {m.get('source', 'Unknown')}", "```", m.get("text", ""), "```", f"*Why it works:* {m.get('rationale', '')}", ""]
-    out += ["## Recommendations", "", *(f"{r.ord + 1}. {r.recommendation}" for r in compare.recommendations(ranked).orderBy("ord").collect())]
-    return "\n".join(out)
+    by_aspect = {a: "".join(COMPARE_DETAIL.format(**r.asDict()) for r in found if r.aspect == a) for a in compare.ASPECTS}
+    differing = "".join(COMPARE_ASPECT.format(aspect=a) + lines + "\n" for a, lines in by_aspect.items() if lines)
+    shown = "".join(COMPARE_MODEL.format(**{"source": "Unknown", "text": "", "rationale": ""} | m) for m in models)
+    said = [r.recommendation for r in compare.recommendations(ranked).orderBy("ord").collect()]
+    return COMPARE_HEAD.format(topic=topic, dimension=dimension) + ranks + COMPARE_DIFFERENCES + differing + (shown and COMPARE_MODELS + shown) + ADVICE + _numbered(said)
 
 
 def write_text(content: str | dict, path: str | None) -> None:
