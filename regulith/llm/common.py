@@ -39,6 +39,13 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let Arrow batches have ``rows`` rows at most: they hold whole texts, and Python a few copies of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of a key's text modulo ``parts``; null for a null key."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts))

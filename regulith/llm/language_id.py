@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, share
+from .common import fold, share, small_batches
 
 UND = "und"
 END, BITS = 1, 21
@@ -120,6 +120,7 @@ def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
     The n-grams of some ``per_language`` documents of each language are counted in Spark;
     what comes to the driver is ``size`` keys for each language.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(may_learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     how_many = rows.groupBy("l").count().withColumn("part", per_language / F.col("count")).drop("count")
     some = rows.join(how_many, "l").where(share(F.col("i"), "language") < F.col("part")).repartition(rows.sparkSession.sparkContext.defaultParallelism)

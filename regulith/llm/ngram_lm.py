@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano as ef
-from .common import as_bytes, fold, scratch, written
+from .common import as_bytes, fold, scratch, small_batches, written
 
 END = xxhash.xxh64_intdigest(b"\n", 0)  # no word holds a line break
 BLOCK_TOKENS = 1 << 20
@@ -265,6 +265,7 @@ def opened_units(m: Model) -> dict[int, tuple]:
 def train(texts: DataFrame, text_col: str = "text", mu: float = 300.0, bits: int = 12, shard_bits: int | None = None) -> Model:
     """Count and build both levels over all rows of ``texts``. ``shard_bits`` follows the number of input partitions unless given."""
     folder = scratch(texts.sparkSession, "ngrams")
+    small_batches(texts.sparkSession)
     rows = texts.select(F.col(text_col).alias("text"))
     if shard_bits is None:
         shard_bits = min(12, max(2, (rows.rdd.getNumPartitions() // 2).bit_length()))

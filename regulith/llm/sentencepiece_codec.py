@@ -22,14 +22,17 @@ import heapq
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 
 
 def _fields(blob: bytes):
@@ -135,7 +138,8 @@ class MergeCodec:
         if len(chunk) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.verify()
-                self.cache.clear()
+                for old in list(islice(self.cache, CACHE_ENTRIES // 2)):  # the first ones put in; frequent ones come back
+                    del self.cache[old]
             self.cache[chunk] = ids
             self.fresh.append(chunk)
         return ids
@@ -219,6 +223,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     ``model_path`` is read on the driver; a vocabulary has a fixed size, so its bytes travel with the tasks.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     done = docs.select(F.col(id_col), pieces(F.col(text_col), model, check).alias("p"))

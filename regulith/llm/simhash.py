@@ -36,10 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, scratch, written
+from .common import as_bytes, scratch, small_batches, written
 
 BUDGET, BLOCKS, WIDTH = 3, 4, 16
-SMALL, MOST_PAIRS, UNIT_ROWS = 64, 1 << 20, 200_000
+SMALL, MOST_PAIRS, UNIT_ROWS = 64, 1 << 17, 200_000
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, block: int = 1 << 16) -> int:
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     splits the partition of a fingerprint that very many documents share.
     """
     folder = scratch(docs.sparkSession, "simhash")
+    small_batches(docs.sparkSession)
     fps = written(docs.select(F.col(id_col), fingerprints(F.col(text_col)).alias("fp")), f"{folder}/fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), f"{folder}/distinct")
     edges = written(links(distinct, "fp", budget, subtree), f"{folder}/links")

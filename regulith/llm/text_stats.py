@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, share
+from .common import as_bytes, share, small_batches
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks", "n_digits", "n_same_next")
 SPACES, SYMBOLS, MARKS, LATER = b" \t\n\v\f\r", b"#*$%&|<>", b"!?", bytes(range(0x80, 0xC0))
@@ -76,6 +76,7 @@ FEATURES = (*RATIOS, "log_words")
 
 def with_stats(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, the statistics, and the ratios of each row."""
+    small_batches(df.sparkSession)
     return with_ratios(df.select(*keep, measured(F.col(text_col)).alias("s")).select(*keep, "s.*"))
 
 

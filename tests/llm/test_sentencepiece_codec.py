@@ -60,3 +60,15 @@ def test_query(spark, tmp_path, both):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op4_sentencepiece(spark, str(tmp_path)).collect() == []
+
+
+def test_a_small_cache_gives_the_same_ids(both, monkeypatch):
+    own, library = both
+    monkeypatch.setattr(codec, "CACHE_ENTRIES", 4)
+    own.cache.clear()
+    rng = random.Random(7)
+    for _ in range(200):
+        text = " ".join(rng.choices(["the", "ring", "of", "Über", "x", "漢字", "thing."], k=12))
+        assert array("I", library.encode(text, add_bos=True, add_eos=True)).tobytes() == own.encode(text)
+        own.verify()
+    assert len(own.cache) <= 4
