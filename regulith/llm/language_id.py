@@ -122,8 +122,12 @@ def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
     """
     small_batches(docs.sparkSession)
     rows = docs.where(may_learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    how_many = rows.groupBy("l").count().withColumn("part", per_language / F.col("count")).drop("count")
-    some = rows.join(how_many, "l").where(share(F.col("i"), "language") < F.col("part")).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    how_many = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}  # a row for each profile to come
+    if not how_many:
+        return Profiles({}, size)
+    part = F.element_at(F.create_map(*(F.lit(x) for name, n in how_many.items() for x in (name, per_language / n))), F.col("l"))
+    some = rows.where(share(F.col("i"), "language") < part).select("l", "t")
+    some = some.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     counted = some.select("l", F.explode(F.arrow_udf(count_udf, "map<long, long>")("t")).alias("k", "n")).groupBy("l", "k").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "k"))).where(F.col("r") <= size)
     by_language: dict[str, list[int]] = {}
