@@ -25,11 +25,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5, parts: int =
     return stats.where(ranking.score() >= cut).select("row.*")
 
 
-def keep_languages(docs: DataFrame, margin: float = 0.1, parts: int = 4, held: int = 2, **how) -> DataFrame:
+def keep_languages(docs: DataFrame, margin: float = 0.15, parts: int = 4, held: int = 2, **how) -> DataFrame:
     """Rows with a language, that of their text.
 
     A row goes if its text has no letter, or if its ``lang`` is a learnt language whose profile is
-    further from the text than the nearest by more than ``margin``. A null ``lang`` becomes the predicted one.
+    further from the text than the nearest by more than ``margin``: by that much texts wholly in another
+    language are, while one with a passage in another language is not. A null ``lang`` becomes the predicted one.
     """
     profiles = language_id.learn(docs, fold(F.col("doc_id"), parts) != held, **how)
     if not profiles.names:
