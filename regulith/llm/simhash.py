@@ -248,20 +248,25 @@ def components(edges: DataFrame, salts: int = 16, rounds: int = 60) -> DataFrame
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, subtree: int = 20_000) -> DataFrame:
-    """Per row: id, fp (a signed 64-bit number) and component_id, the smallest id that links reach.
+def labelled(fps: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str, folder: str) -> DataFrame:
+    """Per row of ``fps``: id, fp and component_id, from edges between ``distinct`` (fp, least: its smallest id).
 
     Written tables on both sides leave the joins by fingerprint as plain exchanges, so that Spark
     splits the partition of a fingerprint that very many documents share.
     """
-    folder = scratch(docs.sparkSession, "simhash")
-    small_batches(docs.sparkSession)
-    fps = written(docs.select(F.col(id_col), fingerprints(F.col(text_col)).alias("fp")), f"{folder}/fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), f"{folder}/distinct")
-    edges = written(links(distinct, "fp", budget, subtree), f"{folder}/links")
     roots = written(components(edges), f"{folder}/roots")
     member = written(roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least"), f"{folder}/members")
     smallest = written(member.groupBy("root").agg(F.min("least").alias("c")), f"{folder}/smallest")
     linked = member.join(smallest, "root").select(F.col("fp").alias("f"), "c")
     known = written(distinct.join(linked, distinct.fp == linked.f, "left").select(F.col("fp").alias("f"), F.coalesce("c", "least").alias("c")), f"{folder}/known")
     return fps.join(known, fps.fp == known.f).select(id_col, "fp", F.col("c").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, subtree: int = 20_000) -> DataFrame:
+    """Per row: id, fp (a signed 64-bit number) and component_id, the smallest id that links reach."""
+    folder = scratch(docs.sparkSession, "simhash")
+    small_batches(docs.sparkSession)
+    fps = written(docs.select(F.col(id_col), fingerprints(F.col(text_col)).alias("fp")), f"{folder}/fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), f"{folder}/distinct")
+    edges = written(links(distinct, "fp", budget, subtree), f"{folder}/links")
+    return labelled(fps, distinct, edges, id_col, folder)

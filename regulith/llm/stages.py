@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bradley_terry, language_id, mixing, simhash
+from . import bradley_terry, language_id, mixing, shingle_join
 from .common import fold, keyed, scratch
 from .text_stats import measured, with_ratios
 
@@ -42,10 +42,10 @@ def keep_languages(docs: DataFrame, margin: float = 0.15, parts: int = 4, held:
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """Of rows whose fingerprints links connect, the one with the smallest id; of equal ids, any one."""
+    """Of rows that links connect (similar in 0.8 or more of their shingles of five words), the one with the smallest id; of equal ids, any one."""
     rows = keyed(docs, scratch(docs.sparkSession, "one-of-each"))
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("row_id"))
-    found = simhash.near_duplicates(rows.select(order.alias("key"), F.col("row.text").alias("text")), "key", "text", **how)
+    found = shingle_join.near_duplicates(rows.select(order.alias("key"), F.col("row.text").alias("text")), "key", "text", **how)
     chosen = found.where(F.col("key") == F.col("component_id")).select("key.row_id")
     return rows.join(chosen, "row_id", "left_semi").select("row.*")
 
