@@ -3,11 +3,14 @@
 Hosts that allow rules fit are trusted seeds, those that block rules fit are
 blocked seeds, each in the share of its pages that they fit. Trust flows along
 links as personalised PageRank from the trusted seeds; distrust flows against
-links from the blocked seeds, so that a host which links to bad hosts gets it. A
-host is blocked if its distrust exceeds its trust by more than ``threshold``,
-where 1 is what a wholly blocked seed has of its own.
+links from the blocked seeds, so that a host which links to bad hosts gets it.
 
-Edges between hosts carry their number of links. Both flows are one table of
+Distrust is split among all that link to a host, so the verdict is about blame:
+the damped share of ways along a host's own links that come to a blocked seed. A
+blocked seed has its share of its own, and the rest as others do. A host is blocked
+if its blame exceeds its trust by more than ``threshold``.
+
+Edges between hosts carry their number of links. The flows are one table of
 arcs, and a round is one join and one sum in Spark. Scores are whole numbers of
 1e-12, so that rounds don't depend on the order of summing. Each round is a
 written table; a host with very many arcs is a skewed partition of a join of two
@@ -66,9 +69,9 @@ def host_edges(pages: DataFrame, host: Column, html_col: str = "html") -> DataFr
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, links) and seeds (host, trusted, blocked: shares of 1).
+    """(host, trust, distrust, blame) from edges (src, dst, links) and seeds (host, trusted, blocked: shares of 1).
 
-    Rounds end when all scores together change by less than ``tolerance`` of what the seeds hold.
+    Rounds end when trust and distrust together, and blame, change by less than ``tolerance`` of what their seeds hold.
     """
     spark = edges.sparkSession
     folder = scratch(spark, "hosts")
@@ -76,22 +79,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     inward = edges.groupBy("dst").agg(F.sum("links").alias("all"))
     forth = edges.join(outward, "src").select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("links") / F.col("all")).alias("part"))
     back = edges.join(inward, "dst").select(F.lit(1).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("links") / F.col("all")).alias("part"))
-    arcs = written(forth.union(back), f"{folder}/arcs")
-    stacked = seeds.select("host", F.expr(f"stack(2, 0, cast(trusted * {UNIT} as long), 1, cast(blocked * {UNIT} as long)) as (kind, mass)"))
+    own = edges.join(outward, "src").join(seeds.select(F.col("host").alias("src"), "blocked"), "src", "left")
+    blame = own.select(F.lit(2).alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("links") / F.col("all") * (1 - F.coalesce("blocked", F.lit(0.0)))).alias("part"))
+    arcs = written(forth.union(back).union(blame), f"{folder}/arcs")
+    stacked = seeds.select("host", F.expr(f"stack(3, 0, cast(trusted * {UNIT} as long), 1, cast(blocked * {UNIT} as long), 2, cast(blocked * {UNIT} as long)) as (kind, mass)"))
     held = written(stacked.where("mass > 0").select("kind", "host", "mass"), f"{folder}/seeds")
-    total = held.agg(F.sum(F.col("mass").cast("double"))).first()[0]
+    flow = (F.col("kind") == 2).alias("flow")
+    total = dict(held.groupBy(flow).agg(F.sum(F.col("mass").cast("double"))).collect())
     now = written(held, f"{folder}/0")
     if total and arcs.take(1):
         for i in range(1, rounds + 1):
             moved = now.join(arcs, (now.kind == arcs.kind) & (now.host == arcs.a)).select(arcs.kind, F.col("b").alias("host"), F.floor(F.col("mass") * F.col("part") * damping).alias("mass"))
             after = held.union(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
             after = written(after, f"{folder}/{i}")
-            change = after.union(now.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("d")).agg(F.sum(F.abs("d").cast("double"))).first()[0]
+            change = after.union(now.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("d")).groupBy(flow).agg(F.sum(F.abs("d").cast("double"))).collect()
             now = after
-            if not change or change < tolerance * total:
+            if all(not d or d < tolerance * total[k] for k, d in change):
                 break
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0)) / UNIT
-    return now.groupBy("host").agg(score(0).alias("trust"), score(1).alias("distrust"))
+    return now.groupBy("host").agg(score(0).alias("trust"), score(1).alias("distrust"), score(2).alias("blame"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, **how) -> DataFrame:
@@ -109,7 +115,7 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     seeds = judged.where("host <> ''").groupBy("host").agg((F.count_if(F.col("ruling") == "allow") / F.count("*")).alias("trusted"), (F.count_if(F.col("ruling") == "block") / F.count("*")).alias("blocked"))
     edges = written(host_edges(pages, host, html_col), f"{folder}/edges")
     scores = propagate(edges, seeds.where("trusted > 0 or blocked > 0"), **how)
-    scores = written(scores.select(F.col("host").alias("h"), "trust", "distrust"), f"{folder}/scores")
-    out = judged.join(scores, judged.host == scores.h, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    own = F.when(F.col("distrust") - F.col("trust") > threshold, F.lit("block")).otherwise("allow")
+    scores = written(scores.select(F.col("host").alias("h"), "trust", "distrust", "blame"), f"{folder}/scores")
+    out = judged.join(scores, judged.host == scores.h, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust", "blame")})
+    own = F.when(F.col("blame") - F.col("trust") > threshold, F.lit("block")).otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("ruling", own).alias("verdict"), "trust", "distrust")

@@ -65,6 +65,17 @@ def test_links_to_blocked_hosts_are_blamed_and_from_trusted_ones_praised(spark,
     assert got == {0: "block", 1: "block", 2: "block", 3: "block", 10: "block", 11: "block", 20: "allow", 21: "allow", 22: "allow"}
 
 
+def test_blame_does_not_shrink_with_the_number_of_linking_hosts(spark, tmp_path):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">t</a>' for h in hosts)
+    pages = [(0, "http://bad.net/", link("worse.net")), (1, "http://worse.net/", link("bad.net"))]
+    pages += [(10 + i, f"http://farm{i}.com/", link("bad.net")) for i in range(10)]
+    pages += [(30 + i, f"http://second{i}.com/", link(f"farm{i}.com")) for i in range(2)]
+    pages += [(40, "http://news.com/", link("bad.net", *(f"site{i}.com" for i in range(9)))), (41, "http://half.com/", link("bad.net", "news.com"))]
+    save(spark, tmp_path, "pages", pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in op1_link_graph(spark, str(tmp_path)).collect()}
+    assert got == {p: "allow" if p in (40, 41) else "block" for p, *_ in pages}
+
+
 def test_empty_table(spark, tmp_path):
     save(spark, tmp_path, "pages", [], "page_id long, url string, html string")
     assert op1_link_graph(spark, str(tmp_path)).collect() == []
