@@ -1,26 +1,29 @@
 """Exact top-k search by inner product over vectors in order of length.
 
-Components become floor(scale * x), so scores are whole numbers. Vectors are cut
-into blocks by descending length. Queries meet the block of the longest vectors
-first; what they find there bounds the rest: by Cauchy-Schwarz a block is worth a
-query's while only if its longest vector times the query's length reaches the
-query's k-th score so far, and other (query, block) pairs aren't made at all.
+Components become floor(scale * x), so scores are whole numbers. Vectors are put in
+order of descending length and cut into blocks of ``block`` rows. Queries meet the
+blocks in waves, the first block alone, then two, four and so on; what they have
+found bounds the next wave: by Cauchy-Schwarz a block is worth a query's while only if
+its longest vector times the query's length reaches the query's k-th score so far, so
+a query reaches a first stretch of the blocks, and only these pairs are made. Vectors
+go to the groups of queries that reach their block.
 
 Inside a block vectors are taken in runs of descending length. A rotation from a
 singular value decomposition puts most of the length into the first components,
 whose partial sum plus the product of the two residual lengths bounds the score.
 Only pairs whose bound reaches the query's k-th score are scored, in whole numbers.
 
-The rotation is fitted on a bounded sample (``sample`` rows, chosen by a hash of
-their ids): any rotation gives the same results, a good one prunes more. All rows
-are searched. The list of blocks has one entry for each ``block`` rows.
+The rotation is fitted on a bounded sample (``sample`` rows, chosen by a hash): any
+rotation gives the same results, a good one prunes more. All rows are searched. How far
+a query reaches is read off a list with an entry for each sixteenth of a power of 2
+among the lengths, whatever the number of blocks.
 
 Defined results: rows with a null id, a null vector, or a null or non-finite
 component take no part. Shorter vectors count as if filled up with zeros.
-Components are kept within +-sqrt(2^62 / dimension), so that a score fits 64 bits.
-Equal scores go to the smaller id; rows that repeat an id are candidates of their
-own, but never for a query of that id; a query given by several rows is answered
-once for each different vector.
+A score that leaves 64 bits is the nearest number that doesn't. Equal scores go to
+the smaller id. Queries and candidates are rows: rows that repeat an id, and equal
+rows, are queries and candidates of their own, and a query's own row alone isn't a
+candidate of it.
 """
 
 from __future__ import annotations
@@ -32,48 +35,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, share, written
+from .common import drop, scratch, share, written
 
 RUN = 1024
+LOW, HIGH = -(2**63), 2**63 - 1
 
 
-def _quantise(vectors: pa.Array, scale: float) -> pa.Array:
-    """struct<packed: little-endian 64-bit components, length>, null where a vector takes no part."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
+def _quantise(vectors: pa.Array, scale: float, kind: str) -> pa.Array:
+    """struct<packed: components as numbers of ``kind``, length>, null where a vector takes no part."""
     flat = vectors.flatten()
     values = np.asarray(flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
     sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     absent = vectors.is_null().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
     packed, lengths = [], []
-    for gone, n, end in zip(absent.tolist(), sizes.tolist(), ends.tolist()):
+    for gone, n, end in zip(absent.tolist(), sizes.tolist(), np.cumsum(sizes).tolist()):
         x = values[end - n : end]
-        if gone or not np.isfinite(x).all():
+        with np.errstate(over="ignore"):
+            whole = np.floor(scale * x)
+        if gone or not np.isfinite(whole).all():
             packed.append(None)
             lengths.append(None)
             continue
-        with np.errstate(over="ignore"):
-            most = float(int((2.0**62 / max(n, 1)) ** 0.5))
-            whole = np.clip(np.floor(scale * x), -most, most)
-        packed.append(whole.astype("<i8").tobytes())
-        lengths.append(float(np.sqrt((whole * whole).sum())))
-    kind = pa.struct([("packed", pa.binary()), ("length", pa.float64())])
-    return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(lengths, pa.float64())], fields=list(kind))
+        packed.append(whole.astype(kind).tobytes())
+        lengths.append(float(norms(whole[None, :])[0]))
+    fields = [pa.field("packed", pa.binary()), pa.field("length", pa.float64())]
+    return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(lengths, pa.float64())], fields=fields)
 
 
-def quantised(vector: Column, scale: float = 64.0) -> Column:
-    return F.arrow_udf(lambda v: _quantise(v, scale), "struct<packed: binary, length: double>")(vector)
+def quantised(vector: Column, scale: float = 64.0, kind: str = "<f8") -> Column:
+    """Whole numbers as floating-point ones: a number of 24 bits, such as a 32-bit component's, fits ``<f4``."""
+    return F.arrow_udf(lambda v: _quantise(v, scale, kind), "struct<packed: binary, length: double>")(vector)
 
 
-def _matrix(packed: list[bytes], dim: int) -> np.ndarray:
-    out = np.zeros((len(packed), dim), np.int64)
+def _matrix(packed: list[bytes], dim: int, kind: str = "<f8") -> np.ndarray:
+    out = np.zeros((len(packed), dim))
     for row, data in zip(out, packed):
-        own = np.frombuffer(data, "<i8")
+        own = np.frombuffer(data, kind)
         row[: len(own)] = own
     return out
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, without overflow on the way."""
+    most = np.abs(x).max(1, initial=0)
+    scaled = x / np.where(most > 0, most, 1)[:, None]
+    return most * np.sqrt((scaled * scaled).sum(1))
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers, row by row, as 64-bit numbers (the nearest ones)."""
+    reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if reach < 2**53:
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    if reach < 2**62 and max(float(np.abs(x).max(initial=0)) for x in (a, b)) < 2**62:
+        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    sums = (sum(int(x) * int(y) for x, y in zip(u, v)) for u, v in zip(a.tolist(), b.tolist()))
+    return np.array([max(LOW, min(HIGH, s)) for s in sums], np.int64)
+
+
 def fit_rotation(sample: np.ndarray) -> np.ndarray:
     """Right singular vectors, those of the largest singular values first."""
     dim = sample.shape[1]
@@ -83,120 +102,152 @@ def fit_rotation(sample: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(vectors[:, ::-1])
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, rotation: np.ndarray, floor: np.ndarray | None = None, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query's row, id, score) of each query's best k, and the number of pairs scored.
+def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, rotation: np.ndarray, floor: np.ndarray | None = None, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query's place, vector's place, score) of each query's best k, and the number of pairs scored.
 
-    ``floor``: a k-th score that each query has already, or minus infinity; lower scores are left out.
+    Vectors of a query's own row are left out. ``floor``: a k-th score that each query has
+    already, or minus infinity; lower scores are left out.
     """
     dim = queries.shape[1]
     least = np.full(len(queries), -np.inf) if floor is None else floor.astype(float).copy()
-    exact = np.int64 if not dim or float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * dim >= 2**53 else np.float64
-    length = np.sqrt((vectors.astype(float) ** 2).sum(1))
+    length = norms(vectors)
     order = np.lexsort((ids, -length))
-    vectors, ids, length = vectors[order], ids[order], length[order]
-    q_length = np.sqrt((queries.astype(float) ** 2).sum(1))
+    vectors, ids, rows, length = vectors[order], ids[order], rows[order], length[order]
+    q_length = norms(queries)
     head = max(1, dim // 4) if dim else 0
     turned, q_turned = vectors @ rotation, queries @ rotation
-    rest, q_rest = (np.sqrt(np.maximum((x[:, head:] ** 2).sum(1), 0)) for x in (turned, q_turned))
-    whole, q_whole = vectors.astype(exact), queries.astype(exact)
+    rest, q_rest = norms(turned[:, head:]), norms(q_turned[:, head:])
     found = np.empty((3, 0), np.int64)
     scored = 0
     for at in range(0, len(vectors), run):
         stop = min(at + run, len(vectors))
-        slack = 1e-6 + 1e-9 * q_length * length[at]
-        live = np.flatnonzero(q_length * length[at] + slack >= least)
-        if not len(live):
-            break  # no later vector is longer
-        bound = q_turned[live, :head] @ turned[at:stop, :head].T + q_rest[live, None] * rest[None, at:stop]
-        worth = bound + slack[live, None] >= least[live, None]
-        if worth.mean() > 0.05:
-            score = (q_whole[live] @ whole[at:stop].T).astype(np.int64)
-            worth &= query_ids[live, None] != ids[None, at:stop]
-            scored += int(worth.sum())
+        # what can't be compared (a number that is none) is worth scoring
+        with np.errstate(over="ignore", invalid="ignore"):
+            slack = 1e-6 + 1e-9 * q_length * length[at]
+            live = np.flatnonzero(~(q_length * length[at] + slack < least))
+            if not len(live):
+                break  # no later vector is longer
+            bound = q_turned[live, :head] @ turned[at:stop, :head].T + q_rest[live, None] * rest[None, at:stop]
+            worth = ~(bound + slack[live, None] < least[live, None])
+        worth &= query_rows[live, None] != rows[None, at:stop]
+        scored += int(worth.sum())
+        reach = float(np.abs(queries[live]).max(initial=0)) * float(np.abs(vectors[at:stop]).max(initial=0)) * dim
+        if worth.mean() > 0.05 and reach < 2**53:
+            score = (queries[live] @ vectors[at:stop].T).astype(np.int64)
             if score.shape[1] > k:
-                kept = np.where(worth, score, np.iinfo(np.int64).min)
+                kept = np.where(worth, score, LOW)
                 worth &= score >= np.partition(kept, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
             i, j = np.nonzero(worth & (score >= least[live, None]))
-            new = np.stack([live[i], ids[at + j], score[i, j]])
+            new = np.stack([live[i], at + j, score[i, j]])
         else:
-            i, j = np.nonzero(worth & (query_ids[live, None] != ids[None, at:stop]))
-            score = np.einsum("ij,ij->i", q_whole[live[i]], whole[at + j]).astype(np.int64)
-            scored += len(i)
-            reach = score >= least[live[i]]
-            new = np.stack([live[i][reach], ids[at + j[reach]], score[reach]])
+            i, j = np.nonzero(worth)
+            score = products(queries[live[i]], vectors[at + j])
+            reached = score >= least[live[i]]
+            new = np.stack([live[i][reached], at + j[reached], score[reached]])
         if not new.shape[1]:
             continue
         found = np.concatenate([found, new], 1)
-        found = found[:, np.lexsort((found[1], -found[2], found[0]))]
+        found = found[:, np.lexsort((ids[found[1]], -found[2].astype(object) if (found[2] == LOW).any() else -found[2], found[0]))]
         first = np.searchsorted(found[0], found[0])
         place = np.arange(found.shape[1]) - first
         found = found[:, place < k]
         full = np.flatnonzero(place[place < k] == k - 1)
         least[found[0, full]] = np.maximum(least[found[0, full]], found[2, full])
-    return found[0], found[1], found[2], scored
+    return found[0], order[found[1]], found[2], scored
 
 
-def _meet(key, queries: pa.Table, block: pa.Table, dim: int, k: int, rotation: np.ndarray) -> pa.Table:
-    schema = pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _meet(queries: pa.Table, block: pa.Table, dim: int, k: int, rotation: np.ndarray, kind: str) -> pa.Table:
+    schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     if not queries.num_rows or not block.num_rows:
         return schema.empty_table()
     floor = queries["least"].combine_chunks().cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-    own = queries["query_id"].to_numpy()
-    i, ids, score, _ = search(_matrix(queries["packed"].to_pylist(), dim), own, _matrix(block["packed"].to_pylist(), dim), block["vec_id"].to_numpy(), k, rotation, floor)
-    return pa.table([own[i], queries["q"].to_numpy()[i], ids, score], schema=schema)
+    own, ids = queries["q"].to_numpy(), block["vec_id"].to_numpy()
+    i, j, score, _ = search(_matrix(queries["packed"].to_pylist(), dim, kind), own, _matrix(block["packed"].to_pylist(), dim, kind), ids, block["row"].to_numpy(), k, rotation, floor)
+    return pa.table([own[i], ids[j], score], schema=schema)
+
+
+def _in_blocks(base: DataFrame, n: int, block: int, folder: str) -> DataFrame:
+    """row, vec_id, packed, length, block: blocks of ``block`` rows by descending length, whatever the number of partitions."""
+    ordered = base.repartitionByRange(max(1, -(-n // block)), F.col("length").desc(), F.xxhash64("row")).sortWithinPartitions(F.col("length").desc(), "row")
+    ordered = written(ordered.select("row", "vec_id", "packed", "length", F.monotonically_increasing_id().alias("at")), f"{folder}/ordered")
+    part = F.shiftrightunsigned("at", 33)
+    # a row for each partition: one for some ``block`` vectors
+    before = ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("p")) - F.col("n")).select("p", "before")
+    before = written(before, f"{folder}/before")
+    placed = ordered.join(before, part == before.p).withColumn("place", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    blocks = written(placed.select("row", "vec_id", "packed", "length", F.floor(F.col("place") / block).cast("int").alias("block")), f"{folder}/blocks")
+    drop(base.sparkSession, f"{folder}/ordered")
+    return blocks
+
+
+def _reach(blocks: DataFrame) -> list[tuple[float, int]]:
+    """(length, number of blocks that hold longer vectors or begin with such), by descending length in steps of a sixteenth of a power of 2."""
+    tops = blocks.groupBy("block").agg(F.max("length").alias("top"))
+    step = F.when(F.col("top") > 0, F.floor(F.log2("top") * 16)).otherwise(-40_000)
+    rows = tops.groupBy(step.alias("step")).agg(F.max("block").alias("last")).collect()
+    out, far = [], 0
+    for r in sorted(rows, key=lambda r: -r.step):
+        far = max(far, r.last + 1)
+        out.append((2.0 ** (r.step / 16) * (1 - 1e-9) if r.step > -40_000 else 0.0, far))
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, block: int = 16_384, queries_a_task: int = 4_096, sample: int = 20_000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` best rows other than its own."""
     spark = vectors.sparkSession
     folder = scratch(spark, "top-k")
-    base = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), quantised(F.col(vector_col), scale).alias("x"))
-    base = written(base.where("x.packed is not null").select("vec_id", "asks", "x.packed", "x.length"), f"{folder}/all")
-    n, n_queries, widest = base.agg(F.count("*"), F.count_if("asks"), F.max(F.length("packed"))).first()
-    dim, blocks = (widest or 0) // 8, max(1, -(-n // block))
-    some = base.where(share(F.col("vec_id"), "rotation") < min(1.0, sample / max(n, 1))).select("packed").collect()
-    rotation = fit_rotation(_matrix([r.packed for r in some], dim))
-    # ties in length are dealt by hash, so that one length's vectors may fill many blocks
-    ranged = base.repartitionByRange(blocks, F.col("length").desc(), F.xxhash64("vec_id", "packed")).withColumn("block", F.spark_partition_id())
-    ranged = written(ranged.select("vec_id", "packed", "length", "block"), f"{folder}/blocks")
-    longest = [(r.block, r.top) for r in ranged.groupBy("block").agg(F.max("length").alias("top")).collect()]
-    groups = max(1, -(-n_queries // queries_a_task))
-    asked = base.where("asks").select(F.col("vec_id").alias("query_id"), F.xxhash64("packed").alias("q"), "packed", "length").dropDuplicates(["query_id", "packed"])
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    meet = partial(_meet, dim=dim, k=k, rotation=rotation)
-    parts = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    kind = "query_id long, q long, vec_id long, score long"
-
-    def against(queries: DataFrame, chosen: DataFrame, at: str) -> DataFrame:
-        """``queries`` have a column block; each meets that block's vectors."""
-        left = queries.groupBy("block", "part")
-        right = chosen.withColumn("part", parts).groupBy("block", "part")
-        return written(left.cogroup(right).applyInArrow(lambda key, a, b: meet(key, a, b), kind), f"{folder}/{at}")
-
-    first = max(longest, key=lambda x: (x[1], -x[0]))[0] if longest else 0
-    begun = against(asked.withColumn("least", F.lit(None).cast("long")).withColumn("block", F.lit(first)), ranged.where(F.col("block") == first), "first")
-    reached = begun.groupBy("query_id", "q").agg(F.count("*").alias("n"), F.min("score").alias("s")).select("query_id", "q", F.when(F.col("n") >= k, F.col("s")).alias("least"))
-    others = F.array(*(F.struct(F.lit(b).alias("block"), F.lit(float(t)).alias("top")) for b, t in longest if b != first)) if len(longest) > 1 else None
-    found = begun
-    if others is not None:
-        wait = asked.join(reached, ["query_id", "q"], "left").withColumn("o", F.explode(others))
-        reach = F.col("length") * F.col("o.top") * (1 + 1e-9) + 1e-6
-        wait = wait.where(F.col("least").isNull() | (reach >= F.col("least"))).withColumn("block", F.col("o.block")).drop("o")
-        found = begun.union(against(wait, ranged.where(F.col("block") != first), "rest"))
-    best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" and scale == 2.0 ** round(np.log2(scale)) else "<f8"
+    base = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), quantised(F.col(vector_col), scale, kind).alias("x"))
+    base = base.where("x.packed is not null").select(F.monotonically_increasing_id().alias("row"), "vec_id", "asks", "x.packed", "x.length")
+    base = written(base, f"{folder}/all")
+    n, widest = base.agg(F.count("*"), F.max(F.length("packed"))).first()
+    dim = (widest or 0) // np.dtype(kind).itemsize
+    some = base.where(share(F.col("row"), "rotation") < min(1.0, sample / max(n, 1))).select("packed").collect()
+    rotation = fit_rotation(_matrix([r.packed for r in some], dim, kind))
+    asked = written(base.where("asks").select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "packed", "length"), f"{folder}/queries")
+    blocks = _in_blocks(base, n, block, folder)
+    drop(spark, f"{folder}/all")
+    meet = partial(_meet, dim=dim, k=k, rotation=rotation, kind=kind)
+    reach, total = _reach(blocks), -(-n // block)
+    best = written(spark.createDataFrame([], "q long, vec_id long, score long"), f"{folder}/best-0")
+    at, width, wave = 0, 1, 0
+    while at < total:
+        stop, wave = min(total, at + width), wave + 1
+        known = best.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("s")).select("q", F.when(F.col("n") >= k, F.col("s")).alias("least"))
+        wait = asked.join(known, "q", "left")
+        wanted = (F.col("least") - 1e-6) / F.col("length") * (1 - 1e-6)  # blocks below this length have nothing for the query
+        longer = F.size(F.filter(F.array(*(F.lit(x) for x, _ in reach)), lambda x: x >= wanted))
+        upto = F.coalesce(F.try_element_at(F.array(*(F.lit(far) for _, far in reach)), longer + 1), F.lit(total))
+        upto = F.when(F.col("least").isNull() | (F.col("least") <= 0) | (F.col("length") == 0), F.lit(total)).otherwise(upto)
+        live = written(wait.withColumn("upto", upto).where(F.col("upto") > at), f"{folder}/live-{wave}")
+        groups = max(1, -(-live.count() // queries_a_task))
+        pairs = live.withColumn("block", F.explode(F.sequence(F.lit(at), F.least("upto", F.lit(stop)) - 1))).withColumn("part", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
+        met = pairs.select(F.col("block").alias("b"), F.col("part").alias("to")).distinct()
+        shipped = blocks.where((F.col("block") >= at) & (F.col("block") < stop)).join(met, F.col("block") == F.col("b")).select("row", "vec_id", "packed", F.col("block").alias("b"), "to")
+        found = pairs.groupBy("block", "part").cogroup(shipped.groupBy("b", "to")).applyInArrow(lambda a, b: meet(a, b), "q long, vec_id long, score long")
+        found = written(found, f"{folder}/found-{wave}")
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        ranked = best.union(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+        best = written(ranked, f"{folder}/best-{wave}")
+        for name in (f"live-{wave}", f"found-{wave}", f"best-{wave - 1}"):
+            drop(spark, f"{folder}/{name}")
+        at, width = stop, width * 2
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")).cast("int")
+    return best.join(asked.select("q", "query_id"), "q").select("query_id", rank.alias("rank"), "vec_id", "score")
 
 
 #: The same for DuckDB, over a table ``embeddings``.
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
-  FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i]::HUGEINT * c.w[i]::HUGEINT)), 0) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.r <> c.r
 ), ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+  SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id,
+         greatest(-9223372036854775808, least(9223372036854775807, score))::BIGINT AS score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

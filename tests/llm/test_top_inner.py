@@ -41,15 +41,38 @@ def test_pruning_leaves_results_whole():
     vectors, queries = make(4000), make(30)
     ids, own = rng.permutation(4000), np.full(30, -1)
     rotation = top_inner.fit_rotation(vectors)
-    i, j, score, scored = top_inner.search(queries, own, vectors, ids, 5, rotation, run=64)
+    i, j, score, scored = top_inner.search(queries, own, vectors, ids, np.arange(4000), 5, rotation, run=64)
     assert scored < 0.2 * 4000 * 30
     full = queries @ vectors.T
     for q in range(30):
         order = np.lexsort((ids, -full[q]))[:5]
-        assert j[i == q].tolist() == ids[order].tolist() and score[i == q].tolist() == full[q, order].tolist()
+        assert j[i == q].tolist() == order.tolist() and score[i == q].tolist() == full[q, order].tolist()
 
 
 def test_huge_components_are_whole_numbers():
-    big = np.array([[2**30, 3], [2**30, 2], [2**30, 1]], np.int64)
-    i, j, score, _ = top_inner.search(big[:1], np.array([7]), big, np.arange(3), 2, np.eye(2))
+    big = np.array([[2.0**30, 3], [2**30, 2], [2**30, 1]])
+    i, j, score, _ = top_inner.search(big[:1], np.array([7]), big, np.arange(3), np.arange(3), 2, np.eye(2))
     assert j.tolist() == [0, 1] and score.tolist() == [2**60 + 9, 2**60 + 6]
+
+
+def test_large_components_and_scores_beyond_64_bits(spark, tmp_path):
+    data = [(0, [1e8] + [0.0] * 63, 0), (1, [1.0] + [0.0] * 63, 0), (2, [-1e30] * 64, 0), (20, [3e30] + [1.5] * 63, 0), (40, [0.0] * 64, 0), (3, [3.3e6] * 64, 0)]
+    save(spark, tmp_path, "embeddings", data, "vec_id long, embedding array<float>, score int")
+    got = {r[:3:2]: r[3] for r in rows(op3_norm_sorted(spark, str(tmp_path)), *COLUMNS)}
+    whole = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v, _ in data}
+    limit = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = {(q, c): limit(sum(a * b for a, b in zip(whole[q], whole[c]))) for q in (0, 20, 40) for c in whole if q != c}
+    assert got == want and got[0, 1] == 409600000000 and got[0, 20] == 2**63 - 1
+    save(spark, tmp_path, "embeddings", data[:2] + data[4:], "vec_id long, embedding array<float>, score int")
+    assert rows(op3_norm_sorted(spark, str(tmp_path)), *COLUMNS) == oracle(tmp_path, top_inner.SQL, COLUMNS, "embeddings")
+
+
+def test_rows_that_repeat_ids_are_queries_and_candidates_of_their_own(spark, tmp_path):
+    rng = random.Random(6)
+    data = [(i % 45, [rng.gauss(0, 2) for _ in range(6)], 0) for i in range(150)]
+    data += [(20, data[20][1], 0), (20, data[20][1], 0), (7, data[7][1], 0), (40, [1e7] * 6, 0), (40, [1.0] * 3, 0)]
+    save(spark, tmp_path, "embeddings", data, "vec_id long, embedding array<float>, score int")
+    want = oracle(tmp_path, top_inner.SQL, COLUMNS, "embeddings")
+    assert rows(op3_norm_sorted(spark, str(tmp_path)), *COLUMNS) == want
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    assert rows(top_inner.top_k(df, F.col("vec_id") % 20 == 0, block=10, queries_a_task=4), *COLUMNS) == want
