@@ -1,8 +1,11 @@
 """WARC archives as a chunked record table.
 
-A payload is rows (record_id, chunk_no, chunk): no task needs a whole record at
-once. Writing keeps a running SHA-1 and a running compressor, reading keeps a
-running decompressor, and a record's digest comes out with its last chunk.
+A payload is rows (row_id, record_id, uri, chunk_no, chunk), where row_id is the
+number of its row: it is cut first, and no later step needs a whole record at once.
+Digesting keeps a running SHA-1 from chunk to chunk, writing a running compressor,
+reading a running decompressor and SHA-1. The digest that the first pass has carried
+to a record's last chunk is what decides about duplicates and what stands in its
+header; reading compares it with the digest of what it reads.
 
     chunked        rows with a payload column → record table
     digested       record table → one row per record: bytes and digest
@@ -10,34 +13,41 @@ running decompressor, and a record's digest comes out with its last chunk.
     write_archives record table in record order → .warc.gz files, a manifest row per file
     read_archives  files → record table again, header fields with chunk 0, digest with the last
 
+A record's WARC-Record-ID is made of its record id and its row's number, so no two
+records share one; each file begins with a warcinfo record. A record without a url has
+its own record id as WARC-Target-URI, and what may not stand in a header is percent-encoded.
+
 A file's name holds the attempt that wrote it, and the manifest lists the files
 of the attempts that ended well, so lost executors leave no half archives in it.
 Files go to any store that pyarrow can reach by the URI of the shared folder.
 
-Defined results: a null payload is empty. A null record id is written as an
-empty one and read back as null. Repeated rows with the same id and payload are
-records of their own, all of them responses if that id is the payload's largest.
+Defined results: a null payload is empty. A null record id is read back as null and
+counts as the smallest. Repeated rows are records of their own; those with the same
+id and payload are all of them responses if that id is the payload's largest.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import scratch, settled, written
 
 CHUNK = 1 << 20
 WHEN = "1970-01-01T00:00:00Z"  # archives of the same rows are the same bytes
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+INFO = b"software: regulith\r\nformat: WARC File Format 1.1\r\n"
 CHUNKS = "record_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk_no int, chunk binary"
 
 
@@ -45,81 +55,93 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def chunked(df: DataFrame, id_col: str, payload_col: str, chunk: int = CHUNK, *more: str) -> DataFrame:
-    """record_id, chunk_no, last, chunk (and columns ``more``), a record's chunks one after another."""
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    whole = df.select(F.col(id_col).cast("long").alias("record_id"), *more, payload.alias("payload"))
+def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """row_id, record_id, uri, chunk_no, last, chunk from row_id, record_id, uri and payload, a record's chunks one after another."""
+    whole = rows.select("row_id", "record_id", "uri", F.coalesce("payload", F.lit(b"")).alias("payload"))
     number = F.greatest(F.lit(1), F.ceil(F.length("payload") / chunk)).cast("int")
     each = whole.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("last", F.col("chunk_no") == number - 1)
-    return each.select("record_id", *more, "chunk_no", "last", F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})").alias("chunk"))
+    return each.select("row_id", "record_id", "uri", "chunk_no", "last", F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})").alias("chunk"))
 
 
 def digested(chunks: DataFrame) -> DataFrame:
-    """record_id, payload_bytes and payload_digest (base32 SHA-1), carried from chunk to chunk."""
+    """row_id, record_id, payload_bytes and payload_digest (base32 SHA-1), carried from chunk to chunk."""
+    names = ["row_id", "record_id", "payload_bytes", "payload_digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, size = hashlib.sha1(), 0
         for batch in batches:
-            ids, sizes, digests = [], [], []
-            for key, last, chunk in zip(batch["record_id"].to_pylist(), batch["last"].to_pylist(), batch["chunk"]):
+            done = []
+            for row, key, last, chunk in zip(batch["row_id"].to_pylist(), batch["record_id"].to_pylist(), batch["last"].to_pylist(), batch["chunk"]):
                 view = chunk.as_buffer()
                 state.update(view)
                 size += view.size
                 if last:
-                    ids.append(key)
-                    sizes.append(size)
-                    digests.append(base32(state.digest()))
+                    done.append((row, key, size, base32(state.digest())))
                     state, size = hashlib.sha1(), 0
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["record_id", "payload_bytes", "payload_digest"])
+            columns = zip(*done) if done else [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names)
 
-    return chunks.select("record_id", "last", "chunk").mapInArrow(run, "record_id long, payload_bytes long, payload_digest string")
+    return chunks.select("row_id", "record_id", "last", "chunk").mapInArrow(run, "row_id long, record_id long, payload_bytes long, payload_digest string")
 
 
 def duplicates(digests: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds refers_to: the largest record id with the same payload if that is another one, else null.
+    """row_id, payload_bytes, payload_digest, and refers_to and refers_row: the record with the largest id of the same payload if its id is another, else null.
 
-    Digests are counted with partial sums, and only those held by several ids come back, as a
+    Digests are counted with partial sums, and only those held by several records come back, as a
     written table: both sides of the join are then plain exchanges, which Spark splits where a
     payload has very many records.
     """
     spark = digests.sparkSession
     heads = digests.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("d"))
-    heads = heads.agg(F.max("record_id").alias("head"), F.min("record_id").alias("least"), F.count("*").alias("n")).where("n > 1 and head is not null").select("d", "head")
+    heads = heads.agg(F.max(F.struct("record_id", "row_id")).alias("head"), F.count("*").alias("n")).where("n > 1 and head.record_id is not null").select("d", "head")
     heads = written(heads, scratch(spark, "warc-heads"))
     joined = digests.join(heads, digests.payload_digest == heads.d, "left")
-    refers = F.when(F.col("record_id").eqNullSafe(F.col("head")) | (F.col("payload_bytes") < min_bytes), None).otherwise(F.col("head"))
-    return joined.select("record_id", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    own = F.col("record_id").eqNullSafe(F.col("head.record_id")) | (F.col("payload_bytes") < min_bytes)
+    refers = lambda c: F.when(~own, F.col(f"head.{c}"))
+    return joined.select("row_id", "payload_bytes", "payload_digest", refers("record_id").alias("refers_to"), refers("row_id").alias("refers_row"))
+
 
+def _urn(key: int | None, row: int) -> str:
+    return f"<urn:record:{'' if key is None else key}:{row}>"
 
-def _head(kind: str, key: int | None, refers: int | None, size: int, digest: str) -> bytes:
-    fields = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{'' if key is None else key}>", f"WARC-Date: {WHEN}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
+
+def _head(kind: str, row: int, key: int | None, uri: str | None, refers: tuple[int, int] | None, size: int, digest: str) -> bytes:
+    target = quote(uri, safe="!#$%&'()*+,/:;=?@[]~-._") if uri else _urn(key, row)[1:-1]
+    fields = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(key, row)}", f"WARC-Target-URI: {target}", f"WARC-Date: {WHEN}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if refers is not None:
-        fields += [f"WARC-Refers-To: <urn:record:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        fields += [f"WARC-Refers-To: {_urn(*refers)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     block = len(HTTP) + (0 if refers is not None else size)
     return "\r\n".join([*fields, "Content-Type: application/http; msgtype=response", f"Content-Length: {block}", "", ""]).encode()
 
 
+def _info(name: str) -> bytes:
+    fields = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{name}>", f"WARC-Date: {WHEN}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(INFO)}", "", ""]
+    return "\r\n".join(fields).encode() + INFO + b"\r\n\r\n"
+
+
 def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Write one .warc.gz for each partition of ``chunks``; path and number of records of each.
 
-    Rows: record_id, chunk_no, last, chunk, payload_bytes, payload_digest, refers_to, with a
-    record's chunks one after another. Each record is a gzip member of its own. Revisits carry no payload.
+    Rows: those of ``chunked`` with payload_bytes, payload_digest, refers_to and refers_row, a record's
+    chunks one after another. Each record is a gzip member of its own. Revisits carry no payload.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, records, pack = None, 0, None
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("record_id", "chunk_no", "last", "payload_bytes", "payload_digest", "refers_to")]
-            for key, number, last, size, digest, refers, chunk in zip(*columns, batch["chunk"]):
+            columns = [batch[c].to_pylist() for c in ("row_id", "record_id", "uri", "chunk_no", "last", "payload_bytes", "payload_digest", "refers_to", "refers_row")]
+            for row, key, uri, number, last, size, digest, to, to_row, chunk in zip(*columns, batch["chunk"]):
                 if out is None:
                     store, at = pa.fs.FileSystem.from_uri(folder)
                     store.create_dir(at, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{at}/{name}", compression=None)
+                    out.write(gzip.compress(_info(name), level, mtime=0))
                 if number == 0:
                     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    out.write(pack.compress(_head("response" if refers is None else "revisit", key, refers, size, digest) + HTTP))
-                if refers is None:
+                    refers = None if to is None else (to, to_row)
+                    out.write(pack.compress(_head("response" if to is None else "revisit", row, key, uri, refers, size, digest) + HTTP))
+                if to is None:
                     out.write(pack.compress(chunk.as_buffer()))
                 if last:
                     out.write(pack.compress(b"\r\n\r\n") + pack.flush())
@@ -179,7 +201,7 @@ def records(source, chunk: int = CHUNK) -> Iterator[tuple]:
     A response's digest is that of the bytes read, and has to be the one in its header.
     """
     members = _Members(source)
-    number_of = re.compile(rb"<urn:record:(-?\d*)>")
+    number_of = re.compile(rb"<urn:record:(-?\d*):\d+>")
     while (line := members.line()) is not None:
         if line != b"WARC/1.1":
             raise ValueError(f"not a record: {line[:40]!r}")
@@ -187,6 +209,13 @@ def records(source, chunk: int = CHUNK) -> Iterator[tuple]:
         while line := members.line():
             name, _, value = line.partition(b": ")
             fields[name] = value
+        if fields[b"WARC-Type"] not in (b"response", b"revisit"):
+            left = int(fields[b"Content-Length"])
+            while left:
+                left -= len(members.take(min(chunk, left)))
+            if members.take(4) != b"\r\n\r\n":
+                raise ValueError("a record doesn't end where its header says")
+            continue
         key, refers = (int(m[1]) if (m := number_of.match(fields.get(f, b""))) and m[1] else None for f in (b"WARC-Record-ID", b"WARC-Refers-To"))
         kind, left = fields[b"WARC-Type"].decode(), int(fields[b"Content-Length"])
         while line := members.line():
@@ -234,29 +263,25 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, payload: bool = True)
     return manifest.select("path").mapInArrow(run, CHUNKS)
 
 
-def archive(spark: SparkSession, df: DataFrame, id_col: str, payload_col: str, folder: str, chunk: int = CHUNK, min_bytes: int = 0) -> DataFrame:
+def archive(spark: SparkSession, df: DataFrame, id_col: str, payload_col: str, folder: str, uri_col: str | None = None, chunk: int = CHUNK, min_bytes: int = 0) -> DataFrame:
     """Write ``df`` as archives below ``folder``, duplicates as revisits, and return the manifest.
 
-    Only digests are grouped. Payloads move once, to meet what their record was found to be,
-    by record id and digest, of which no value repeats but for repeated rows.
+    Only digests are grouped. Chunks move once, to meet the digest and size of their whole payload and what
+    their record was found to be, by row number, of which none repeats.
     """
-    source = df.select(F.col(id_col).cast("long").alias("record_id"), F.col(payload_col).cast("binary").alias("payload"))
-    found = written(digested(chunked(source, "record_id", "payload", chunk)), f"{folder}/digests")
-    revisits = duplicates(found, min_bytes).where(F.col("refers_to").isNotNull()).select(F.col("record_id").alias("r"), F.col("payload_digest").alias("d"), "refers_to").distinct()
-    revisits = written(revisits, f"{folder}/revisits")
-    digest = F.sha1(F.coalesce("payload", F.lit(b"")))  # hexadecimal
-    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.conv(F.substring(digest, i * 5 + 1, F.lit(5)), 16, 32), 4, "0")), "")
-    digest = F.translate(bits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    marked = source.withColumn("payload_digest", digest).withColumn("payload_bytes", F.coalesce(F.length("payload"), F.lit(0)).cast("long"))
-    marked = marked.join(revisits, F.col("record_id").eqNullSafe(F.col("r")) & (F.col("payload_digest") == F.col("d")), "left")
-    rows = chunked(marked, "record_id", "payload", chunk, "payload_bytes", "payload_digest", "refers_to")
-    return written(write_archives(rows, f"{folder}/warc"), f"{folder}/manifest")
-
-
-def through_archives(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", chunk: int = CHUNK, min_bytes: int = 0) -> DataFrame:
+    uri = F.col(uri_col).cast("string") if uri_col else F.lit(None).cast("string")
+    source = settled(df.select(F.col(id_col).cast("long").alias("record_id"), uri.alias("uri"), F.col(payload_col).cast("binary").alias("payload")), f"{folder}/source")
+    rows = chunked(source.withColumn("row_id", F.monotonically_increasing_id()), chunk)
+    found = written(digested(rows), f"{folder}/digests")
+    judged = written(duplicates(found, min_bytes).withColumnRenamed("row_id", "r"), f"{folder}/judged")
+    told = rows.join(judged, F.col("row_id") == F.col("r")).sortWithinPartitions("row_id", "chunk_no")
+    return written(write_archives(told, f"{folder}/warc"), f"{folder}/manifest")
+
+
+def through_archives(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", chunk: int = CHUNK, min_bytes: int = 0) -> DataFrame:
     """One row per row of ``df``, as read back: id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = df.sparkSession
-    manifest = archive(spark, df, id_col, payload_col, scratch(spark, "warc"), chunk, min_bytes)
+    manifest = archive(spark, df, id_col, payload_col, scratch(spark, "warc"), uri_col, chunk, min_bytes)
     back = read_archives(manifest.repartition(max(1, manifest.count())), chunk, payload=False).where(F.col("payload_digest").isNotNull())
     return back.select(F.col("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
