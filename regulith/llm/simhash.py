@@ -15,8 +15,8 @@ one component already are left out.
 Tasks get subtrees: two fingerprints that differ in at most 3 bits agree in one
 of four blocks of 16 bits, so the trie is taken with each block in front, and the
 subtree below each value of the block is a task's unit. A subtree with more than
-``subtree`` fingerprints is dealt out again, as pairs of nodes some levels deeper
-that are within the budget. What a unit returns are edges of a spanning forest,
+``subtree`` fingerprints is dealt out again, as pairs of nodes so many levels deeper
+that none holds more, if the two are within the budget. What a unit returns are edges of a spanning forest,
 fewer than it has fingerprints, whatever the number of its links. Components of
 all edges come from alternating star contractions.
 
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, scratch, small_batches, written
+from .common import as_bytes, drop, scratch, written
 
 BUDGET, BLOCKS, WIDTH = 3, 4, 16
 SMALL, MOST_PAIRS, UNIT_ROWS = 64, 1 << 17, 200_000
@@ -190,6 +190,38 @@ def _units(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
         yield edges(np.concatenate(held, 1))
 
 
+def _node() -> Column:
+    """Number of the node so many levels below the subtree's root."""
+    return F.expr(f"shiftrightunsigned(shiftleft(turned, {WIDTH}), 64 - levels)")
+
+
+def _few_bits(levels: Column, budget: int) -> Column:
+    """All numbers of ``levels`` bits of which ``budget`` at most are 1."""
+    bits = F.transform(F.sequence(F.lit(0), levels - 1), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    found, grown = F.array(F.lit(0).cast("long")), bits
+    for n in range(budget):
+        found = F.concat(found, grown)
+        if n < budget - 1:
+            lowest = lambda x: x.bitwiseAND(-x)
+            grown = F.flatten(F.transform(grown, lambda x: F.transform(F.filter(bits, lambda b: b < lowest(x)), lambda b: x.bitwiseOR(b))))
+    return found
+
+
+def _deep_enough(rows: DataFrame, hot: DataFrame, subtree: int) -> DataFrame:
+    """``hot`` with as many levels as it takes until no node holds more than ``subtree`` fingerprints. They are distinct, so an end comes."""
+    folder, i = scratch(rows.sparkSession, "subtrees"), 0
+    hot = written(hot, f"{folder}/0")
+    while hot.take(1):
+        held = rows.join(F.broadcast(hot), (F.col("block") == F.col("hb")) & (F.col("value") == F.col("hv"))).groupBy("hb", "hv", "levels", _node().alias("node")).count()
+        fullest = written(held.groupBy("hb", "hv", "levels").agg(F.max("count").alias("most")), f"{folder}/{i}-fullest")
+        if not fullest.where(F.col("most") > subtree).take(1):
+            break
+        more = F.when(F.col("most") > subtree, F.ceil(F.log2(F.col("most") / subtree)) + 1).otherwise(0)
+        i += 1
+        hot = written(fullest.select("hb", "hv", F.least(F.lit(64 - WIDTH), F.col("levels") + more).cast("int").alias("levels")), f"{folder}/{i}")
+    return hot
+
+
 def links(distinct: DataFrame, fp_col: str = "fp", budget: int = BUDGET, subtree: int = 20_000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect exactly what links within ``budget`` bits connect."""
     if budget >= BLOCKS:
@@ -199,12 +231,11 @@ def links(distinct: DataFrame, fp_col: str = "fp", budget: int = BUDGET, subtree
     rows = distinct.select(F.explode(turned).alias("t")).select("t.block", F.shiftrightunsigned("t.turned", 64 - WIDTH).cast("int").alias("value"), "t.turned")
     # one row for each value of each block: 4 * 65,536 at most, however many fingerprints there are
     hot = rows.groupBy("block", "value").count().where(F.col("count") > subtree)
-    hot = hot.select(F.col("block").alias("hb"), F.col("value").alias("hv"), F.least(F.lit(10), F.ceil(F.log2(F.col("count") / subtree)) + 1).cast("int").alias("levels"))
-    rows = rows.join(F.broadcast(hot), (F.col("block") == F.col("hb")) & (F.col("value") == F.col("hv")), "left")
-    node = F.expr(f"cast(shiftrightunsigned(shiftleft(turned, {WIDTH}), 64 - levels) as int)")
-    others = F.expr(f"filter(sequence(0, cast(shiftleft(1, levels) as int) - 1), x -> bit_count(x ^ node) <= {budget})")
-    rows = rows.withColumn("node", node).withColumn("other", F.explode(F.when(F.col("levels").isNull(), F.array(F.lit(0))).otherwise(others)))
-    rows = rows.withColumn("node", F.coalesce("node", F.lit(0)))
+    hot = hot.select(F.col("block").alias("hb"), F.col("value").alias("hv"), (F.ceil(F.log2(F.col("count") / subtree)) + 1).cast("int").alias("levels"))
+    hot = _deep_enough(rows, hot, subtree)
+    rows = rows.join(F.broadcast(hot), (F.col("block") == F.col("hb")) & (F.col("value") == F.col("hv")), "left").withColumn("node", _node())
+    other = F.when(F.col("levels").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(_few_bits(F.col("levels"), budget), lambda m: F.col("node").bitwiseXOR(m)))
+    rows = rows.withColumn("other", F.explode(other)).withColumn("node", F.coalesce("node", F.lit(0)))
     rows = rows.select("block", "value", F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q"), (F.col("node") > F.col("other")).cast("int").alias("side"), "turned")
     spread = rows.repartition("block", "value", "p", "q").sortWithinPartitions("block", "value", "p", "q", "side", "turned")
     return spread.mapInArrow(partial(_units, budget=budget), "a long, b long")
@@ -213,7 +244,7 @@ def links(distinct: DataFrame, fp_col: str = "fp", budget: int = BUDGET, subtree
 # Components ------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, salts: int = 16, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, salts: int = 16) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node of its component.
 
     Alternating large and small stars: each node ties its larger neighbours, then its smaller
@@ -230,21 +261,19 @@ def components(edges: DataFrame, salts: int = 16, rounds: int = 60) -> DataFrame
         return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(least, ["u", "salt"]).where(keep)
 
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/0")
-    was = state(now)
-    for i in range(1, rounds):
-        if not was[0]:
-            break
+    was, i = state(now), 0
+    while was[0]:
+        i += 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = star(large, F.lit(True))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
         now = written(small, f"{folder}/{i}")
+        drop(spark, f"{folder}/{i - 1}")
         is_now = state(now)
         if is_now == was:
             break
         was = is_now
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -265,7 +294,6 @@ def labelled(fps: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, subtree: int = 20_000) -> DataFrame:
     """Per row: id, fp (a signed 64-bit number) and component_id, the smallest id that links reach."""
     folder = scratch(docs.sparkSession, "simhash")
-    small_batches(docs.sparkSession)
     fps = written(docs.select(F.col(id_col), fingerprints(F.col(text_col)).alias("fp")), f"{folder}/fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), f"{folder}/distinct")
     edges = written(links(distinct, "fp", budget, subtree), f"{folder}/links")

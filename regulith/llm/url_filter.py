@@ -13,12 +13,15 @@ if its blame exceeds its trust by more than ``threshold``.
 Edges between hosts carry their number of links. The flows are one table of
 arcs, and a round is one join and one sum in Spark. Scores are whole numbers of
 1e-12, so that rounds don't depend on the order of summing. Each round is a
-written table; a host with very many arcs is a skewed partition of a join of two
-plain exchanges, which Spark splits.
+written table, which replaces the one before; a host with very many arcs is a
+skewed partition of a join of two plain exchanges, which Spark splits. Rounds go on
+until the flows stand still: damping shrinks the change of each round, so their
+number depends on damping and tolerance and not on the graph.
 
 Defined results: a null url or one without "://" has empty host and path, fits
 no rule and is allowed, as is a page whose host nothing is known of. Null html
-has no links. Links to the own host don't count. What a host without outgoing
+has no links, and html of any length is read whole. A null id is an id like
+others. Links to the own host don't count. What a host without outgoing
 arcs holds flows nowhere. Repeated rows are pages of their own.
 """
 
@@ -29,10 +32,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import drop, scratch, written
 
 UNIT = 1_000_000_000_000
-LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+#: The host of an absolute link of an element that leads to, belongs to or embeds another page.
+LINK = r"""(?i)<(?:a|area|base|link|form|i?frame|source)\b(?:[^>]*?[\s"'/])?(?:href|action|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
 def lower(text: Column) -> Column:
@@ -62,16 +66,17 @@ def matching_rule(rules: dict[str, str], host: Column, path: Column) -> Column:
 
 
 def host_edges(pages: DataFrame, host: Column, html_col: str = "html") -> DataFrame:
-    """(src, dst, links) between different hosts, from the absolute links of anchors."""
+    """(src, dst, links) between different hosts, from absolute links of anchors, areas, forms, frames, sources, and base and link elements."""
     linked = F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(LINK), F.lit(1)))
     pairs = pages.select(host.alias("src"), linked.alias("dst")).withColumn("dst", lower(F.col("dst")))
     return pairs.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust, blame) from edges (src, dst, links) and seeds (host, trusted, blocked: shares of 1).
 
-    Rounds end when trust and distrust together, and blame, change by less than ``tolerance`` of what their seeds hold.
+    Rounds end when trust and distrust change by less than ``tolerance`` of what their seeds hold, and no host's blame by
+    as much as ``tolerance``; or after ``rounds``, where given.
     """
     spark = edges.sparkSession
     folder = scratch(spark, "hosts")
@@ -84,18 +89,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     arcs = written(forth.union(back).union(blame), f"{folder}/arcs")
     stacked = seeds.select("host", F.expr(f"stack(3, 0, cast(trusted * {UNIT} as long), 1, cast(blocked * {UNIT} as long), 2, cast(blocked * {UNIT} as long)) as (kind, mass)"))
     held = written(stacked.where("mass > 0").select("kind", "host", "mass"), f"{folder}/seeds")
-    flow = (F.col("kind") == 2).alias("flow")
-    total = dict(held.groupBy(flow).agg(F.sum(F.col("mass").cast("double"))).collect())
-    now = written(held, f"{folder}/0")
-    if total and arcs.take(1):
-        for i in range(1, rounds + 1):
-            moved = now.join(arcs, (now.kind == arcs.kind) & (now.host == arcs.a)).select(arcs.kind, F.col("b").alias("host"), F.floor(F.col("mass") * F.col("part") * damping).alias("mass"))
-            after = held.union(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-            after = written(after, f"{folder}/{i}")
-            change = after.union(now.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("d")).groupBy(flow).agg(F.sum(F.abs("d").cast("double"))).collect()
-            now = after
-            if all(not d or d < tolerance * total[k] for k, d in change):
-                break
+    blamed = F.col("kind") == 2
+    total = held.agg(F.coalesce(F.sum(F.when(~blamed, F.col("mass")).cast("double")), F.lit(0.0))).first()[0]
+    now, i = written(held, f"{folder}/0"), 0
+    moving = held.take(1) and arcs.take(1)
+    while moving and (rounds is None or i < rounds):
+        i += 1
+        moved = now.join(arcs, (now.kind == arcs.kind) & (now.host == arcs.a)).select(arcs.kind, F.col("b").alias("host"), F.floor(F.col("mass") * F.col("part") * damping).alias("mass"))
+        summed = held.union(moved).withColumn("was", F.lit(0).cast("long")).union(now.select("kind", "host", F.lit(0).cast("long"), "mass"))
+        both = written(summed.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("was").alias("was")), f"{folder}/{i}")
+        after, change = both.select("kind", "host", "mass"), F.abs(F.col("mass") - F.col("was")).cast("double")
+        flown, most = both.agg(F.coalesce(F.sum(F.when(~blamed, change)), F.lit(0.0)), F.coalesce(F.max(F.when(blamed, change)), F.lit(0.0))).first()
+        drop(spark, f"{folder}/{i - 1}")
+        now, moving = after, flown > tolerance * total or most > tolerance * UNIT
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0)) / UNIT
     return now.groupBy("host").agg(score(0).alias("trust"), score(1).alias("distrust"), score(2).alias("blame"))
 
