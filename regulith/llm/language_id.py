@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, share, small_batches
+from .common import as_strings, fold, share
 
 UND = "und"
 END, BITS = 1, 21
@@ -36,7 +36,7 @@ BLOCK = 1 << 20
 def letter_table() -> np.ndarray:
     """Code point → its lower-case letter or mark, 0 for everything else."""
     table = np.zeros(0x110000, np.int64)
-    for point in range(0x32000):
+    for point in range(len(table)):
         char = chr(point)
         if char.isalpha() or unicodedata.category(char)[0] == "M":
             low = char.lower()
@@ -96,9 +96,9 @@ class Profiles:
         ranks = self.rank[at]
         return np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own))[:, None])).sum(0) / (self.size * len(own))
 
-    def predict(self, text: str | None) -> tuple[str, float, float, list[float]]:
+    def predict(self, text: str) -> tuple[str, float, float, list[float]]:
         """Language, score (1 less the distance as a share of the largest), lead over the next language, all distances."""
-        found = self.distances(text) if text and any(map(str.isalpha, text)) else None
+        found = self.distances(text) if any(map(str.isalpha, text)) else None
         if found is None:
             return UND, 0.0, 0.0, []
         best = int(found.argmin())
@@ -108,7 +108,7 @@ class Profiles:
 
 def count_udf(texts: pa.Array) -> pa.Array:
     """map<key, times> of each text."""
-    out = [counts(x or "") for x in texts.to_pylist()]
+    out = [counts(x) for x in as_strings(texts)]
     ends = np.cumsum([0, *(len(k) for k, _ in out)])
     values = [pa.array(np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64)) for i in (0, 1)]
     return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), *values)
@@ -120,7 +120,6 @@ def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
     The n-grams of some ``per_language`` documents of each language are counted in Spark;
     what comes to the driver is ``size`` keys for each language.
     """
-    small_batches(docs.sparkSession)
     rows = docs.where(may_learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     how_many = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}  # a row for each profile to come
     if not how_many:
@@ -141,7 +140,7 @@ def predicted(text: Column, profiles: Profiles) -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double, lead: double, distances: map<string, double>>")
     def predict(texts: pa.Array) -> pa.Array:
-        out = [profiles.predict(x) for x in texts.to_pylist()]
+        out = [profiles.predict(x) for x in as_strings(texts)]
         return pa.array([{"lang_pred": n, "score": s, "lead": m, "distances": list(zip(profiles.names, d))} for n, s, m, d in out], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lead", pa.float64()), ("distances", pa.map_(pa.string(), pa.float64()))]))
 
     return predict(text)

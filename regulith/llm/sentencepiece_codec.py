@@ -29,7 +29,6 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 MARK = "▁"
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
@@ -223,7 +222,6 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     ``model_path`` is read on the driver; a vocabulary has a fixed size, so its bytes travel with the tasks.
     """
-    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     done = docs.select(F.col(id_col), pieces(F.col(text_col), model, check).alias("p"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, scratch, share, small_batches, written
+from .common import as_bytes, scratch, share, written
 from .simhash import components, labelled
 
 WIDTH, LEAST = 5, 0.8
@@ -79,7 +79,6 @@ def signed(text: Column, common: np.ndarray, counts: np.ndarray, width: int = WI
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, sampled: int = 20_000, listed: int = 200_000) -> DataFrame:
     """Per row: id, fp (digest of the set) and component_id, the smallest id that links reach. Ids are distinct."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "shingles")
-    small_batches(spark)
     some = docs.where(share(F.col(id_col)) < max(0.1, sampled / max(1, docs.count())))
     often = some.select(F.explode(sets(F.col(text_col), width)).alias("h")).groupBy("h").count().where("count >= 3")
     often = often.orderBy(F.desc("count"), "h").limit(listed).toArrow()

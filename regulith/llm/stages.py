@@ -28,13 +28,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5, parts: int =
 def keep_languages(docs: DataFrame, margin: float = 0.15, parts: int = 4, held: int = 2, **how) -> DataFrame:
     """Rows with a language, that of their text.
 
-    A row goes if its text has no letter, or if its ``lang`` is a learnt language whose profile is
+    A row goes if its text has no letter (that is all with no language to learn), or if its ``lang`` is a learnt language whose profile is
     further from the text than the nearest by more than ``margin``: by that much texts wholly in another
     language are, while one with a passage in another language is not. A null ``lang`` becomes the predicted one.
     """
     profiles = language_id.learn(docs, fold(F.col("doc_id"), parts) != held, **how)
     if not profiles.names:
-        return docs.where(F.lit(False))
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
     told = _whole(docs).select("row", language_id.predicted(F.col("row.text"), profiles).alias("p"))
     behind = F.coalesce(F.try_element_at("p.distances", F.col("row.lang")) - F.try_element_at("p.distances", F.col("p.lang_pred")), F.lit(0.0))
     kept = told.where((F.col("p.lang_pred") != language_id.UND) & (behind <= margin))
