@@ -2,7 +2,7 @@
 
 A sequence of n ascending numbers below u keeps the low bits of each, as many as
 log2(u / n), packed; and the rest as gaps in unary in a bit vector, with the number
-of ones before each of its 64-bit words. ``access`` selects a one; ``successor``
+of ones, and that of zeros, before each of its 64-bit words. ``access`` selects a one; ``successor``
 selects the zeros round a bucket of equal high bits and searches its low bits.
 All lookups take arrays and are vectorised.
 """
@@ -65,14 +65,13 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view(np.uint64)
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-    return {"shape": np.array([n, low], np.int64), "low": pack(values & np.uint64((1 << low) - 1), low), "high": words, "ones": ones}
+    return {"shape": np.array([n, low], np.int64), "low": pack(values & np.uint64((1 << low) - 1), low), "high": words, "ones": ones, "zeros": np.arange(len(ones), dtype=np.int64) * 64 - ones}
 
 
 class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.width = (int(x) for x in arrays["shape"])
-        self.low, self.high, self.ones = arrays["low"], arrays["high"], arrays["ones"]
-        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        self.low, self.high, self.ones, self.zeros = (arrays[k] for k in ("low", "high", "ones", "zeros"))
 
     def _one(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, k, side="right") - 1

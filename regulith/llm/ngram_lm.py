@@ -1,27 +1,31 @@
-"""Language-model scoring with an Elias-Fano n-gram trie (order 2).
+"""Language-model scoring with an Elias-Fano n-gram trie (order 3, or 2).
 
 Tokens are the words of a text, A-Z lower-cased, and one end. The trie's first
 level is the vocabulary: XXH64 hashes of the tokens as an Elias-Fano sequence, whose
 places are the tokens' numbers, and running sums of their counts as another. The
 second level holds what follows each token: monotone pointers to a token's range of
 successors, the successors as one sequence (each is its number plus the last value of
-the range before, so that the whole ascends), and quantised log10 probabilities,
-packed. A bigram is found by the pointers of its context and a successor search
-relative to the context.
-
-    p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | v) = (c(v, w) + mu p(w)) / (c(v) + mu)
-
-where an end stands before the first word. Probabilities of known bigrams are
-quantised to ``bits`` bits between a shard's extremes; those of others follow from
-the counts of the first level.
-
-Levels are cut into shards by the first bits of a token's hash: the vocabulary by
-the token, the successors by context and by ``sides`` parts of what follows, so
-that a context which very many tokens follow isn't one task's. The number of shards
-grows with the input. Counts are summed in each batch before they are moved, cover
-every training text, and nothing is pruned. Shards are files in the shared folder,
-which scoring maps into memory; a manifest names those of the tasks that ended well.
+the range before, so that the whole ascends), running sums of their counts, and
+quantised log10 probabilities, packed. The third level holds in the same way what
+follows each entry of the second. An n-gram is found by the pointers of its context
+and a successor search relative to the context, level by level.
+
+    p(w)        = (c(w) + 1) / (N + V + 1)
+    p(w | v)    = (c(v, w) + mu_2 p(w)) / (c(v) + mu_2)
+    p(w | u, v) = (c(u, v, w) + mu_3 p(w | v)) / (c(u, v) + mu_3)
+
+where an end stands before the first word; the first token has this context of one
+token, later ones have two. Probabilities of known n-grams are quantised to ``bits``
+bits between a unit's extremes; those of others follow from the counts of the context.
+
+The vocabulary is cut into shards by the first bits of a token's hash, as many as the
+input has partitions (rounded to a power of 2). An n-gram belongs to the shard of its
+first token and, in it, to the unit of its second token's number: a shard has a unit
+for each ``unit_tokens`` tokens that it counts, so that a context which a third of all
+tokens follow is dealt to a third of all units. Counts are summed in each batch before they
+are moved, cover every training text, and nothing is pruned. Units are files in the
+shared folder, which scoring maps into memory page by page as it looks things up; a
+manifest names those of the tasks that ended well.
 
 Defined results: a null, empty or blank text is one end token. Rows with a null id
 are learnt from. Repeated rows count each time. With nothing to learn from, N and V
@@ -31,9 +35,9 @@ are 0. Two tokens with one 64-bit hash would count as one.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +52,7 @@ END = xxhash.xxh64_intdigest(b"\n", 0)  # no word holds a line break
 BLOCK_TOKENS = 1 << 20
 
 
-def token_blocks(texts: list[bytes], most: int = BLOCK_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def token_blocks(texts: Iterable[bytes], most: int = BLOCK_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(distinct hashes ascending, each token's place among them, where each text ends) of runs of texts with some ``most`` tokens.
 
     A text of more tokens is a run of its own.
@@ -72,48 +76,84 @@ def _block(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct, place, np.cumsum([len(h) + 1 for h in held])
 
 
-def bigrams(distinct: np.ndarray, place: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Context's place * number of distinct tokens + token's place, for each token."""
-    before = np.empty_like(place)
-    before[1:] = place[:-1]
-    before[0] = np.searchsorted(distinct, np.uint64(END))
-    return before * len(distinct) + place
+class Grams:
+    """Distinct bigrams and trigrams of a block, as places among its distinct tokens."""
+
+    def __init__(self, distinct: np.ndarray, place: np.ndarray, ends: np.ndarray, order: int):
+        size = len(distinct)
+        end = int(np.searchsorted(distinct, np.uint64(END)))
+        before = np.empty_like(place)
+        before[1:], before[0] = place[:-1], end  # an end stands before each text
+        pairs, self.pair, self.pair_times = np.unique(before * size + place, return_inverse=True, return_counts=True)
+        self.before, self.after = np.divmod(pairs, size)
+        if order == 2:
+            return
+        self.later = np.ones(len(place), bool)  # tokens with a context of two
+        self.later[np.concatenate([[0], ends[:-1]])] = False
+        at = np.flatnonzero(self.later)
+        triples, self.triple, self.triple_times = np.unique(self.pair[at - 1] * size + place[at], return_inverse=True, return_counts=True)
+        self.context, self.last = np.divmod(triples, size)  # the context's bigram, the token after it
+        # the bigram that ends a trigram
+        self.shorter = np.searchsorted(pairs, self.after[self.context] * size + self.last)
 
 
 # Counting and building --------------------------------------------------------------------
 
 
+BLOBS = "unit int, x binary, y binary, z binary, n binary, runs binary"
+
+
+def _squeezed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers in the narrowest type that holds them (ascending ones as steps), compressed."""
+    values = values.astype(np.uint64)
+    if ascending:
+        values = np.diff(values, prepend=np.uint64(0))
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    data = values.astype(kind).tobytes()
+    return b"%d %d " % (kind.itemsize, len(data)) + pa.compress(data, "zstd", asbytes=True)
+
+
+def _spread(data: bytes, ascending: bool = False) -> np.ndarray:
+    width, size, packed = data.split(b" ", 2)
+    if size == b"0":
+        return np.empty(0, np.uint64)
+    values = np.frombuffer(pa.decompress(packed, int(size), "zstd", asbytes=True), f"<u{int(width)}").astype(np.uint64)
+    return np.cumsum(values, dtype=np.uint64) if ascending else values
+
+
 def _blobs(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[], [], [], []]
-    return pa.record_batch([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "x", "y", "n"])
+    cols = list(zip(*rows)) or [[]] * 6
+    return pa.record_batch([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["unit", "x", "y", "z", "n", "runs"])
 
 
-BLOBS = "shard int, x binary, y binary, n binary"
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and stop."""
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+    return at, np.append(at[1:], len(values))
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for distinct, place, _ in token_blocks(as_bytes(batch.column(0))):
-            count = np.bincount(place, minlength=len(distinct)).astype("<u4")
-            yield _blobs([(s, distinct[a:b].astype("<u8").tobytes(), b"", count[a:b].tobytes()) for s, a, b in _cut(distinct, bits)])
+            count = np.bincount(place, minlength=len(distinct))
+            yield _blobs([(s, _squeezed(distinct[a:b], True), b"", b"", _squeezed(count[a:b]), b"") for s, a, b in _cut(distinct, bits)])
 
 
 def _cut(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(shard, from, to) of ascending hashes, for the shards that have any."""
     shard = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, int)
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(shard)]):
+    for a, b in zip(*(x.tolist() for x in _runs(shard))):
         yield int(shard[a]), a, b
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for chunk in column.chunks for x in chunk]) if column.length() else np.empty(0, kind)
+def _joined(column: pa.ChunkedArray, ascending: bool = False) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(_spread(x.as_py(), ascending) for x in column)])
 
 
 def _build_vocabulary(table: pa.Table, folder: str, bits: int) -> pa.Table:
-    shard = table["shard"][0].as_py()
-    hashes, where = np.unique(_joined(table["x"], "<u8"), return_inverse=True)
-    counts = np.bincount(where, _joined(table["n"], "<u4"), len(hashes)).astype(np.int64)
+    shard = table["unit"][0].as_py()
+    hashes, where = np.unique(_joined(table["x"], True), return_inverse=True)
+    counts = np.bincount(where, _joined(table["n"]), len(hashes)).astype(np.int64)
     own = hashes & np.uint64((1 << (64 - bits)) - 1)
     sums = np.concatenate([[0], np.cumsum(counts)])
     uri = f"{folder}/{shard}-{uuid.uuid4().hex}"
@@ -123,27 +163,65 @@ def _build_vocabulary(table: pa.Table, folder: str, bits: int) -> pa.Table:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``shards``: shard → (file, number of tokens); ``bits``: how many of a hash name its shard; ``sides``: parts of the successors."""
+    """``shards``: (shard, file, number of tokens, sum of their counts); ``bits``: how many of a hash name its shard."""
 
-    shards: tuple[tuple[int, str, int], ...]
+    shards: tuple[tuple[int, str, int, int], ...]
     bits: int
-    sides: int
-    distinct: int
-    total: int
+    unit_tokens: int
+
+    @cached_property
+    def distinct(self) -> int:
+        return sum(s[2] for s in self.shards)
 
+    @cached_property
+    def total(self) -> int:
+        return sum(s[3] for s in self.shards)
+
+    @cached_property
     def starts(self) -> np.ndarray:
         """Number of the first token of each shard, and of all tokens."""
         sizes = np.zeros((1 << self.bits) + 1, np.int64)
-        for shard, _, n in self.shards:
+        for shard, _, n, _ in self.shards:
             sizes[shard + 1] = n
         return np.cumsum(sizes)
 
-    def side_starts(self) -> np.ndarray:
-        return self.starts()[:: (1 << self.bits) // self.sides]
+    @cached_property
+    def first_units(self) -> np.ndarray:
+        """Number of the first unit of each shard, and of all units: one for each ``unit_tokens`` tokens."""
+        units = np.ones(1 << self.bits, np.int64)
+        for shard, _, _, n in self.shards:
+            units[shard] = -(-n // self.unit_tokens)
+        return np.concatenate([[0], np.cumsum(units)])
+
+    def unit(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit of n-grams that begin with two tokens, by their numbers, and the first token's number within its shard."""
+        shard = np.searchsorted(self.starts, first, side="right") - 1
+        units = np.diff(self.first_units)[shard]
+        return self.first_units[shard] + second * units // max(1, self.distinct), first - self.starts[shard]
+
+    def shard_of(self, unit: int) -> int:
+        return int(np.searchsorted(self.first_units, unit, side="right")) - 1
+
+    def __len__(self) -> int:
+        return self.distinct
+
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        """p of tokens with these counts."""
+        return (counts + 1) / (self.total + self.distinct + 1)
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Counts of tokens by ascending number."""
+        opened, out = opened_vocabulary(self), np.zeros(len(numbers), np.int64)
+        shard = np.searchsorted(self.starts, numbers, side="right") - 1
+        for a, b in zip(*(x.tolist() for x in _runs(shard))):
+            at = numbers[a:b] - self.starts[shard[a]]
+            sums = opened[int(shard[a])][1]
+            out[a:b] = sums.access(at + 1) - sums.access(at)
+        return out
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 if unknown) and count of ascending hashes."""
-        opened, starts = opened_vocabulary(self), self.starts()
+        opened, starts = opened_vocabulary(self), self.starts
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         for shard, a, b in _cut(hashes, self.bits):
             if shard not in opened:
@@ -158,124 +236,217 @@ class Vocabulary:
 
 @lru_cache(maxsize=1)
 def opened_vocabulary(v: Vocabulary) -> dict[int, tuple[ef.Sequence, ef.Sequence]]:
-    return {shard: tuple(ef.Sequence(ef.part(arrays, k)) for k in ("token", "sums")) for shard, uri, _ in v.shards if (arrays := ef.load(uri))}
+    return {shard: tuple(ef.Sequence(ef.part(arrays, k)) for k in ("token", "sums")) for shard, uri, *_ in v.shards if (arrays := ef.load(uri))}
 
 
-def _count_bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    starts, sides = vocabulary.starts(), vocabulary.side_starts()
+def _count_grams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, order: int) -> Iterator[pa.RecordBatch]:
+    """Bigrams, or trigrams, of each block, by unit: x and y are the first two tokens' numbers, once for each run of them, and z the third's."""
     for batch in batches:
         for distinct, place, ends in token_blocks(as_bytes(batch.column(0))):
-            keys, times = np.unique(bigrams(distinct, place, ends), return_counts=True)
+            grams = Grams(distinct, place, ends, order)
             number, _ = vocabulary.lookup(distinct)
-            before, after = np.divmod(keys, len(distinct))
-            before, after = number[before], number[after]
-            shard, side = np.searchsorted(starts, before, side="right") - 1, np.searchsorted(sides, after, side="right") - 1
-            unit = shard * vocabulary.sides + side
-            order = np.argsort(unit, kind="stable")
-            unit, x, y, n = unit[order], (before - starts[shard])[order].astype("<u4"), (after - sides[side])[order].astype("<u8"), times[order].astype("<u4")
-            at = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-            yield _blobs([(int(unit[a]), x[a:b].tobytes(), y[a:b].astype("<u4" if int(y[a:b].max()) < 1 << 32 else "<u8").tobytes(), n[a:b].tobytes()) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(unit)])])
-
-
-def _build_successors(table: pa.Table, folder: str, vocabulary: Vocabulary, mu: float, bits: int) -> pa.Table:
-    unit = table["shard"][0].as_py()
-    shard, side = divmod(unit, vocabulary.sides)
-    starts, sides = vocabulary.starts(), vocabulary.side_starts()
-    opened = opened_vocabulary(vocabulary)
-    x, n = _joined(table["x"], "<u4").astype(np.int64), _joined(table["n"], "<u4")
-    pieces = [(len(a.as_buffer()) // 4, b.as_buffer()) for a, b in zip(table["x"], table["y"])]
-    y = np.concatenate([np.frombuffer(b, "<u4" if len(b) == 4 * k else "<u8").astype(np.int64) for k, b in pieces])
-    span = int(sides[side + 1] - sides[side])
-    keys, where = np.unique(x.astype(np.uint64) * np.uint64(span) + y.astype(np.uint64), return_inverse=True)
-    times = np.bincount(where, n, len(keys))
-    before, after = (k.astype(np.int64) for k in np.divmod(keys, np.uint64(span)))
-    contexts = int(starts[shard + 1] - starts[shard])
-    pointers = np.concatenate([[0], np.cumsum(np.bincount(before, minlength=contexts))])
-    # each range goes on from the last value of the range before
-    last = np.where(np.concatenate([before[1:] != before[:-1], [True]]), after + 1, 0)
+            pair = np.arange(len(grams.before)) if order == 2 else grams.context
+            first, second, times = number[grams.before[pair]], number[grams.after[pair]], grams.pair_times if order == 2 else grams.triple_times
+            unit, x = vocabulary.unit(first, second)
+            by = np.argsort(unit, kind="stable")
+            unit, x, y, times = unit[by], x[by], second[by], times[by]
+            z = np.empty(0) if order == 2 else number[grams.last][by]
+            rows = []
+            for a, b in zip(*(k.tolist() for k in _runs(unit))):
+                if order == 2:
+                    rows.append((int(unit[a]), _squeezed(x[a:b], True), _squeezed(y[a:b]), b"", _squeezed(times[a:b]), b""))
+                else:
+                    at, stop = _runs(x[a:b] * len(vocabulary) + y[a:b])
+                    rows.append((int(unit[a]), _squeezed(x[a:b][at], True), _squeezed(y[a:b][at]), _squeezed(z[a:b]), _squeezed(times[a:b]), _squeezed(stop - at)))
+            yield _blobs(rows)
+
+
+def _ranges(before: np.ndarray, after: np.ndarray, contexts: int) -> dict[str, np.ndarray]:
+    """Pointers and successors of n-grams in order of (context, successor)."""
+    last = np.concatenate([before[1:] != before[:-1], [True]])
     first = np.concatenate([[True], before[1:] != before[:-1]])
-    carried = np.cumsum(last) - last
+    # each range goes on from the last value of the range before
+    step = np.where(last, after + 1, 0)
+    carried = np.cumsum(step) - step
     values = after + 1 + carried[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
-    context_count = np.diff(opened[shard][1].all().astype(np.int64))[before]
-    group = (1 << vocabulary.bits) // vocabulary.sides
-    counts = np.concatenate([np.diff(opened[s][1].all().astype(np.int64)) for s in range(side * group, (side + 1) * group) if s in opened])[after]
-    unigram = (counts + 1) / (vocabulary.total + vocabulary.distinct + 1)
-    log = np.log10((times + mu * unigram) / (context_count + mu))
+    pointers = np.concatenate([[0], np.cumsum(np.bincount(before, minlength=contexts))])
+    return ef.named(ef.build(pointers, len(before) + 1), "pointers") | ef.named(ef.build(values, int(values[-1]) + 1), "next")
+
+
+def _codes(log: np.ndarray, bits: int) -> dict[str, np.ndarray]:
     low, high = float(log.min()), float(log.max())
     step = (high - low) / ((1 << bits) - 1) or 1.0
-    codes = np.rint((log - low) / step).astype(np.uint64)
+    return {"codes": ef.pack(np.rint((log - low) / step).astype(np.uint64), bits), "range": np.array([low, step])}
+
+
+def _saved(unit: int, arrays: dict[str, np.ndarray], folder: str, n: int) -> pa.Table:
     uri = f"{folder}/{unit}-{uuid.uuid4().hex}"
-    arrays = ef.named(ef.build(pointers, len(keys) + 1), "pointers") | ef.named(ef.build(values, int(values[-1]) + 1), "next")
-    ef.save(uri, arrays | {"codes": ef.pack(codes, bits), "range": np.array([low, step])})
-    return pa.table([pa.array([unit], pa.int32()), pa.array([uri]), pa.array([len(keys)], pa.int64())], ["unit", "uri", "bigrams"])
+    ef.save(uri, arrays)
+    return pa.table([pa.array([unit], pa.int32()), pa.array([uri]), pa.array([n], pa.int64())], ["unit", "uri", "grams"])
+
+
+MADE = "unit int, uri string, grams long"
+
+
+def _build_bigrams(table: pa.Table, folder: str, vocabulary: Vocabulary, mu: float, bits: int) -> pa.Table:
+    unit = table["unit"][0].as_py()
+    shard = vocabulary.shard_of(unit)
+    x, y = _joined(table["x"], True), _joined(table["y"])
+    keys, where = np.unique(x * np.uint64(len(vocabulary)) + y, return_inverse=True)
+    times = np.bincount(where, _joined(table["n"]), len(keys)).astype(np.int64)
+    before, after = (k.astype(np.int64) for k in np.divmod(keys, np.uint64(len(vocabulary))))
+    follow, back = np.unique(after, return_inverse=True)
+    counts = np.diff(opened_vocabulary(vocabulary)[shard][1].all().astype(np.int64))
+    log = np.log10((times + mu * vocabulary.share(vocabulary.counts(follow))[back]) / (counts[before] + mu))
+    sums = np.concatenate([[0], np.cumsum(times)])
+    return _saved(unit, _ranges(before, after, len(counts)) | _codes(log, bits) | ef.named(ef.build(sums, int(sums[-1]) + 1), "sums"), folder, len(keys))
+
+
+def _build_trigrams(table: pa.Table, folder: str, model: Model, mu: float, bits: int) -> pa.Table:
+    unit = table["unit"][0].as_py()
+    vocabulary, level = model.vocabulary, opened_unit(model.files[0][unit], model.bits)
+    pairs, where = np.unique(_joined(table["x"], True) * np.uint64(len(vocabulary)) + _joined(table["y"]), return_inverse=True)
+    where, z, n = np.repeat(where, _joined(table["runs"]).astype(np.int64)), _joined(table["z"]), _joined(table["n"])
+    first, second = (k.astype(np.int64) for k in np.divmod(pairs, np.uint64(len(vocabulary))))
+    entry, known = level.find(first, second)
+    if not known.all():
+        raise ValueError("a trigram's context isn't among the bigrams")
+    keys, where = np.unique(entry[where].astype(np.uint64) * np.uint64(len(vocabulary)) + z, return_inverse=True)
+    times = np.bincount(where, n, len(keys)).astype(np.int64)
+    context, last = (k.astype(np.int64) for k in np.divmod(keys, np.uint64(len(vocabulary))))
+    middle = np.zeros(level.entries, np.int64)
+    middle[entry] = second
+    shorter, back = np.unique(middle[context].astype(np.uint64) * np.uint64(len(vocabulary)) + last.astype(np.uint64), return_inverse=True)
+    shorter = model.log_bigrams(*(k.astype(np.int64) for k in np.divmod(shorter, np.uint64(len(vocabulary)))))[back]
+    log = np.log10((times + mu * 10**shorter) / (level.count(context) + mu))
+    return _saved(unit, _ranges(context, last, level.entries) | _codes(log, bits), folder, len(keys))
+
+
+def _builder(model: Model, folder: str, mu: float, bits: int) -> Callable[[pa.Table], pa.Table]:
+    """What builds a unit of the level that ``model`` doesn't have yet."""
+    if not model.units:
+        return lambda table: _build_bigrams(table, folder, model.vocabulary, mu, bits)
+    return lambda table: _build_trigrams(table, folder, model, mu, bits)
+
+
+class Level:
+    """One unit's n-grams of one length: those of a context are the entries between two pointers."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], bits: int):
+        self.pointers, self.next = (ef.Sequence(ef.part(arrays, k)) for k in ("pointers", "next"))
+        self.sums = ef.Sequence(ef.part(arrays, "sums")) if "sums.shape" in arrays else None
+        self.codes, (self.low, self.step), self.bits, self.entries = arrays["codes"], arrays["range"], bits, self.next.n
+
+    def find(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each token after its context, and whether there is one."""
+        begin, stop = self.pointers.access(context).astype(np.int64), self.pointers.access(context + 1).astype(np.int64)
+        carried = np.where(begin > 0, self.next.access(np.maximum(begin - 1, 0)).astype(np.int64), 0) if len(begin) else begin
+        place, equal = self.next.successor((carried + token + 1).astype(np.uint64))
+        return place, equal & (place < stop)
+
+    def log(self, entry: np.ndarray) -> np.ndarray:
+        return self.low + self.step * ef.unpack(self.codes, self.bits, entry).astype(float)
+
+    def count(self, entry: np.ndarray) -> np.ndarray:
+        return (self.sums.access(entry + 1) - self.sums.access(entry)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Model:
+    """``units``: for bigrams, and for trigrams, (unit, file)."""
+
     vocabulary: Vocabulary
-    units: tuple[tuple[int, str], ...]
-    mu: float
+    units: tuple[tuple[tuple[int, str], ...], ...]
+    mus: tuple[float, ...]
     bits: int
 
+    @cached_property
+    def files(self) -> list[dict[int, str]]:
+        return [dict(u) for u in self.units]
+
+    def _each_unit(self, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(unit, places, first tokens' numbers in the shard) of pairs of known tokens."""
+        known = np.flatnonzero((first >= 0) & (second >= 0))
+        unit, x = self.vocabulary.unit(first[known], second[known])
+        by = np.argsort(unit, kind="stable")
+        unit, known, x = unit[by], known[by], x[by]
+        for a, b in zip(*(k.tolist() for k in _runs(unit))):
+            if int(unit[a]) in self.files[0]:
+                yield int(unit[a]), known[a:b], x[a:b]
+
     def log_bigrams(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """log10 p(after | before) of token numbers; NaN where the bigram isn't known."""
-        v, opened = self.vocabulary, opened_units(self)
-        starts, sides = v.starts(), v.side_starts()
         out = np.full(len(before), np.nan)
-        known = np.flatnonzero((before >= 0) & (after >= 0))
-        shard, side = np.searchsorted(starts, before[known], side="right") - 1, np.searchsorted(sides, after[known], side="right") - 1
-        unit = shard * v.sides + side
-        order = np.argsort(unit, kind="stable")
-        unit, known, shard, side = unit[order], known[order], shard[order], side[order]
-        at = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.empty(0, int)
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(unit)]):
-            if int(unit[a]) not in opened:
-                continue
-            pointers, following, codes, (low, step) = opened[int(unit[a])]
-            rows = known[a:b]
-            x, y = before[rows] - starts[shard[a]], after[rows] - sides[side[a]]
-            lo, hi = pointers.access(x).astype(np.int64), pointers.access(x + 1).astype(np.int64)
-            some = hi > lo
-            rows, y, lo, hi = rows[some], y[some], lo[some], hi[some]
-            carried = np.where(lo > 0, following.access(np.maximum(lo - 1, 0)).astype(np.int64), 0) if len(lo) else lo
-            place, equal = following.successor((carried + y + 1).astype(np.uint64))
-            equal &= place < hi
-            out[rows[equal]] = low + step * ef.unpack(codes, self.bits, place[equal]).astype(float)
+        for unit, rows, x in self._each_unit(before, after):
+            level = opened_unit(self.files[0][unit], self.bits)
+            entry, known = level.find(x, after[rows])
+            out[rows[known]] = level.log(entry[known])
         return out
 
-    def score(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    def score(self, texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         """(n_tokens, n_known, base_score, score) arrays of runs of the texts."""
-        v = self.vocabulary
+        v, order = self.vocabulary, len(self.units) + 1
         for distinct, place, ends in token_blocks(texts):
             number, count = v.lookup(distinct)
             first = np.concatenate([[0], ends[:-1]])
-            unigram = np.log10((count + 1) / (v.total + v.distinct + 1))
-            keys, where = np.unique(bigrams(distinct, place, ends), return_inverse=True)
-            before, after = np.divmod(keys, len(distinct))
-            log = self.log_bigrams(number[before], number[after])
-            log = np.where(np.isnan(log), np.log10(self.mu / (count[before] + self.mu)) + unigram[after], log)
-            yield np.diff(ends, prepend=0), np.add.reduceat((count > 0)[place].astype(np.int64), first), np.add.reduceat(unigram[place], first), np.add.reduceat(log[where], first)
+            unigram = np.log10(v.share(count))
+            grams = Grams(distinct, place, ends, order)
+            log = self.log_bigrams(number[grams.before], number[grams.after])
+            log = np.where(np.isnan(log), np.log10(self.mus[0] / (count[grams.before] + self.mus[0])) + unigram[grams.after], log)
+            score = log[grams.pair]
+            if order > 2 and len(grams.context):
+                score[grams.later] = self._log_trigrams(number, grams, log)[grams.triple]
+            yield np.diff(ends, prepend=0), np.add.reduceat((count > 0)[place].astype(np.int64), first), np.add.reduceat(unigram[place], first), np.add.reduceat(score, first)
+
+    def _log_trigrams(self, number: np.ndarray, grams: Grams, log: np.ndarray) -> np.ndarray:
+        """log10 p of the distinct trigrams of a block, from the logs of its distinct bigrams."""
+        out = log[grams.shorter]
+        # trigrams are in the order of their contexts, so those of one context are a run
+        begin, stop = np.searchsorted(grams.context, np.arange(len(grams.before))), np.searchsorted(grams.context, np.arange(len(grams.before)), side="right")
+        last = number[grams.last]
+        for unit, pairs, x in self._each_unit(number[grams.before], number[grams.after]):
+            level = opened_unit(self.files[0][unit], self.bits)
+            entry, known = level.find(x, number[grams.after[pairs]])
+            pairs, entry = pairs[known], entry[known]
+            size = stop[pairs] - begin[pairs]
+            rows = np.repeat(begin[pairs] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            if not len(rows):
+                continue
+            # the context is known: what follows it is found, or gets its share of the shorter context's
+            out[rows] += np.repeat(np.log10(self.mus[1] / (level.count(entry) + self.mus[1])), size)
+            if unit in self.files[1]:
+                longer = opened_unit(self.files[1][unit], self.bits)
+                token, entry = last[rows], np.repeat(entry, size)
+                told = token >= 0
+                rows, entry, token = rows[told], entry[told], token[told]
+                place, known = longer.find(entry, token)
+                out[rows[known]] = longer.log(place[known])
+        return out
 
 
-@lru_cache(maxsize=1)
-def opened_units(m: Model) -> dict[int, tuple]:
-    return {unit: (ef.Sequence(ef.part(arrays, "pointers")), ef.Sequence(ef.part(arrays, "next")), arrays["codes"], tuple(arrays["range"])) for unit, uri in m.units if (arrays := ef.load(uri))}
+@lru_cache(maxsize=4096)
+def opened_unit(uri: str, bits: int) -> Level:
+    """A unit's file, mapped."""
+    return Level(ef.load(uri), bits)
 
 
-def train(texts: DataFrame, text_col: str = "text", mu: float = 300.0, bits: int = 12, shard_bits: int | None = None) -> Model:
-    """Count and build both levels over all rows of ``texts``. ``shard_bits`` follows the number of input partitions unless given."""
+def train(texts: DataFrame, text_col: str = "text", mus: tuple[float, ...] = (300.0, 30.0), bits: int = 12, shard_bits: int | None = None, unit_tokens: int = 2_000_000) -> Model:
+    """Count and build all levels over all rows of ``texts``; ``mus`` has a weight for each level after the first. ``shard_bits`` follows the number of input partitions unless given."""
     folder = scratch(texts.sparkSession, "ngrams")
     rows = texts.select(F.col(text_col).alias("text"))
     if shard_bits is None:
-        shard_bits = min(12, max(2, (rows.rdd.getNumPartitions() // 2).bit_length()))
+        shard_bits = max(2, (rows.rdd.getNumPartitions() // 2).bit_length())
     counted = rows.mapInArrow(partial(_count_tokens, bits=shard_bits), BLOBS)
-    made = counted.groupBy("shard").applyInArrow(lambda table: _build_vocabulary(table, f"{folder}/tokens", shard_bits), "shard int, uri string, tokens long, total long")
+    made = counted.groupBy("unit").applyInArrow(lambda table: _build_vocabulary(table, f"{folder}/tokens", shard_bits), "shard int, uri string, tokens long, total long")
     shards = sorted(written(made, f"{folder}/token-files").collect())  # one row a shard
-    vocabulary = Vocabulary(tuple((r.shard, r.uri, r.tokens) for r in shards), shard_bits, 4, sum(r.tokens for r in shards), sum(r.total for r in shards))
-    counted = rows.mapInArrow(partial(_count_bigrams, vocabulary=vocabulary), BLOBS)
-    made = counted.groupBy("shard").applyInArrow(lambda table: _build_successors(table, f"{folder}/bigrams", vocabulary, mu, bits), "unit int, uri string, bigrams long")
-    units = sorted(written(made, f"{folder}/bigram-files").collect())
-    return Model(vocabulary, tuple((r.unit, r.uri) for r in units), mu, bits)
+    vocabulary = Vocabulary(tuple((r.shard, r.uri, r.tokens, r.total) for r in shards), shard_bits, unit_tokens)
+    model = Model(vocabulary, (), mus, bits)
+    for order, mu in enumerate(mus, 2):
+        counted = rows.mapInArrow(partial(_count_grams, vocabulary=vocabulary, order=order), BLOBS)
+        made = counted.groupBy("unit").applyInArrow(_builder(model, f"{folder}/{order}", mu, bits), MADE)
+        units = sorted(written(made, f"{folder}/files-{order}").collect())  # one row a unit
+        model = Model(vocabulary, (*model.units, tuple((r.unit, r.uri) for r in units)), mus, bits)
+    return model
 
 
 def scored(text: Column, model: Model) -> Column:

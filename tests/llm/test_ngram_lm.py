@@ -41,44 +41,52 @@ def documents():
     return [(*d, 1.0) for d in out + [(200, None), (201, ""), (202, " \n\t"), (None, "w1 W2 w1"), (7, out[7][1]), (203, "hot " * 5000), (204, "never seen words")]]
 
 
-def brute(docs, mu):
+def brute(docs, mu2, mu3=None):
     tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t, _ in docs]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in tokens]
-    one, two = Counter(), Counter()
+    one, two, three, pairs = Counter(), Counter(), Counter(), Counter()
     for (_, w), h in zip(tokens, held):
         if not h:
             one.update(w)
             two.update(zip([None, *w[:-1]], w))
+            three.update(zip([None, *w[:-2]], w[:-1], w[1:]))
+            pairs.update(zip([None, *w[:-2]], w[:-1]))
     n, v = sum(one.values()), len(one)
-    p = lambda x: (one[x] + 1) / (n + v + 1)
-    return sorted(
-        ((i, h, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), sum(math.log10((two[a, x] + mu * p(x)) / (one[a] + mu)) for a, x in zip([None, *w[:-1]], w))) for (i, w), h in zip(tokens, held)),
-        key=repr,
-    )
-
-
-@pytest.mark.parametrize("block,shard_bits", [(1 << 20, None), (64, 5)])
-def test_as_brute_force(spark, tmp_path, monkeypatch, block, shard_bits):
+    p1 = lambda x: (one[x] + 1) / (n + v + 1)
+    p2 = lambda a, x: (two[a, x] + mu2 * p1(x)) / (one[a] + mu2)
+    p3 = lambda a, b, x: (three[a, b, x] + mu3 * p2(b, x)) / (pairs[a, b] + mu3) if mu3 else p2(b, x)
+    out = []
+    for (i, w), h in zip(tokens, held):
+        score = math.log10(p2(None, w[0])) + sum(math.log10(p3(a, b, x)) for a, b, x in zip([None, *w[:-2]], w[:-1], w[1:]))
+        out.append((i, h, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("how", [{}, {"shard_bits": 5, "bits": 16, "unit_tokens": 100}, {"mus": (50.0,), "shard_bits": 1, "unit_tokens": 700}])
+def test_as_brute_force(spark, tmp_path, how):
     save(spark, tmp_path, "documents", documents(), "doc_id long, text string, score double")
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    found = op10_elias_fano_lm(spark, str(tmp_path)) if shard_bits is None else ngram_lm.score_documents(df, shard_bits=shard_bits, bits=16)
+    found = ngram_lm.score_documents(df, **how) if how else op10_elias_fano_lm(spark, str(tmp_path))
     got = sorted((tuple(r) for r in found.collect()), key=repr)
-    want = brute(documents(), 300.0)
+    want = brute(documents(), *how.get("mus", (300.0, 30.0)))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
-        assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
+        assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], abs=(1e-4 if "bits" in how else 1.5e-3) * w[2])
 
 
 def test_blocks_of_tokens_give_the_same_counts():
     texts = [t.encode() for _, t, _ in documents() if t]
     totals = []
     for most in (1 << 20, 50):
-        count = Counter()
+        two, three = Counter(), Counter()
         for distinct, place, ends in ngram_lm.token_blocks(texts, most):
-            keys, times = np.unique(ngram_lm.bigrams(distinct, place, ends), return_counts=True)
-            for key, n in zip(keys.tolist(), times.tolist()):
-                count[int(distinct[key // len(distinct)]), int(distinct[key % len(distinct)])] += n
-        totals.append(count)
+            g = ngram_lm.Grams(distinct, place, ends, 3)
+            for a, b, n in zip(distinct[g.before].tolist(), distinct[g.after].tolist(), g.pair_times.tolist()):
+                two[a, b] += n
+            for c, x, n in zip(g.context.tolist(), distinct[g.last].tolist(), g.triple_times.tolist()):
+                three[int(distinct[g.before[c]]), int(distinct[g.after[c]]), x] += n
+            assert (distinct[g.after[g.shorter]] == distinct[g.last]).all() and (g.before[g.shorter] == g.after[g.context]).all()
+        totals.append((two, three))
     assert totals[0] == totals[1]
 
 
