@@ -1,16 +1,23 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, with an exact prefix join.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash groups, and an exact prefix join.
 
 Words are as in ``simhash``: A-Z lower-cased, parted at ASCII white space. A
 document is the set of XXH64 digests of its shingles of ``width`` words (the whole
 sequence if there are fewer). Documents of equal set are one node; nodes link at a
 similarity of ``least`` or more, and a component is what links reach.
 
-Every pair at ``least`` or more is found: with the shingles of all documents in one
+Close copies are found by SimHash: fingerprints of the sets go through the trie
+self-join of ``simhash``, and what it links is compared by the whole sets. Fingerprints
+of documents that are similar in ``least`` differ in some 10 bits of 64, at which a trie
+of random fingerprints would have to compare nearly all of them, so the rest is found
+by a prefix join: every pair at ``least`` or more is. With the shingles of all documents in one
 order, such a pair shares one of the first n - ceil(least * n) + 1 of each. Any order
 is right; rare shingles first makes few candidates, so those that are common in a
-sample come last, by their number. A shingle's documents are first held against the
-smallest of them alone, and then, in pairs, only where components still differ: a
-group of copies needs no pairs. Candidates are compared by their whole sets.
+sample come last, by their number. Entries (shingle, document) travel packed, by the
+first bits of the shingle, and one that no other document holds ends there; those of
+sampled shingles, which many documents may hold, go as rows, whose smallest document is
+found by partial sums. A shingle's documents are first held against the smallest of them
+alone, and then, in pairs, only where components still differ: a group of copies
+needs no pairs. Candidates are compared by their whole sets.
 
 Defined results: null, empty and blank texts are copies of each other.
 """
@@ -18,6 +25,7 @@ Defined results: null, empty and blank texts are copies of each other.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -26,8 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, scratch, share, written
-from .simhash import components, labelled
+from .common import as_bytes, drop, scratch, share, written
+from .simhash import components, labelled, links
 
 WIDTH, LEAST = 5, 0.8
 SLACK = 1e-9  # what products of LEAST may be off by
@@ -59,7 +67,7 @@ def sets(text: Column, width: int = WIDTH) -> Column:
 
 
 def signed(text: Column, common: np.ndarray, counts: np.ndarray, width: int = WIDTH, least: float = LEAST) -> Column:
-    """(fp, n, prefix): digest and size of the set, and its first shingles in the order of all; ``common`` ascends."""
+    """(fp, sim, n, prefix): digest, SimHash and size of the set, and its first shingles in the order of all; ``common`` ascends."""
 
     def prefix(s: np.ndarray) -> np.ndarray:
         weight = np.zeros(len(s), np.int64)
@@ -71,48 +79,147 @@ def signed(text: Column, common: np.ndarray, counts: np.ndarray, width: int = WI
     def batch(texts: pa.Array) -> pa.Array:
         found = [shingles(x, width) for x in as_bytes(texts)]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in found], np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(fp), pa.array([len(s) for s in found], pa.int32()), _lists([prefix(s) for s in found])], ["fp", "n", "prefix"])
+        sim = np.array([majority(s) for s in found], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(fp), pa.array(sim), pa.array([len(s) for s in found], pa.int32()), _lists([prefix(s) for s in found])], ["fp", "sim", "n", "prefix"])
 
-    return F.arrow_udf(batch, "struct<fp: long, n: int, prefix: array<long>>")(text)
+    return F.arrow_udf(batch, "struct<fp: long, sim: long, n: int, prefix: array<long>>")(text)
+
+
+def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
+    """SimHash of a set: the bits that are 1 in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), block):
+        ones += np.unpackbits(hashes[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def close_pairs(nodes: DataFrame, folder: str) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (fp, sim) that connect what fingerprints within 3 bits connect."""
+    heads = written(nodes.groupBy("sim").agg(F.min("fp").alias("head")), f"{folder}/heads")
+    same = nodes.join(heads, "sim").where(F.col("fp") != F.col("head")).select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    forest = written(links(heads, "sim"), f"{folder}/forest")
+    end = lambda side: heads.select(F.col("sim").alias(side), F.col("head").alias(f"fp_{side}"))
+    return same.union(forest.join(end("a"), "a").join(end("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+
+
+ENTRIES = "part int, h binary, fp binary, n binary, at binary"
+SHARED = "h long, fp long, n int, at int, first struct<fp: long, n: int, at: int>"
+
+
+def _packed_entries(batches: Iterator[pa.RecordBatch], common: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Entries of shingles that aren't ``common``, by the first ``bits`` of the shingle."""
+    for batch in batches:
+        prefix = batch["prefix"]
+        sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
+        h = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        if len(common):
+            rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
+            h, doc, at = h[rare], doc[rare], at[rare]
+        part = (h >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+        fp, n = (batch[c].to_numpy(zero_copy_only=False) for c in ("fp", "n"))
+        rows = []
+        for p in np.flatnonzero(np.diff(ends)).tolist():
+            own = order[ends[p] : ends[p + 1]]
+            rows.append((p, h[own].tobytes(), fp[doc[own]].tobytes(), n[doc[own]].astype("<u4").tobytes(), at[own].astype("<u4").tobytes()))
+        columns = list(zip(*rows)) or [[]] * 5
+        yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "h", "fp", "n", "at"])
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Entries of shingles that several documents hold, each with that of its shingle's smallest document."""
+    read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
+    h, fp, n, at = read("h", "<i8"), read("fp", "<i8"), read("n", "<u4").astype(np.int32), read("at", "<u4").astype(np.int32)
+    by = np.argsort(h, kind="stable")
+    several = np.zeros(len(h), bool)
+    equal = h[by][1:] == h[by][:-1]
+    several[1:] |= equal
+    several[:-1] |= equal
+    by = by[several]
+    by = by[np.lexsort((fp[by], h[by]))]
+    h, fp, n, at = h[by], fp[by], n[by], at[by]
+    start = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
+    first = pa.StructArray.from_arrays([pa.array(x[head]) for x in (fp, n, at)], ["fp", "n", "at"])
+    return pa.table([pa.array(h), pa.array(fp), pa.array(n), pa.array(at), first], ["h", "fp", "n", "at", "first"])
+
+
+def shared_entries(nodes: DataFrame, common: np.ndarray, bits: int, folder: str) -> DataFrame:
+    """h, fp, n, at, first: entries of shingles that several of ``nodes`` (fp, n, prefix; fp distinct) hold, looked for in 2^``bits`` parts."""
+    packed = nodes.select("fp", "n", "prefix").mapInArrow(partial(_packed_entries, common=common, bits=bits), ENTRIES)
+    rare = written(packed.groupBy("part").applyInArrow(_shared, SHARED), f"{folder}/rare")
+    listed = nodes.sparkSession.createDataFrame(pa.table({"l": common.view(np.int64)})) if len(common) else None
+    if listed is None:
+        return rare
+    # a bounded list (``listed``); what it keeps is a small part of all entries
+    often = nodes.select("fp", "n", F.posexplode("prefix").alias("at", "h")).join(F.broadcast(listed), F.col("h") == F.col("l")).select("h", "fp", "n", "at")
+    often = written(often, f"{folder}/often")
+    first = often.groupBy("h").agg(F.min(F.struct("fp", "n", "at")).alias("first"), F.count("*").alias("many")).where("many > 1").select(F.col("h").alias("fh"), "first")
+    first = written(first, f"{folder}/first")
+    often = often.join(first, often.h == first.fh).select("h", "fp", "n", "at", "first")
+    return rare.union(often)
+
+
+def jaccard(a: Column, b: Column, width: int = WIDTH) -> Column:
+    """Similarity of the whole sets of two texts."""
+
+    def batch(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for s, t in zip(as_bytes(x), as_bytes(y)):
+            s, t = shingles(s, width), shingles(t, width)
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            out.append(common / max(1, len(s) + len(t) - common))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(batch, "double")(a, b)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, sampled: int = 20_000, listed: int = 200_000) -> DataFrame:
     """Per row: id, fp (digest of the set) and component_id, the smallest id that links reach. Ids are distinct."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "shingles")
-    some = docs.where(share(F.col(id_col)) < max(0.1, sampled / max(1, docs.count())))
-    often = some.select(F.explode(sets(F.col(text_col), width)).alias("h")).groupBy("h").count().where("count >= 3")
+    c = F.col
+    some = docs.where(share(c(id_col)) < max(0.1, sampled / max(1, docs.count())))
+    often = some.select(F.explode(sets(c(text_col), width)).alias("h")).groupBy("h").count().where("count >= 3")
     often = often.orderBy(F.desc("count"), "h").limit(listed).toArrow()
     common, counts = often["h"].to_numpy().view(np.uint64), often["count"].to_numpy()
     order = np.argsort(common)
-    told = docs.select(F.col(id_col), signed(F.col(text_col), common[order], counts[order], width, least).alias("s"))
-    fps = written(told.select(id_col, "s.*"), f"{folder}/signed")
-
-    entries = fps.select("fp", "n", F.posexplode("prefix").alias("at", "h")).groupBy("h", "fp").agg(F.min("n").alias("n"), F.min("at").alias("at"))
-    entries = written(entries, f"{folder}/entries")
-    first = entries.groupBy("h").agg(F.min(F.struct("fp", "n", "at")).alias("first"), F.count("*").alias("many")).where("many > 1").select(F.col("h").alias("fh"), "first")
-    first = written(first, f"{folder}/first")
-    shared = written(entries.join(first, entries.h == first.fh).select("h", "fp", "n", "at", "first"), f"{folder}/shared")
+    common, counts = common[order], counts[order]
+    told = docs.select(c(id_col), signed(c(text_col), common, counts, width, least).alias("s"))
+    signatures = written(told.select(id_col, "s.*"), f"{folder}/signed")
+    fps = written(signatures.select(id_col, "fp"), f"{folder}/fps")
+    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), f"{folder}/distinct")
+    nodes = signatures.join(distinct.select(c("least").alias(id_col)), id_col, "left_semi")
+    close = written(close_pairs(nodes.select("fp", "sim"), folder), f"{folder}/close")
+    shared = written(shared_entries(nodes, common, max(1, (docs.rdd.getNumPartitions() * 4 - 1).bit_length()), folder), f"{folder}/shared")
+    for name in ("signed", "rare", "often", "first"):
+        drop(spark, f"{folder}/{name}")
 
     def possible(n: Column, at: Column, m: Column, to: Column) -> Column:
         """Sets of n and m shingles whose first common ones stand at these places can reach ``least``."""
         need = F.ceil(F.lit(least / (1 + least)) * (n + m) - SLACK)
         return (F.least(n, m) >= F.greatest(n, m) * least - SLACK) & (F.least(n - at, m - to) >= need)
 
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), f"{folder}/distinct")
-    c = F.col
     stars = shared.where((c("fp") != c("first.fp")) & possible(c("n"), c("at"), c("first.n"), c("first.at")))
     stars = written(stars.select(c("first.fp").alias("a"), c("fp").alias("b")).distinct(), f"{folder}/stars")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that reach ``least``, by the whole sets."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp")
-        texts = docs.select(c(id_col).alias("least"), c(text_col).alias("text")).join(nodes, "least")
-        whole = written(texts.select("fp", sets(c("text"), width).alias("set")), f"{folder}/{name}-sets")
-        both = pairs.join(whole.select(c("fp").alias("a"), c("set").alias("x")), "a").join(whole.select(c("fp").alias("b"), c("set").alias("y")), "b")
-        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
-        return written(both.where(c("common") >= least * (c("all") - c("common")) - SLACK).select("a", "b"), f"{folder}/{name}")
-
-    edges = linked(stars, "star-links")
+        texts = docs.select(c(id_col).alias("least"), c(text_col).alias("text")).join(nodes, "least").select("fp", "text")
+        texts = written(texts, f"{folder}/{name}-texts")
+        both = pairs.join(texts.select(c("fp").alias("a"), c("text").alias("x")), "a").join(texts.select(c("fp").alias("b"), c("text").alias("y")), "b")
+        found = written(both.select("a", "b", jaccard(c("x"), c("y"), width).alias("like")).where(c("like") >= least - SLACK).select("a", "b"), f"{folder}/{name}")
+        drop(spark, f"{folder}/{name}-texts")
+        return found
+
+    near = linked(close, "close-links")
+    one = written(components(near), f"{folder}/close-roots")
+    root = lambda side: one.select(c("node").alias(side), c("root").alias(f"root_{side}"))
+    apart = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    edges = near.union(linked(written(apart, f"{folder}/apart"), "star-links"))
     roots = written(components(edges), f"{folder}/star-roots")
     held = shared.join(roots, shared.fp == roots.node, "left").select("h", "fp", "n", "at", F.coalesce("root", "fp").alias("root"), c("first.fp").alias("least"))
     held = written(held, f"{folder}/held")
@@ -121,6 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = rest.select("h", *(c(x).alias(f"{x}2") for x in ("fp", "n", "at", "root")))
     pairs = rest.join(other, "h").where((c("fp") < c("fp2")) & (c("root") != c("root2")) & possible(c("n"), c("at"), c("n2"), c("at2")))
     pairs = written(pairs.select(c("fp").alias("a"), c("fp2").alias("b")).distinct(), f"{folder}/pairs")
+    for name in ("shared", "held", "rest"):
+        drop(spark, f"{folder}/{name}")
     if pairs.take(1):
         edges = edges.union(linked(pairs, "pair-links"))
-    return labelled(fps.select(id_col, "fp"), distinct, edges, id_col, folder)
+    return labelled(fps, distinct, edges, id_col, folder)

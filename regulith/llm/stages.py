@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bradley_terry, language_id, mixing, shingle_join
-from .common import fold, keyed, scratch
+from .common import fold, keyed, scratch, written
 from .text_stats import measured, with_ratios
 
 
@@ -46,7 +46,7 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     rows = keyed(docs, scratch(docs.sparkSession, "one-of-each"))
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("row_id"))
     found = shingle_join.near_duplicates(rows.select(order.alias("key"), F.col("row.text").alias("text")), "key", "text", **how)
-    chosen = found.where(F.col("key") == F.col("component_id")).select("key.row_id")
+    chosen = written(found.where(F.col("key") == F.col("component_id")).select("key.row_id"), scratch(docs.sparkSession, "chosen"))
     return rows.join(chosen, "row_id", "left_semi").select("row.*")
 
 

@@ -114,6 +114,101 @@ def test_ngram_counts_whole_and_in_blocks(monkeypatch):
             assert got == want
 
 
+def test_verdicts_are_what_the_rules_say(spark, folder):
+    path, docs, _ = folder
+    rules = decision_list.learn(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    assert rules.rules
+    got = {(r.doc_id, r.n_words): r for r in op2_decision_list(spark, path).collect()}
+    for i, text, *_ in docs:
+        stats = dict(zip(text_stats.NAMES, brute(text or "") if len(text or "") < 5000 else text_stats.measure((text or "").encode())))
+        x = {k: stats[a] / stats[b] if stats[b] else 0.0 for k, (a, b) in text_stats.RATIOS.items()} | {"log_words": np.log10(stats["n_words"] + 1)}
+        first = next((k for k, rule in enumerate(rules.rules, 1) if all(x[n] > t if sign == ">" else x[n] <= t for n, sign, t in rule.tests)), None)
+        r = got[i, stats["n_words"]]
+        assert r.rule == first and r.kept == (not r.base_failed and first is None)
+
+
+def test_the_best_threshold_is_that_of_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        x, y = rng.integers(0, 6, (30, 3)).astype(float), rng.random(30) < 0.4
+        best = -np.inf
+        for j in range(3):
+            values = np.unique(x[:, j])
+            for t in (values[:-1] + values[1:]) / 2:
+                for covered in (x[:, j] <= t, x[:, j] > t):
+                    p, n = (y & covered).sum(), (~y & covered).sum()
+                    if p:
+                        best = max(best, p * (np.log2(p / (p + n)) - np.log2(y.sum() / len(y))))
+        found = decision_list._best(x, y, 128)
+        assert (found is None and best <= 0) or found[0] == pytest.approx(best)
+
+
+def test_ranking_is_as_by_gradient_descent_over_all_pairs():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3)) * [1, 5, 0.2]
+    y = (x @ [1.0, 0.3, -2] + rng.normal(size=40) > 0).astype(int)
+    model = bradley_terry.fit(x, y, ("a", "b", "c"), ridge=0.01)
+    z = (x - x.mean(0)) / x.std(0)
+    w = np.zeros(3)
+    for _ in range(20_000):
+        grad = 2 * 0.01 * w
+        d = np.array([z[i] - z[j] for i in range(40) if y[i] for j in range(40) if not y[j]])
+        grad -= (d / (1 + np.exp(d @ w))[:, None]).mean(0)
+        w -= 0.5 * grad
+        if np.abs(grad).max() < 1e-9:
+            break
+    assert np.array(model.weight) * x.std(0) == pytest.approx(w, abs=1e-6)
+    raw = sorted(z @ w)
+    assert raw[(y == 0).sum() - 1] < model.cut < raw[(y == 0).sum()]
+
+
+def grams(text):
+    out = {}
+    for word in "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else " " for c in text or "").split():
+        for n in (1, 2, 3):
+            padded = word if n == 1 else f"\x01{word}\x01"
+            for i in range(len(padded) - n + 1):
+                out[padded[i : i + n]] = out.get(padded[i : i + n], 0) + 1
+    return out
+
+
+def key(gram):
+    return sum(ord(c) << (21 * (len(gram) - 1 - i)) for i, c in enumerate(gram))
+
+
+def ranked(times, size):
+    return sorted(times, key=lambda g: (-times[g], key(g)))[:size]
+
+
+def test_languages_are_as_by_brute_force(spark, folder):
+    path, docs, _ = folder
+    by = {}
+    for i, text, lang, *_ in docs:
+        if lang and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            total = by.setdefault(lang, {})
+            for g, n in grams(text).items():
+                total[g] = total.get(g, 0) + n
+    profiles = {name: {g: k for k, g in enumerate(ranked(total, 400))} for name, total in by.items()}
+    got = [r for r in language_id.identify(spark.read.parquet(f"{path}/documents.parquet")).collect()]
+    texts = {(d[0], d[1]) for d in docs}
+    assert len(got) == len(texts)
+    text = {d[0]: d[1] for d in docs if d[0] not in (1, None)}
+    for r in got:
+        own = ranked(grams(text[r.doc_id]), 400) if text.get(r.doc_id) else []
+        if r.doc_id not in text or not own:
+            continue
+        far = {name: sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(own)) / (400 * len(own)) for name, p in profiles.items()}
+        best = min(far, key=lambda n: (far[n], n))
+        assert r.lang_pred == best and r.score == pytest.approx(1 - far[best]) and r.distances == pytest.approx(far)
+
+
+def test_letters_of_all_planes(spark, tmp_path):
+    docs = [(i, f"{w} {w}s", lang, None, None, None) for i in range(40) for w, lang in (("house", "en"), ("haus", "de"))]
+    save(spark, tmp_path, "documents", [*docs, (900, "\U00032100", None, None, None, None), (901, "\u0301 1", None, None, None, None)], DOCS)
+    got = {r.doc_id: r.lang_pred for r in op7_rank_profiles(spark, str(tmp_path)).collect()}
+    assert got[900] == "de" and got[901] == "und"
+
+
 def test_empty_tables(spark, tmp_path):
     save(spark, tmp_path, "documents", [], DOCS)
     save(spark, tmp_path, "labels", [], "doc_id long, quality int, toxic int")
