@@ -10,8 +10,6 @@ from __future__ import annotations
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")  # ranks 1 to 4
 
-CATEGORIES = ("learning", "compliance", "psychological", "administrative", "opportunity")
-
 #: Types of burden in their order, which matters where free text is mapped to a type.
 BURDEN_TYPES = (
     "wet_signature",
@@ -329,7 +327,4 @@ TYPE_WORDS = {"signature": "wet_signature", "notar": "notarization", "person": "
 DEFAULT_TYPE = "excessive_documentation"
 
 READABILITY_LEVELS = ("general_public", "business", "technical", "legal")
-COMPARISON_DIMENSIONS = ("fees", "timeframes", "documentation", "approvals", "accessibility", "overall_burden")
-STANDARD_TOPICS = ("business_licensing", "professional_licensing", "building_permits", "environmental_permits", "vehicle_registration", "food_service_permits", "healthcare_licensing", "contractor_licensing", "alcohol_licensing", "childcare_licensing")
-LICENSE_CATEGORIES = ("Cosmetology", "Barber", "General Contractor", "Electrician", "Plumber", "Real Estate Agent", "Registered Nurse", "K-12 Teacher")
 STAGES = ("created", "scanned", "analyzed", "drafted", "reviewed", "introduced", "enacted")

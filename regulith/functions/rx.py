@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode classes, only \n ends a line, Unicode case folding; and the same with case.
 FOLD, CASED = "(?iudU)", "(?dU)"
-MATCH = "array<struct<start: int, text: string>>"
+#: White space as Python's ``str`` methods have it: Unicode's and four separators.
+SPACE = r"[\s\x1c-\x1f]"
+#: Characters of a block of text; numbers of a run that are summed one by one.
+BLOCK, RUN = 1024, 256
 
 
 def fold(pattern: str) -> str:
@@ -18,13 +23,71 @@ def cased(pattern: str) -> str:
     return CASED + pattern
 
 
+def needed(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds, lower-cased; "" if none is sure."""
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|":
+            return ""
+        if c in "([\\.":
+            runs.append(run)
+            run = ""
+            if c == "(":
+                depth = 1
+                while depth:
+                    i += 1
+                    depth += (pattern[i] == "(") - (pattern[i] == ")") if pattern[i - 1] != "\\" else 0
+            elif c == "[":
+                i = pattern.index("]", i)
+            elif c == "\\":
+                i += 1
+        elif c in "?*":
+            runs.append(run[:-1])
+            run = ""
+        elif c == "+":
+            runs.append(run)
+            run = ""
+        elif c == "{":
+            runs.append(run[:-1])
+            run, i = "", pattern.index("}", i)
+        else:
+            run += c
+        i += 1
+    return max([*runs, run], key=len).lower()
+
+
+def folded(body: Column) -> Column:
+    """Lower case, with the letters that equal s, k and i when case is ignored as these: what ``needed`` is looked for in."""
+    return F.lower(F.translate(body, "ſ\u212aİı", "skii"))
+
+
 def count(text: Column, pattern: str) -> Column:
     """Matches of a full Java pattern (see ``fold`` and ``cased``)."""
     return F.regexp_count(text, F.lit(pattern))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often lambdas in ``body`` use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(numbers: Column) -> Column:
+    """The sum of the numbers before each place of an array of longs, in two levels: runs, and within a run."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def of(a: Column) -> Column:
+        starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1, F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        sums = lambda s: F.transform(s, lambda k: total(F.slice(a, k + 1, RUN)))
+        before = lambda t: F.transform(t, lambda _, i: total(F.slice(t, F.lit(1), i)))
+        inside = lambda k, b: F.transform(F.slice(a, k + 1, RUN), lambda _, i: b + total(F.slice(a, k + 1, i)))
+        return let(starts, lambda s: F.flatten(F.zip_with(s, let(sums(s), before), inside)))
+
+    return let(numbers, of)
 
 
 def matches(text: Column, pattern: Column) -> Column:
@@ -33,23 +96,32 @@ def matches(text: Column, pattern: Column) -> Column:
     Between the matches lie the pieces of a split, so a match starts where all pieces and
     matches before it end. The pattern mustn't match the empty string.
     """
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    none = F.struct(F.lit(0).alias("at"), F.lit(None).cast(MATCH).alias("out"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["piece"])
-        one = F.struct(start.alias("start"), pair["m"].alias("text"))
-        return F.struct((start + F.length(pair["m"])).alias("at"), F.array_append(F.coalesce(state["out"], F.array().cast(MATCH)), one).alias("out"))
+    def of(found: Column, pieces: Column) -> Column:
+        sizes = F.zip_with(found, pieces, lambda m, p: (F.length(m) + F.length(p)).cast("long"))
+        placed = F.zip_with(running(sizes), pieces, lambda at, p: (at + F.length(p)).cast("int"))
+        return F.zip_with(placed, found, lambda at, m: F.struct(at.alias("start"), m.alias("text")))
+
+    first = lambda m, p: F.slice(p, F.lit(1), F.size(m))
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: let(first(m, F.split(text, pattern, -1)), lambda p: of(m, p)))
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK characters, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
 
-    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("piece")))
-    return F.coalesce(F.aggregate(pairs, none, step, lambda s: s["out"]), F.array().cast(MATCH))
+def cut(parts: Column, begin: Column, end: Column) -> Column:
+    """Characters ``begin`` to ``end`` of a text given by its blocks: no need to walk the text from its start."""
+    first, last = F.floor(begin / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    some = F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > begin, F.substring(some, begin - first * BLOCK + 1, end - begin)).otherwise("")
 
 
-def excerpt(text: Column, start: Column, size: Column, context: int, stripped: bool) -> Column:
-    """The match with ``context`` characters on either side, and "..." where text is cut off."""
+def excerpt(parts: Column, length: Column, start: Column, size: Column, context: int, stripped: bool) -> Column:
+    """The match with ``context`` characters on either side, and "..." where text of this length is cut off."""
     begin = F.greatest(F.lit(0), start - context)
-    end = F.least(F.length(text), start + size + context)
-    body = F.substring(text, begin + 1, end - begin)
+    end = F.least(length, start + size + context)
+    body = cut(parts, begin, end)
     body = strip(body) if stripped else body
-    return F.concat(F.when(begin > 0, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))
+    return F.concat(F.when(begin > 0, "...").otherwise(""), body, F.when(end < length, "...").otherwise(""))

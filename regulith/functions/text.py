@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import rules, rx
 
-WORD = r"(?U)\S+"
+WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 
 def word_count(text: Column) -> Column:
@@ -101,23 +101,32 @@ def without_jargon(text: Column) -> Column:
     return F.regexp_replace(F.when(F.rlike(text, F.lit(rx.fold(any_jargon()))), out).otherwise(text), "  +", " ")
 
 
+def jargon_terms(text: Column) -> Column:
+    """array<struct<after, found>>: what takes a term's place, and all its matches, in the order of the terms that there are."""
+
+    def of(low: Column) -> Column:
+        terms = []
+        for term, plain in rules.JARGON.items():
+            found = F.when(F.contains(low, F.lit(rx.needed(term))), F.regexp_extract_all(text, F.lit(rx.fold(jargon_pattern(term))), F.lit(0)))
+            terms.append(F.struct(F.lit(plain or "(removed)").alias("after"), found.alias("found")))
+        return F.filter(F.array(*terms), lambda t: F.size(t["found"]) > 0)
+
+    return rx.let(rx.folded(text), of)
+
+
 def jargon_found(text: Column) -> Column:
     """Every match of every term, in the order of the terms."""
-    each = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rx.fold(jargon_pattern(t))), F.lit(0)) for t in rules.JARGON)))
-    return F.when(F.rlike(text, F.lit(rx.fold(any_jargon()))), each).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(jargon_terms(text), lambda t: t["found"]))
 
 
-def _always(value: str):
-    return lambda _: F.lit(value)
+def jargon_changes(text: Column) -> Column:
+    """array<struct<before, after, n>>: the different matches of each term, sorted, what takes their place, and how often each stands there."""
 
+    def of(t: Column) -> Column:
+        times = lambda m: F.size(F.filter(t["found"], lambda x: x == m)).cast("long")
+        return F.transform(F.array_sort(F.array_distinct(t["found"])), lambda m: F.struct(m.alias("before"), t["after"].alias("after"), times(m).alias("n")))
 
-def jargon_changes(text: Column) -> Column:
-    """array<struct<before, after>>: the different matches of each term, sorted, and what takes their place."""
-    each = []
-    for term, plain in rules.JARGON.items():
-        found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rx.fold(jargon_pattern(term))), F.lit(0))))
-        each.append(F.arrays_zip(found.alias("before"), F.transform(found, _always(plain or "(removed)")).alias("after")))
-    return F.when(F.rlike(text, F.lit(rx.fold(any_jargon()))), F.flatten(F.array(*each))).otherwise(F.array().cast("array<struct<before: string, after: string>>"))
+    return F.flatten(F.transform(jargon_terms(text), of))
 
 
 def passive_count(text: Column) -> Column:
@@ -137,29 +146,54 @@ def long_sentences(text: Column, words: int = 30, shown: int = 100, most: int =
 # Provisions -----------------------------------------------------------------------------
 
 
-def burden_score(text: Column) -> Column:
+def score_counts(text: Column) -> list[Column]:
+    """Matches of each pattern that counts for the burden score."""
+    return [rx.count(text, rx.fold(pattern)) for pattern in rules.SCORE_WEIGHTS]
+
+
+def score_of(counts: list[Column]) -> Column:
     score = F.lit(rules.SCORE_START)
-    for pattern, weight in rules.SCORE_WEIGHTS.items():
-        score = score + rx.count(text, rx.fold(pattern)) * F.lit(weight)
+    for times, weight in zip(counts, rules.SCORE_WEIGHTS.values()):
+        score = score + times * F.lit(weight)
     return F.greatest(F.lit(rules.SCORE_LOW), F.least(F.lit(rules.SCORE_HIGH), score))
 
 
-def _or_not_specified(items: Column) -> Column:
+def burden_score(text: Column) -> Column:
+    return score_of(score_counts(text))
+
+
+def or_not_specified(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.array_join(items, ", ")).otherwise("Not specified")
 
 
-def fees(text: Column, most: int = 3) -> Column:
+def fee_list(text: Column, most: int = 3) -> Column:
     found = F.slice(F.regexp_extract_all(text, F.lit(rx.cased(rules.FEE)), F.lit(1)), 1, most)
-    return _or_not_specified(F.transform(found, lambda f: F.concat(F.lit("$"), f)))
+    return F.transform(found, lambda f: F.concat(F.lit("$"), f))
 
 
-def timeframes(text: Column, most: int = 3) -> Column:
+def fees(text: Column, most: int = 3) -> Column:
+    return or_not_specified(fee_list(text, most))
+
+
+def timeframe_list(text: Column, most: int = 3) -> Column:
     part = lambda g: F.slice(F.regexp_extract_all(text, F.lit(rx.fold(rules.TIMEFRAME)), F.lit(g)), 1, most)
-    return _or_not_specified(F.zip_with(part(1), part(2), lambda n, unit: F.concat(n, F.lit(" "), unit, F.lit("s"))))
+    return F.zip_with(part(1), part(2), lambda n, unit: F.concat(n, F.lit(" "), unit, F.lit("s")))
+
+
+def timeframes(text: Column, most: int = 3) -> Column:
+    return or_not_specified(timeframe_list(text, most))
+
+
+def is_digital(text: Column) -> Column:
+    return F.rlike(text, F.lit(rx.fold(rules.DIGITAL)))
+
+
+def availability(found: Column) -> Column:
+    return F.when(found, "Available").otherwise("Not mentioned")
 
 
 def digital(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit(rx.fold(rules.DIGITAL))), "Available").otherwise("Not mentioned")
+    return availability(is_digital(text))
 
 
 # Severities and types -------------------------------------------------------------------

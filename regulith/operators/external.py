@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rx, text
+from . import compare
 from . import rewrite as plain
 
 Completer = Callable[[list[str]], list[str]]
 
+# What is said where there is no model.
 NO_KEY_REWRITE = "API key required for plain language rewriting"
 NO_KEY_GAPS = "API key required for gap analysis"
 NO_KEY_BILL = "API key required for model bill generation."
@@ -26,6 +28,19 @@ LIMITS = {"scan": 4000, "rewrite": 6000, "gap": 8000, "comparison": 10000}
 LEAST_WORDS = 50
 
 
+def _asked(completer: Completer, prompts: list[str]) -> list[dict]:
+    """Answers to a batch; where the batch fails, to one prompt after another, so that one bad prompt costs its own answer only."""
+    try:
+        answers = list(completer(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+        return [{"text": a, "error": None} for a in answers]
+    except Exception as e:  # noqa: BLE001  a failing model mustn't fail the scan
+        if len(prompts) == 1:
+            return [{"text": None, "error": str(e)}]
+        return [told for p in prompts for told in _asked(completer, [p])]
+
+
 def complete(df: DataFrame, prompt: Column, completer: Completer | None, name: str = "answer") -> DataFrame:
     """Adds struct ``name``<text, error>: the answer, or what went wrong; both null without a completer or a prompt."""
     kind = "struct<text: string, error: string>"
@@ -35,12 +50,8 @@ def complete(df: DataFrame, prompt: Column, completer: Completer | None, name: s
     def batch(prompts: pa.Array) -> pa.Array:
         asked = prompts.to_pylist()
         some = [p for p in asked if p is not None]
-        try:
-            answers = iter([{"text": a, "error": None} for a in completer(some)] if some else [])
-            told = [next(answers) if p is not None else None for p in asked]
-        except Exception as e:  # noqa: BLE001  a failing model mustn't fail the scan
-            told = [{"text": None, "error": str(e)} if p is not None else None for p in asked]
-        return pa.array(told, pa.struct([("text", pa.string()), ("error", pa.string())]))
+        answers = iter(_asked(completer, some) if some else [])
+        return pa.array([next(answers) if p is not None else None for p in asked], pa.struct([("text", pa.string()), ("error", pa.string())]))
 
     return df.withColumn(name, F.arrow_udf(batch, kind)(prompt))
 
@@ -48,20 +59,27 @@ def complete(df: DataFrame, prompt: Column, completer: Completer | None, name: s
 # Prompts --------------------------------------------------------------------------------
 
 
+BURDEN_HEAD = 'List the procedural burdens of this legal text as JSON {"burdens": [{"text_excerpt", "burden_type", "severity", "affected_parties", "estimated_impact", "reform_recommendation"}]}.\n\n'
+GAP_HEADS = ('Where does the regulation go beyond the statute or leave something out? JSON {"gaps": [{"type", "regulation_text", "statute_text", "analysis", "recommendation"}], "alignment_score": 0-100, "summary"}.\n\nSTATUTE\n', "\n\nREGULATION\n")
+BILL_HEADS = ("Draft a model bill for ", ".\n\nCURRENT LAW\n", "\n\nBEST PRACTICE\n")
+
+
 def burden_prompt(body: Column) -> Column:
-    head = 'List the procedural burdens of this legal text as JSON {"burdens": [{"text_excerpt", "burden_type", "severity", "affected_parties", "estimated_impact", "reform_recommendation"}]}.\n\n'
-    return F.concat(F.lit(head), F.substring(body, 1, LIMITS["scan"]))
+    return F.concat(F.lit(BURDEN_HEAD), F.substring(body, 1, LIMITS["scan"]))
+
+
+def rewrite_head(audience: str = "general_public", keep_structure: bool = False) -> str:
+    return f"Rewrite this text in plain language for readers of level {audience}, {'keeping its paragraphs' if keep_structure else 'restructured where that helps'}. Answer under the headings REWRITTEN TEXT:, CHANGES MADE:, LEGAL CONFIDENCE: and WARNINGS:.\n\n"
 
 
 def rewrite_prompt(body: Column, audience: str = "general_public", keep_structure: bool = False) -> Column:
     """``audience`` is one of ``rules.READABILITY_LEVELS``."""
-    head = f"Rewrite this text in plain language for readers of level {audience}, {'keeping its paragraphs' if keep_structure else 'restructured where that helps'}. Answer under the headings REWRITTEN TEXT:, CHANGES MADE:, LEGAL CONFIDENCE: and WARNINGS:.\n\n"
-    return F.concat(F.lit(head), F.substring(body, 1, LIMITS["rewrite"]))
+    return F.concat(F.lit(rewrite_head(audience, keep_structure)), F.substring(body, 1, LIMITS["rewrite"]))
 
 
 def gap_prompt(statute: Column, regulation: Column) -> Column:
-    head = 'Where does the regulation go beyond the statute or leave something out? JSON {"gaps": [{"type", "regulation_text", "statute_text", "analysis", "recommendation"}], "alignment_score": 0-100, "summary"}.\n\nSTATUTE\n'
-    return F.concat(F.lit(head), F.substring(statute, 1, LIMITS["gap"]), F.lit("\n\nREGULATION\n"), F.substring(regulation, 1, LIMITS["gap"]))
+    shown = [F.substring(c, 1, LIMITS["gap"]) for c in (statute, regulation)]
+    return F.concat(F.lit(GAP_HEADS[0]), shown[0], F.lit(GAP_HEADS[1]), shown[1])
 
 
 def comparison_prompt(topic: Column, formatted: Column) -> Column:
@@ -70,7 +88,7 @@ def comparison_prompt(topic: Column, formatted: Column) -> Column:
 
 
 def bill_prompt(jurisdiction: Column, current: Column, practice: Column) -> Column:
-    return F.concat(F.lit("Draft a model bill for "), jurisdiction, F.lit(".\n\nCURRENT LAW\n"), current, F.lit("\n\nBEST PRACTICE\n"), practice)
+    return F.concat(*(x for head, c in zip(BILL_HEADS, (jurisdiction, current, practice)) for x in (F.lit(head), c)))
 
 
 # Answers --------------------------------------------------------------------------------
@@ -115,7 +133,7 @@ def parsed_rewrite(answer: Column) -> Column:
 
 BURDENS = "burdens array<struct<text_excerpt: string, burden_type: string, severity: string, affected_parties: string, estimated_impact: string, reform_recommendation: string>>"
 GAPS = "gaps array<map<string, string>>, alignment_score double, summary string"
-COMPARISON = "rankings array<struct<jurisdiction: string, score: double, notes: string>>, key_differences array<struct<aspect: string, details: map<string, string>>>, model_provisions array<struct<source: string, text: string, rationale: string>>, recommendations array<string>"
+COMPARISON = "rankings array<struct<jurisdiction: string, score: double, notes: string>>, key_differences array<struct<aspect: string, details: map<string, string>>>, model_provisions array<struct<source: string, text: string, rationale: string>>, recommendations array<string>, _bad string"
 
 
 def answered_findings(answers: DataFrame, answer: Column, *keys: str) -> DataFrame:
@@ -196,3 +214,31 @@ def model_bill(rows: DataFrame, completer: Completer | None = None) -> DataFrame
     return told.withColumn("bill", F.lit(NO_KEY_BILL) if completer is None else F.col("answer.text")).drop("answer")
 
 
+
+
+def compared(rows: DataFrame, topic: str, completer: Completer | None = None) -> DataFrame:
+    """One row: topic, rankings, key_differences, recommendations, model_provisions of provisions (jurisdiction, text, input_ord), as arrays.
+
+    Without a completer, and where its answer fails or can't be read, it is the comparison by patterns. The
+    provisions stand in one prompt, of which ``LIMITS["comparison"]`` characters are shown: jurisdictions are few.
+    """
+    shown = F.concat(F.lit("=== "), F.col("jurisdiction"), F.lit(" ===\n"), F.substring("text", 1, LIMITS["comparison"]))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("input_ord", shown.alias("s")))), lambda x: x["s"])
+    one = rows.agg(F.array_join(listed, "\n\n").alias("formatted"))
+    told = complete(one, comparison_prompt(F.lit(topic), F.col("formatted")), completer)
+    read = told.select(F.from_json(fenced(F.col("answer.text")), COMPARISON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("m"))
+
+    ranked, differing = compare.rankings(rows), compare.differences(rows)
+    said = compare.recommendations(ranked)
+    in_order = lambda order, *cols: F.transform(F.array_sort(F.collect_list(F.struct(*order, *cols))), lambda x: F.struct(*(x[c].alias(c) for c in cols)))
+    ranks = ranked.agg(in_order(["rank"], "jurisdiction", "score", "notes").alias("ranks"))
+    details = differing.groupBy("aspect").agg(F.map_from_entries(in_order(["input_ord"], "jurisdiction", "detail")).alias("details"))
+    places = F.array_position(F.array(*map(F.lit, compare.ASPECTS)), F.col("aspect")).alias("at")
+    gathered = details.select(places, "aspect", "details").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "aspect", F.map_entries("details").alias("d")))), lambda x: F.struct(x["aspect"].alias("aspect"), F.map_from_entries(x["d"]).alias("details"))).alias("differ"))
+    advice = said.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "recommendation"))), lambda x: x["recommendation"]).alias("advice"))
+    # single rows, each with each
+    both = read.crossJoin(ranks).crossJoin(gathered).crossJoin(advice)
+    empty = lambda name: F.array().cast(both.schema["m"].dataType[name].dataType)
+    bad = F.col("m").isNull() | F.col("m._bad").isNotNull()
+    part = lambda name, plain: F.when(bad, plain).otherwise(F.coalesce(F.col(f"m.{name}"), empty(name))).alias(name)
+    return both.select(F.lit(topic).alias("topic"), part("rankings", F.col("ranks")), part("key_differences", F.col("differ")), part("recommendations", F.col("advice")), part("model_provisions", empty("model_provisions")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+# Fixed values
 CONFIDENCE = 0.95
 WARNING = "LLM rewrite unavailable - pattern-based cleanup only"
 

@@ -7,13 +7,14 @@ of something takes it in this order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, rx, text
-from . import sections
+from . import external, sections
 
 ORDER = ("sec_pos", "source_ord", "rule_ord", "match_ord")
 FINDING = ("burden_type", "category", "severity", "sev_rank", "location", "text_excerpt", "explanation", "reform_suggestion", "estimated_time_cost", "estimated_dollar_cost", "affects_population")
@@ -44,90 +45,77 @@ class ScanConfig:
 CATALOG = STATUTORY + TAXONOMY
 
 
-def needed(pattern: str) -> str:
-    """The longest run of plain characters that every match of a pattern holds, lower-cased; "" if none is sure."""
-    runs, run, i = [], "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "|":
-            return ""
-        if c in "([\\.":
-            runs.append(run)
-            run = ""
-            if c == "(":
-                depth = 1
-                while depth:
-                    i += 1
-                    depth += (pattern[i] == "(") - (pattern[i] == ")") if pattern[i - 1] != "\\" else 0
-            elif c == "[":
-                i = pattern.index("]", i)
-            elif c == "\\":
-                i += 1
-        elif c in "?*":
-            runs.append(run[:-1])
-            run = ""
-        elif c == "+":
-            runs.append(run)
-            run = ""
-        elif c == "{":
-            runs.append(run[:-1])
-            run, i = "", pattern.index("}", i)
-        else:
-            run += c
-        i += 1
-    return max([*runs, run], key=len).lower()
-
-
-def folded(body: Column) -> Column:
-    """Lower case, with the letters that equal s, k and i when case is ignored as these: what ``needed`` is looked for in."""
-    return F.lower(F.translate(body, "ſ\u212aİı", "skii"))
-
-
 def _of_rule(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), number + 1)
 
 
-def rule_matches(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, Column] | None = None) -> DataFrame:
-    """``split`` with one row for each match: number (of the rule), match_ord, start, matched, group, burden_type.
+def rule_matches(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, Column] | None = None, statutory: int = 0) -> DataFrame:
+    """``split``, without the text, with one row for each match: number (of the rule), match_ord, start, group, burden_type, text_excerpt.
 
     A rule's pattern is tried where the plain text that it needs stands; which rules match is
     decided with literal patterns, compiled once a task, and offsets are looked for where one did.
     Outer explodes, as for others Spark would work out an array once more to see if it is empty.
     Rows are multiplied in place. With ``gate`` = (n, condition), rules from the n-th on are tried
-    only where the condition holds, and give just the first match of each type.
+    only where the condition holds, and give just the first match of each type. The first
+    ``statutory`` rules' excerpts show more round the match. Excerpts are cut from blocks of the text
+    within the row, so a match carries no text along and work grows with text and matches.
     """
     first, condition = gate or (len(catalog), F.lit(True))
     tried = []
     for i, r in enumerate(catalog):
-        here = F.contains("__folded", F.lit(needed(r.pattern))) & F.rlike("text", F.lit(rx.fold(r.pattern)))
+        here = F.contains("__folded", F.lit(rx.needed(r.pattern))) & F.rlike("text", F.lit(rx.fold(r.pattern)))
         tried.append(F.when(here & condition if i >= first else here, F.lit(i)))
-    some = split.withColumn("__folded", folded(F.col("text"))).withColumn("__hits", F.array_compact(F.array(*tried))).drop("__folded")
+    some = split.withColumn("__folded", rx.folded(F.col("text"))).withColumn("__hits", F.array_compact(F.array(*tried))).drop("__folded")
     if gate is not None:
         kinds = F.array(*(F.lit(r.burden_type) for r in catalog))
         kind = lambda h: F.element_at(kinds, h + 1)
         again = lambda h, i: F.exists(F.slice("__hits", 1, i), lambda g: (g >= first) & (kind(g) == kind(h)))
         some = some.withColumn("__hits", F.filter("__hits", lambda h, i: (h < first) | ~again(h, i)))
     each = some.withColumn("number", F.explode_outer("__hits")).drop("__hits").where(F.col("number").isNotNull())
-    pattern = _of_rule([rx.fold(r.pattern) for r in catalog], F.col("number"))
-    each = each.select("*", F.posexplode_outer(rx.matches(F.col("text"), pattern)).alias("match_ord", "__m")).where(F.col("match_ord").isNotNull())
+    pattern, body = _of_rule([rx.fold(r.pattern) for r in catalog], F.col("number")), F.col("text")
+    found = rx.matches(body, pattern)
     if gate is not None:
-        each = each.where((F.col("number") < first) | (F.col("match_ord") == 0))
-    return each.select(
-        *[c for c in each.columns if c not in ("match_ord", "__m")], "match_ord", F.col("__m.start").alias("start"), F.col("__m.text").alias("matched"),
-        _of_rule([r.group for r in catalog], F.col("number")).alias("group"), _of_rule([r.burden_type for r in catalog], F.col("number")).alias("burden_type"),
-    )
+        found = F.slice(found, F.lit(1), F.when(F.col("number") < first, F.lit(2**31 - 1)).otherwise(1))
+
+    def shown(parts: Column, length: Column) -> Callable[[Column], Column]:
+        def one(m: Column) -> Column:
+            wide, narrow = (rx.excerpt(parts, length, m["start"], F.length(m["text"]), n, s) for n, s in ((150, True), (100, False)))
+            told = F.when(F.col("number") < statutory, wide).otherwise(narrow)
+            return F.struct(m["start"].alias("start"), told.alias("text_excerpt"))
+
+        return one
+
+    told = rx.let(rx.blocks(body), lambda parts: rx.let(F.length(body), lambda length: F.transform(found, shown(parts, length))))
+    kept = [c for c in each.columns if c != "text"]
+    each = each.select(*kept, F.posexplode_outer(told).alias("match_ord", "__m")).where(F.col("match_ord").isNotNull())
+    return each.select(*kept, "match_ord", F.col("__m.start").alias("start"), F.col("__m.text_excerpt").alias("text_excerpt"), _of_rule([r.group for r in catalog], F.col("number")).alias("group"), _of_rule([r.burden_type for r in catalog], F.col("number")).alias("burden_type"))
+
+
+def match_counts(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, Column] | None = None) -> DataFrame:
+    """As ``rule_matches``, with one row for each section and rule, and the number of its matches as n: no offsets, no excerpts."""
+    first, condition = gate or (len(catalog), F.lit(True))
+    counted = []
+    for i, r in enumerate(catalog):
+        here = F.contains("__folded", F.lit(rx.needed(r.pattern)))
+        times = F.when(here & condition if i >= first else here, rx.count(F.col("text"), rx.fold(r.pattern))).otherwise(0)
+        counted.append(F.struct(F.lit(i).alias("number"), times.alias("n"), F.lit(r.group).alias("group"), F.lit(r.burden_type).alias("burden_type")))
+    some = split.withColumn("__folded", rx.folded(F.col("text"))).withColumn("__hits", F.filter(F.array(*counted), lambda h: h["n"] > 0)).drop("__folded")
+    if gate is not None:
+        again = lambda h, i: F.exists(F.slice("__hits", 1, i), lambda g: (g["number"] >= first) & (g["burden_type"] == h["burden_type"]))
+        some = some.withColumn("__hits", F.filter("__hits", lambda h, i: (h["number"] < first) | ~again(h, i)))
+    each = some.drop("text").withColumn("__h", F.explode_outer("__hits")).drop("__hits").where(F.col("__h").isNotNull())
+    n = F.when(F.col("__h.number") < first, F.col("__h.n")).otherwise(1).cast("long")
+    return each.select(*(c for c in each.columns if c != "__h"), "__h.number", n.alias("n"), "__h.group", "__h.burden_type")
 
 
 def _findings(found: DataFrame, keys: tuple[str, ...], statutory: int) -> DataFrame:
     """Findings of matches; rules from number ``statutory`` on are the taxonomy's.
 
-    Statutory findings show more round the match, and words there raise their severity.
+    Words round a statutory match raise its severity.
     """
-    body, start, size, none = F.col("text"), F.col("start"), F.length("matched"), F.lit(None).cast("string")
-    own = F.col("number") < statutory
-    out = found.withColumn("text_excerpt", F.when(own, rx.excerpt(body, start, size, 150, True)).otherwise(rx.excerpt(body, start, size, 100, False)))
+    none, own = F.lit(None).cast("string"), F.col("number") < statutory
     typical = text.typical_rank(F.col("burden_type"))
-    out = out.withColumn("sev_rank", F.when(own, text.escalated(typical, F.col("text_excerpt"))).otherwise(typical).cast("int"))
+    out = found.withColumn("sev_rank", F.when(own, text.escalated(typical, F.col("text_excerpt"))).otherwise(typical).cast("int"))
     said = F.when(own, F.concat(F.lit("Statutory "), F.translate("group", "_", " "), F.lit(" requirement"))).otherwise(F.concat(F.lit("Pattern match: "), F.col("burden_type")))
     return out.select(
         *(keys or ("doc_id",)), "sec_pos", (~own).cast("int").alias("source_ord"), F.when(own, F.col("number")).otherwise(F.col("number") - statutory).alias("rule_ord"), "match_ord", "start", "burden_type",
@@ -138,7 +126,7 @@ def _findings(found: DataFrame, keys: tuple[str, ...], statutory: int) -> DataFr
 
 def statutory_findings(split: DataFrame, *keys: str) -> DataFrame:
     """Findings of the statutory rules."""
-    return _findings(rule_matches(split, STATUTORY), keys, len(STATUTORY))
+    return _findings(rule_matches(split, STATUTORY, statutory=len(STATUTORY)), keys, len(STATUTORY))
 
 
 def taxonomy_findings(split: DataFrame, *keys: str) -> DataFrame:
@@ -157,20 +145,37 @@ def merged(findings: DataFrame, *keys: str) -> DataFrame:
     return out.select(*(F.col(c) if c in by else F.col(f"p.{c}").alias(c) if c in ORDER else F.col(f"b.{c}").alias(c) for c in findings.columns))
 
 
-def scan(docs: DataFrame, config: ScanConfig = ScanConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, config: ScanConfig = ScanConfig(), id_col: str = "doc_id", text_col: str = "text", completer: external.Completer | None = None) -> DataFrame:
     """Findings of whole documents, filtered by severity and type, without a shuffle.
 
     Findings of patterns have no reform suggestion, so merging those of the taxonomy in a section
-    comes to the first match of each type, which is known where the section is.
+    comes to the first match of each type, which is known where the section is. With a ``completer``
+    eligible sections are put to it too, and its findings are merged with the taxonomy's, which takes a shuffle.
     """
     if not config.combined:
         found = statutory_findings(sections.split_sections(docs, id_col, text_col), id_col)
         return filtered(found, config.min_severity, config.burden_types)
     split = sections.with_eligibility(docs, id_col, text_col, config.least_words, config.max_sections)
-    found = _findings(rule_matches(split, CATALOG, (len(STATUTORY), F.col("eligible"))), (id_col,), len(STATUTORY))
+    if completer is None:
+        found = _findings(rule_matches(split, CATALOG, (len(STATUTORY), F.col("eligible")), len(STATUTORY)), (id_col,), len(STATUTORY))
+    else:
+        some = split.where("eligible")
+        both = taxonomy_findings(some, id_col).unionByName(external.analysed_sections(some, completer, id_col))
+        found = statutory_findings(split, id_col).unionByName(from_engine(merged(both, id_col, "sec_pos")))
     return filtered(found, config.min_severity, config.burden_types)
 
 
+def scan_counts(docs: DataFrame, config: ScanConfig = ScanConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(burden_type, category, n) of ``scan``'s findings of all severities, from numbers of matches."""
+    if config.combined:
+        split = sections.with_eligibility(docs, id_col, text_col, config.least_words, config.max_sections)
+        found = match_counts(split, CATALOG, (len(STATUTORY), F.col("eligible")))
+    else:
+        found = match_counts(sections.split_sections(docs, id_col, text_col), STATUTORY)
+    found = found.where(F.col("burden_type").isin(*config.burden_types))
+    return found.groupBy("burden_type").agg(F.sum("n").alias("n")).select("burden_type", text.category(F.col("burden_type")).alias("category"), "n")
+
+
 def filtered(findings: DataFrame, min_severity: str = "LOW", burden_types: tuple[str, ...] = rules.BURDEN_TYPES) -> DataFrame:
     out = findings.where(F.col("sev_rank") >= rules.SEVERITIES.index(min_severity) + 1)
     return out if set(burden_types) >= set(rules.BURDEN_TYPES) else out.where(F.col("burden_type").isin(*burden_types))
@@ -245,12 +250,26 @@ def burden_summary(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id")
     return joined.select(id_col, F.coalesce("__lines", F.lit("No significant procedural burdens identified.")).alias("summary"))
 
 
-def analysis(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
-    """The engine's result for each document: mode, title, findings, summary, confidence, citations. Findings merge across sections that share a location."""
+def analysis(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, completer: external.Completer | None = None) -> DataFrame:
+    """The engine's result for each document: mode, title, findings, summary, confidence, citations, recommendations. Findings merge across sections that share a location."""
     split = sections.split_sections(docs, id_col, text_col)
-    found = merged(taxonomy_findings(split, id_col), id_col)
-    listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*ORDER, *FINDING))).alias("findings"))
-    cited = split.where("header is not null").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("sec_pos", "location"))), lambda s: s["location"]).alias("citations"))
+    found = taxonomy_findings(split, id_col)
+    if completer is not None:
+        found = found.unionByName(external.analysed_sections(split, completer, id_col))
+    found = merged(found, id_col)
+    in_order = lambda order, *cols: F.array_sort(F.collect_list(F.struct(*order, *cols)))  # noqa: E731  one document's
+    listed = found.groupBy(id_col).agg(in_order(ORDER, *FINDING).alias("findings"))
+    cited = split.where("header is not null").groupBy(id_col).agg(F.transform(in_order(["sec_pos"], "location"), lambda s: s["location"]).alias("citations"))
+    advised = engine_recommendations(found, id_col).groupBy(id_col).agg(F.transform(in_order(["rank"], "recommendation"), lambda s: s["recommendation"]).alias("recommendations"))
     said = burden_summary(docs, found, id_col)
-    title = docs.select(id_col, (F.col(title_col) if title_col else F.lit("Untitled")).alias("document_title"))
-    return title.join(said, id_col).join(listed, id_col, "left").join(cited, id_col, "left").withColumns({"mode": F.lit("burden_scan"), "confidence_score": F.lit(0.85)})
+    out = docs.select(id_col, (F.col(title_col) if title_col else F.lit("Untitled")).alias("document_title")).join(said, id_col)
+    for part in (listed, cited, advised):
+        out = out.join(part, id_col, "left")
+    return out.withColumns({"mode": F.lit("burden_scan"), "confidence_score": F.lit(0.85)})
+
+
+def observed(analysed: DataFrame, name: str = "engine") -> tuple[DataFrame, Observation]:
+    """``analysis``'s rows, and the engine's counters of them (documents_analyzed, burdens_identified) once an action has run."""
+    counters = Observation(name)
+    n = F.coalesce(F.sum(F.when(F.col("findings").isNotNull(), F.size("findings")).otherwise(0)), F.lit(0))
+    return analysed.observe(counters, F.count("*").alias("documents_analyzed"), n.alias("burdens_identified")), counters

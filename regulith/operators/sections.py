@@ -25,12 +25,12 @@ def markers(body: Column) -> Column:
     return F.array_sort(F.flatten(F.array(*each)))
 
 
-def _cut(marks: Column, body: Column) -> Column:
-    """One struct a section. Text before the first marker goes; a first line of under 200 characters becomes the title."""
+def _cut(marks: Column, body: Column, parts: Column) -> Column:
+    """One struct a section, of a text and its blocks. Text before the first marker goes; a first line of under 200 characters becomes the title."""
 
     def whole(mark: Column, i: Column) -> Column:
         end = F.coalesce(F.try_element_at(marks, i + 2)["start"], F.length(body))
-        return F.struct(mark.alias("mark"), rx.strip(F.substring(body, mark["start"] + 1, end - mark["start"])).alias("whole"))
+        return F.struct(mark.alias("mark"), rx.strip(rx.cut(parts, mark["start"], end)).alias("whole"))
 
     def lined(s: Column) -> Column:
         line = F.instr(s["whole"], "\n")
@@ -52,23 +52,21 @@ def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col), *keep, body.alias("__body"))
-    marked = base.withColumn("__marks", markers(F.col("__body")))
-    cut = marked.select(id_col, *keep, F.posexplode_outer(_cut(F.col("__marks"), F.col("__body"))).alias("sec_pos", "s"))
+    marked = base.withColumns({"__marks": markers(F.col("__body")), "__parts": rx.blocks(F.col("__body"))})
+    cut = marked.select(id_col, *keep, F.posexplode_outer(_cut(F.col("__marks"), F.col("__body"), F.col("__parts"))).alias("sec_pos", "s"))
     return cut.select(id_col, *keep, "sec_pos", "s.*")
 
 
 def with_eligibility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 30, most: int = 50) -> DataFrame:
     """``split_sections`` with words and eligible: over ``least_words`` words, and among the first ``most`` such sections of the document."""
     body = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.select(F.col(id_col), body.alias("__body")).withColumn("__marks", markers(F.col("__body")))
-    cut = marked.select(id_col, _cut(F.col("__marks"), F.col("__body")).alias("s"))
+    marked = docs.select(F.col(id_col), body.alias("__body")).withColumns({"__marks": markers(F.col("__body")), "__parts": rx.blocks(F.col("__body"))})
+    cut = marked.select(id_col, _cut(F.col("__marks"), F.col("__body"), F.col("__parts")).alias("s"))
     sized = cut.withColumn("w", F.transform("s.text", text.word_count))
-    # running number of eligible sections, in one pass
-    start = F.array(F.lit(0))
-    ranks = F.aggregate("w", start, lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + (w > least_words).cast("int")))
-    each = sized.withColumn("r", F.slice(ranks, 2, F.size("w"))).select(id_col, F.posexplode_outer(F.arrays_zip("s", "w", "r")).alias("sec_pos", "z"))
+    ranks = rx.running(F.transform("w", lambda w: (w > least_words).cast("long")))  # eligible sections before each
+    each = sized.withColumn("r", ranks).select(id_col, F.posexplode_outer(F.arrays_zip("s", "w", "r")).alias("sec_pos", "z"))
     flat = each.select(id_col, "sec_pos", "z.s.*", F.col("z.w").alias("words"), F.col("z.r").alias("__rank"))
-    return flat.withColumn("eligible", (F.col("words") > least_words) & (F.col("__rank") <= most)).drop("__rank")
+    return flat.withColumn("eligible", (F.col("words") > least_words) & (F.col("__rank") < most)).drop("__rank")
 
 
 def cross_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -134,18 +134,27 @@ def without_jargon(x: str) -> str:
 
 JARGON_MATCHES = " UNION ALL ".join(f"SELECT doc_id, {i} AS term_ord, {q(plain or '(removed)')} AS after, unnest(regexp_extract_all(text, {rx(rf'\b{t}\b')})) AS before FROM corpus" for i, (t, plain) in enumerate(rules.JARGON.items()))
 
-# Provisions: the last document of a source
-PROVISIONS = (*CORPUS, ("provisions", "SELECT source AS jurisdiction, max_by(text, doc_id) AS text, min(doc_id) AS input_ord FROM corpus WHERE source <> '' AND text <> '' GROUP BY 1"))
+# Provisions: all documents of a source
+NAMED = (*CORPUS, ("named", "SELECT * FROM corpus WHERE source <> '' AND text <> ''"))
 SCORE = "greatest(1.0::DOUBLE, least(10.0::DOUBLE, 5.0::DOUBLE" + "".join(f" + {n('text', p)} * {w}::DOUBLE" for p, w in rules.SCORE_WEIGHTS.items()) + "))"
-RANKED = ("ranked", f"SELECT jurisdiction, input_ord, round({SCORE}, 6) AS score, 'Based on ' || len(regexp_extract_all(text, '\\S+')) || ' words of regulation' AS notes FROM provisions")
+SUMMED_SCORE = "greatest(1.0::DOUBLE, least(10.0::DOUBLE, 5.0::DOUBLE" + "".join(f" + sum({n('text', p)})::DOUBLE * {w}::DOUBLE" for p, w in rules.SCORE_WEIGHTS.items()) + "))"
+RANKED = ("ranked", f"SELECT source AS jurisdiction, min(doc_id) AS input_ord, round({SUMMED_SCORE}, 6) AS score, 'Based on ' || sum(len(regexp_extract_all(text, '\\S+'))) || ' words of regulation' AS notes FROM named GROUP BY 1")
 NUMBERED = ("numbered", "SELECT *, row_number() OVER (ORDER BY score, input_ord)::INTEGER AS rank FROM ranked")
 FEES = f"CASE WHEN regexp_matches(text, {q(rules.FEE)}) THEN array_to_string(list_transform(regexp_extract_all(text, {q(rules.FEE)}, 1)[1:3], lambda f: '$' || f), ', ') ELSE 'Not specified' END"
 TIMES = f"CASE WHEN regexp_matches(text, {rx(rules.TIMEFRAME)}) THEN array_to_string(list_transform(range(1, least(3, len(regexp_extract_all(text, {rx(rules.TIMEFRAME)}, 1))) + 1), lambda i: regexp_extract_all(text, {rx(rules.TIMEFRAME)}, 1)[i] || ' ' || regexp_extract_all(text, {rx(rules.TIMEFRAME)}, 2)[i] || 's'), ', ') ELSE 'Not specified' END"
 DIGITAL = f"CASE WHEN regexp_matches(text, {rx(rules.DIGITAL)}) THEN 'Available' ELSE 'Not mentioned' END"
 
 
+TIME_LIST = f"list_transform(list_zip(regexp_extract_all(text, {rx(rules.TIMEFRAME)}, 1), regexp_extract_all(text, {rx(rules.TIMEFRAME)}, 2)), lambda x: x[1] || ' ' || x[2] || 's')"
+FEE_LIST = f"list_transform(regexp_extract_all(text, {q(rules.FEE)}, 1), lambda f: '$' || f)"
+
+
 def differing(aspect: str, detail: str) -> str:
-    return with_(*PROVISIONS, ("d", f"SELECT {q(aspect)} AS aspect, jurisdiction, {detail} AS detail FROM provisions")) + "SELECT * FROM d WHERE (SELECT count(DISTINCT detail) FROM d) > 1"
+    return with_(*NAMED, ("d", f"SELECT {q(aspect)} AS aspect, source AS jurisdiction, {detail} AS detail FROM named GROUP BY source")) + "SELECT * FROM d WHERE (SELECT count(DISTINCT detail) FROM d) > 1"
+
+
+def first_three(items: str) -> str:
+    return f"coalesce(nullif(array_to_string(flatten(list({items} ORDER BY doc_id))[1:3], ', '), ''), 'Not specified')"
 
 
 LICENSE_COLUMNS = "license_key, state, license_type, training_hours, experience_days, processing_days, application_fee, exam_fee, license_fee, renewal_fee, exam_required, in_person_required, notarization_required, background_check, renewal_years, ce_hours_per_cycle, recent_reforms, burden_score, input_ord"
@@ -164,6 +173,16 @@ COMPLEXITY = (
 )
 
 
+#: Type of a free-text name, of which l is the lower case with "_" for blanks and hyphens.
+MAPPED = (
+    "CASE "
+    + " ".join(f"WHEN contains(l, {q(t)}) OR contains({q(t)}, l) THEN {q(t)}" for t in rules.BURDEN_TYPES)
+    + " "
+    + " ".join(f"WHEN contains(l, {q(w)}) THEN {q(t)}" for w, t in rules.TYPE_WORDS.items())
+    + f" ELSE {q(rules.DEFAULT_TYPE)} END"
+)
+
+
 def sql() -> dict[str, str]:
     by = lambda column: with_(*FINDINGS) + f"SELECT {column} AS value, count(*)::BIGINT AS n FROM findings GROUP BY 1"
     return {
@@ -208,11 +227,11 @@ def sql() -> dict[str, str]:
         "long_sentences": with_(*CORPUS, ("l", "SELECT doc_id, list_filter(string_split_regex(text, '[.!?]+'), lambda x: len(regexp_extract_all(x, '\\S+')) > 30)[1:5] AS l FROM corpus"), ("e", "SELECT *, unnest(range(1, len(l) + 1)) AS k FROM l"))
         + f"SELECT doc_id, (k - 1)::INTEGER AS pos, substr({strip('l[k]')}, 1, 100) || '...' AS sentence FROM e",
         "provision_scores": with_(*CORPUS) + f"SELECT doc_id, round({SCORE}, 6) AS score, {FEES} AS fees, {TIMES} AS timeframes, {DIGITAL} AS digital FROM corpus",
-        "burden_score_rank": with_(*PROVISIONS, RANKED, NUMBERED) + "SELECT rank, jurisdiction, score, notes FROM numbered",
-        "fee_differences": differing("Fees", FEES),
-        "timeframe_differences": differing("Timeframes", TIMES),
-        "digital_options": differing("Digital/Online Options", DIGITAL),
-        "basic_recommendations": with_(*PROVISIONS, RANKED, NUMBERED, ("ends", "SELECT count(*) AS n, arg_min(jurisdiction, rank) AS best, arg_max(jurisdiction, rank) AS worst, arg_max(score, rank) AS top FROM numbered"))
+        "burden_score_rank": with_(*NAMED, RANKED, NUMBERED) + "SELECT rank, jurisdiction, score, notes FROM numbered",
+        "fee_differences": differing("Fees", first_three(FEE_LIST)),
+        "timeframe_differences": differing("Timeframes", first_three(TIME_LIST)),
+        "digital_options": differing("Digital/Online Options", f"CASE WHEN bool_or(regexp_matches(text, {rx(rules.DIGITAL)})) THEN 'Available' ELSE 'Not mentioned' END"),
+        "basic_recommendations": with_(*NAMED, RANKED, NUMBERED, ("ends", "SELECT count(*) AS n, arg_min(jurisdiction, rank) AS best, arg_max(jurisdiction, rank) AS worst, arg_max(score, rank) AS top FROM numbered"))
         + "SELECT 0 AS ord, 'Consider adopting approaches from ' || best || ', which has the lowest burden score.' AS recommendation FROM ends WHERE n >= 2 UNION ALL SELECT 1, printf('Significant simplification opportunities exist - %s has a high burden score of %.1f.', worst, top) FROM ends WHERE n >= 2 AND top > 7 UNION ALL SELECT (CASE WHEN n < 2 THEN 0 WHEN top > 7 THEN 2 ELSE 1 END)::INTEGER, 'Conduct detailed analysis of specific provisions to identify model language.' FROM ends",
         "compare_states": with_(LIC, ("asked(state, o)", values([("New York", 0), ("Texas", 1), ("Nowhere", 2), ("Florida", 3)])))
         + "SELECT row_number() OVER (ORDER BY burden_score NULLS LAST, o)::INTEGER AS rank, state, training_hours::INTEGER AS training_hours, (application_fee + exam_fee + license_fee)::DOUBLE AS total_cost, processing_days::INTEGER AS processing_days, burden_score::INTEGER AS burden_score, recent_reforms, in_person_required, notarization_required FROM lic JOIN asked USING (state) WHERE license_key = 'cosmetology'",
@@ -223,9 +242,6 @@ def sql() -> dict[str, str]:
         "next_step": with_(STAGED, ("s", f"SELECT user_id, {STAGE} AS stage FROM staged")) + "SELECT stage, CASE stage WHEN 'created' THEN 'Use the Burden Scanner to analyze your target statute.' WHEN 'scanned' THEN 'Use the Gap Analyzer to compare against regulations.' WHEN 'analyzed' THEN 'Use the Cross-State Comparator to find best practices.' END AS next_step, count(*)::BIGINT AS projects FROM s GROUP BY 1, 2",
         "stage_rows": with_(STAGED, ("s", f"SELECT user_id, {STAGE} AS stage FROM staged"), ("all_stages(o, st)", values(enumerate(rules.STAGES)))) + f"SELECT user_id, o::INTEGER AS stage_ord, st AS stage, o = {INDEX} AS is_current, o < {INDEX} AS is_complete FROM s, all_stages",
         "project_upsert": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1",
-        "type_mapping": "WITH words AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT DISTINCT p_name FROM part UNION SELECT unnest(['', 'Wet Signature', 'late fees', 'notarised', 'an in-person visit', 'long wait', 'reporting', 'paper-only forms', 'mail', 'vague'])), low AS (SELECT name, translate(lower(name), ' -', '__') AS l FROM words) SELECT name, CASE "
-        + " ".join(f"WHEN contains(l, {q(t)}) OR contains({q(t)}, l) THEN {q(t)}" for t in rules.BURDEN_TYPES)
-        + " "
-        + " ".join(f"WHEN contains(l, {q(w)}) THEN {q(t)}" for w, t in rules.TYPE_WORDS.items())
-        + f" ELSE {q(rules.DEFAULT_TYPE)} END AS burden_type FROM low",
+        "type_mapping": "WITH words AS (SELECT DISTINCT event_type AS name FROM events UNION SELECT DISTINCT p_name FROM part UNION SELECT unnest(['', 'Wet Signature', 'late fees', 'notarised', 'an in-person visit', 'long wait', 'reporting', 'paper-only forms', 'mail', 'vague'])), low AS (SELECT name, translate(lower(name), ' -', '__') AS l FROM words) SELECT name, "
+        + f"{MAPPED} AS burden_type FROM low",
     }

@@ -51,8 +51,8 @@ def severity_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statutory_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.rule_matches(split(spark, sf_dir), scan.STATUTORY)
-    per = found.groupBy("burden_type", "group", "doc_id").agg(F.count("*").alias("n"))
+    found = scan.match_counts(split(spark, sf_dir), scan.STATUTORY)
+    per = found.groupBy("burden_type", "group", "doc_id").agg(F.sum("n").alias("n"))
     return per.groupBy("burden_type", "group").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
 
 
@@ -61,7 +61,7 @@ def merged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by(column: str) -> Query:
-    return lambda spark, sf_dir: findings(spark, sf_dir).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return lambda spark, sf_dir: scan.scan_counts(corpus(spark, sf_dir)).groupBy(F.col(column).alias("value")).agg(F.sum("n").alias("n"))
 
 
 def section_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,8 @@ def section_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jargon_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each different match of each document, what takes its place, and how often it stands there."""
-    found = corpus(spark, sf_dir).select("doc_id", text.jargon_found(F.col("text")).alias("found"), text.jargon_changes(F.col("text")).alias("changes"))
-    terms = F.filter("found", lambda m: m == F.col("before"))
-    return found.select("doc_id", "found", F.inline_outer("changes")).where(F.col("before").isNotNull()).select("doc_id", "before", "after", F.size(terms).cast("long").alias("n"))
+    found = corpus(spark, sf_dir).select("doc_id", F.inline_outer(text.jargon_changes(F.col("text"))))
+    return found.where(F.col("before").isNotNull())
 
 
 def complexity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +84,8 @@ def long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as jurisdictions; a later document of a source takes an earlier one's place."""
-    return compare.provisions(corpus(spark, sf_dir), "source", "text", "doc_id")
+    """Sources as jurisdictions, with all their documents."""
+    return compare.profiles(corpus(spark, sf_dir), "source", "text", "doc_id")
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,14 +122,14 @@ QUERIES: dict[str, Query] = {
     "sections": lambda s, d: split(s, d).drop("header"),
     "section_word_counts": lambda s, d: sections.document_totals(corpus(s, d)),
     "statutory_hits": statutory_hits,
-    "taxonomy_hits": lambda s, d: scan.rule_matches(split(s, d), scan.TAXONOMY).groupBy("burden_type", F.col("number").alias("rule_ord")).agg(F.count("*").alias("n")),
+    "taxonomy_hits": lambda s, d: scan.match_counts(split(s, d), scan.TAXONOMY).groupBy("burden_type", F.col("number").alias("rule_ord")).agg(F.sum("n").alias("n")),
     "severity_escalation": severity_escalation,
     "scan_findings_patterns": lambda s, d: scan.scan(corpus(s, d), scan.ScanConfig(combined=False)).select(*SHOWN),
     "scan_findings_combined": lambda s, d: findings(s, d).select(*SHOWN),
     "merged_findings": merged_findings,
     "burdens_by_type": by("burden_type"),
     "burdens_by_category": by("category"),
-    "burdens_by_severity": by("severity"),
+    "burdens_by_severity": lambda s, d: findings(s, d).groupBy(F.col("severity").alias("value")).agg(F.count("*").alias("n")),
     "high_priority": lambda s, d: scan.high_priority(findings(s, d)).select(*SHOWN),
     "scan_totals": lambda s, d: scan.totals(corpus(s, d), findings(s, d)),
     "scan_recommendations": lambda s, d: scan.scan_recommendations(findings(s, d)),

@@ -1,5 +1,6 @@
 """Documents from text, PDF and Word files.
 
+Plain text is read by Spark itself, with any line ends as \\n; the others go through Python.
 A file that can't be read gives a row with its error and a null text, so one bad file
 doesn't end a scan; ``readable`` and ``errors`` part them. Ids are a hash of the path.
 """
@@ -43,7 +44,7 @@ def pdf_text(data: bytes) -> str:
 def _read(path: str, data: bytes) -> tuple[str | None, str | None]:
     kind = path[path.rfind(".") :].lower()
     try:
-        return {".docx": docx_text, ".pdf": pdf_text, ".txt": lambda x: x.decode("utf-8")}[kind](data), None
+        return {".docx": docx_text, ".pdf": pdf_text}[kind](data), None
     except Exception as e:  # noqa: BLE001  one bad file mustn't end the scan
         return None, f"{type(e).__name__}: {e}"
 
@@ -61,13 +62,18 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt", juris
         raise ValueError(f"Unsupported file type: {name}")
     reader = spark.read.format("binaryFile")
     files = reader.load(path) if single else reader.option("pathGlobFilter", pattern).load(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [_read(p, d) for p, d in zip(batch["path"].to_pylist(), batch["content"].to_pylist())]
-            yield pa.record_batch([batch["path"], pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())], ["source", "text", "error"])
-
-    read = files.select("path", "content").mapInArrow(run, "source string, text string, error string")
+    if name.lower().endswith(".txt"):
+        raw = F.col("content").cast("string")
+        body = F.regexp_replace(F.try_validate_utf8(raw), "\r\n?", "\n")
+        read = files.select(F.col("path").alias("source"), body.alias("text"), F.when(~F.is_valid_utf8(raw), "UnicodeDecodeError: not UTF-8").alias("error"))
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = [_read(p, d.as_py()) for p, d in zip(batch["path"].to_pylist(), batch["content"])]
+                yield pa.record_batch([batch["path"], pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())], ["source", "text", "error"])
+
+        read = files.select("path", "content").mapInArrow(run, "source string, text string, error string")
     name = F.element_at(F.split("source", "/"), -1)
     return read.select(
         F.xxhash64("source").alias("doc_id"), F.regexp_replace(name, r"\.[^.]*\z", "").alias("title"), text.document_type(F.col("text")).alias("doc_type"),

@@ -11,20 +11,19 @@ SCHEMA = (
 )
 
 # Requirements by licence and state, in their order.
-T, F = True, False
 LICENSES = (
-    ("cosmetology", "California", "Cosmetology", 1600, 0, 45, 50.0, 125.0, 50.0, 50.0, T, T, F, F, 2, 0, None, 7),
-    ("cosmetology", "Texas", "Cosmetology", 1500, 0, 30, 50.0, 71.0, 50.0, 62.0, T, F, F, T, 2, 4, "2023: Reduced training hours from 1500 to 1000 for certain specialties", 5),
-    ("cosmetology", "Florida", "Cosmetology", 1200, 0, 14, 75.0, 63.0, 0.0, 64.0, T, F, F, F, 2, 16, "2020: SB 474 reduced hours from 1200 to 1000 for hair specialists", 4),
-    ("cosmetology", "New York", "Cosmetology", 1000, 0, 60, 40.0, 15.0, 40.0, 40.0, T, T, F, F, 4, 0, None, 5),
-    ("cosmetology", "Colorado", "Cosmetology", 1800, 0, 21, 35.0, 105.0, 0.0, 65.0, T, F, F, F, 2, 0, None, 6),
-    ("cosmetology", "Arizona", "Cosmetology", 1600, 0, 10, 50.0, 75.0, 0.0, 45.0, T, F, F, F, 2, 0, "2019: Universal license recognition for out-of-state practitioners", 5),
-    ("contractor", "California", "General Contractor", 0, 1460, 90, 450.0, 150.0, 200.0, 450.0, T, T, T, T, 2, 0, None, 8),
-    ("contractor", "Texas", "General Contractor", 0, 0, 0, 0.0, 0.0, 0.0, 0.0, F, F, F, F, 0, 0, "Texas does not require a state general contractor license", 1),
-    ("contractor", "Florida", "General Contractor", 0, 1460, 30, 249.0, 199.0, 100.0, 209.0, T, F, F, T, 2, 14, None, 6),
-    ("real_estate", "California", "Real Estate Agent", 135, 0, 45, 60.0, 60.0, 245.0, 245.0, T, T, F, T, 4, 45, None, 6),
-    ("real_estate", "Texas", "Real Estate Agent", 180, 0, 30, 205.0, 54.0, 0.0, 110.0, T, F, F, T, 2, 18, None, 5),
-    ("real_estate", "Florida", "Real Estate Agent", 63, 0, 14, 83.0, 57.0, 0.0, 64.0, T, F, F, T, 2, 14, "2021: Streamlined online application process", 3),
+    ("cosmetology", "California", "Cosmetology", 1600, 0, 45, 50.0, 125.0, 50.0, 50.0, True, True, False, False, 2, 0, None, 7),
+    ("cosmetology", "Texas", "Cosmetology", 1500, 0, 30, 50.0, 71.0, 50.0, 62.0, True, False, False, True, 2, 4, "2023: Reduced training hours from 1500 to 1000 for certain specialties", 5),
+    ("cosmetology", "Florida", "Cosmetology", 1200, 0, 14, 75.0, 63.0, 0.0, 64.0, True, False, False, False, 2, 16, "2020: SB 474 reduced hours from 1200 to 1000 for hair specialists", 4),
+    ("cosmetology", "New York", "Cosmetology", 1000, 0, 60, 40.0, 15.0, 40.0, 40.0, True, True, False, False, 4, 0, None, 5),
+    ("cosmetology", "Colorado", "Cosmetology", 1800, 0, 21, 35.0, 105.0, 0.0, 65.0, True, False, False, False, 2, 0, None, 6),
+    ("cosmetology", "Arizona", "Cosmetology", 1600, 0, 10, 50.0, 75.0, 0.0, 45.0, True, False, False, False, 2, 0, "2019: Universal license recognition for out-of-state practitioners", 5),
+    ("contractor", "California", "General Contractor", 0, 1460, 90, 450.0, 150.0, 200.0, 450.0, True, True, True, True, 2, 0, None, 8),
+    ("contractor", "Texas", "General Contractor", 0, 0, 0, 0.0, 0.0, 0.0, 0.0, False, False, False, False, 0, 0, "Texas does not require a state general contractor license", 1),
+    ("contractor", "Florida", "General Contractor", 0, 1460, 30, 249.0, 199.0, 100.0, 209.0, True, False, False, True, 2, 14, None, 6),
+    ("real_estate", "California", "Real Estate Agent", 135, 0, 45, 60.0, 60.0, 245.0, 245.0, True, True, False, True, 4, 45, None, 6),
+    ("real_estate", "Texas", "Real Estate Agent", 180, 0, 30, 205.0, 54.0, 0.0, 110.0, True, False, False, True, 2, 18, None, 5),
+    ("real_estate", "Florida", "Real Estate Agent", 63, 0, 14, 83.0, 57.0, 0.0, 64.0, True, False, False, True, 2, 14, "2021: Streamlined online application process", 3),
 )
 
 # Sample provisions by "state licence type".

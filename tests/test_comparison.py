@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regulith.operators import compare, licensing, workflow
-from regulith.sources import licenses, reports
+from regulith.sources import licenses, projects, reports
 
 from . import spec
 
@@ -82,6 +82,25 @@ def test_projects(spark):
         workflow.advance_to(stored, "nowhere")
 
 
+def test_whole_sources_are_profiled(spark):
+    rows = [("A", "fee of $1 and $2 online", 3), ("A", "fees $3, $4 within 5 days", 1), ("A", "", 0), ("", "$9", 2), ("B", "shall " * 10, 4), (None, "x", 5)]
+    got = {r.jurisdiction: r for r in compare.profiles(spark.createDataFrame(rows, NAMES)).collect()}
+    assert set(got) == {"A", "B"} and got["A"].fees == "$3, $4, $1" and got["A"].timeframes == "5 days" and got["A"].digital == "Available" and got["A"].input_ord == 1
+    assert got["A"].words == 12 and got["A"].score == pytest.approx(5 + 0.2 + 0.2 - 0.3) and got["B"].score == pytest.approx(6.0)
+
+
+def test_project_store(spark, tmp_path):
+    store = projects.ProjectStore(spark, f"{tmp_path}/projects")
+    made = store.create(spark.createDataFrame([("one", "Texas", "permits", None), ("two", "Ohio", "fees", "d")], "name string, state string, topic string, description string"))
+    ids = {r.name: r.id for r in made.collect()}
+    assert {r.id: r.name for r in store.list().collect()} == {v: k for k, v in ids.items()}
+    store.save(workflow.advance_to(store.get(ids["one"]), "drafted"))
+    assert store.get(ids["one"]).first().stage == "drafted" and store.get("nothing").count() == 0
+    store.delete(ids["two"], "nothing")
+    again = projects.ProjectStore(spark, f"{tmp_path}/projects")
+    assert [r.name for r in again.list().collect()] == ["one"]
+
+
 def test_stages(spark):
     rows = [("created", "scan"), ("scanned", "scan"), ("created", "comparison"), ("scanned", "comparison"), ("drafted", "comparison")]
     got = spark.createDataFrame(rows, "s string, e string").select(workflow.advance(F.col("s"), F.col("e")).alias("n")).collect()

@@ -53,6 +53,45 @@ def test_sections_are_analysed_where_long_enough(spark):
     assert [r.reform_suggestion for r in both.collect()] == ["allow e-sign"]
 
 
+def test_one_bad_prompt_costs_its_own_answer_only(spark):
+    def picky(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return [p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([(x,) for x in ("a", "bad", "b", None, "c", "bad too")], "p string").coalesce(1)
+    got = [r.answer for r in external.complete(rows, F.col("p"), picky).collect()]
+    assert [a and a.text for a in got] == ["A", None, "B", None, "C", None] and got[1].error == "no" and got[3] is None
+    short = external.complete(rows.where("p in ('a', 'b')"), F.col("p"), lambda p: p[:1]).collect()
+    assert [r.answer.text for r in short] == ["a", "b"]
+
+
+def test_a_scan_unites_findings_of_patterns_and_of_a_model(spark):
+    body = "Section 1. Filing\nThe form is signed in ink. " + "word " * 60
+    docs = spark.createDataFrame([(1, body), (2, "Section 2 in writing")], "doc_id long, text string")
+    plain, both = scan.scan(docs), scan.scan(docs, completer=burdens)
+    assert plain.columns == both.columns and scan.scan(docs, completer=failing).count() == plain.count()
+    found = {(r.source_ord, r.burden_type): r for r in both.where("source_ord > 0").collect()}
+    ours = found[(1, "wet_signature")] if (1, "wet_signature") in found else found[(2, "wet_signature")]
+    assert ours.reform_suggestion == "allow e-sign" and ours.estimated_time_cost is None
+    told = scan.analysis(docs, completer=burdens)
+    counted, counters = scan.observed(told)
+    rows = {r.doc_id: r for r in counted.collect()}
+    assert "allow e-sign" in rows[1].recommendations and rows[1].citations == ["§ 1."]
+    assert counters.get == {"documents_analyzed": 2, "burdens_identified": sum(len(r.findings or []) for r in rows.values())}
+
+
+def test_comparison_through_a_model(spark):
+    rows = spark.createDataFrame([("A", "a fee of $5 online", 0), ("B", "shall notarize within 3 days", 1)], "jurisdiction string, text string, input_ord int")
+    answer = {"rankings": [{"jurisdiction": "B", "score": 2.5, "notes": "n"}], "key_differences": [{"aspect": "Fees", "details": {"A": "x"}}], "recommendations": ["do"], "model_provisions": [{"source": "B", "text": "t", "rationale": "r"}]}
+    good = external.compared(rows, "fees", lambda p: ["```json\n" + json.dumps(answer) + "\n```"] * len(p)).first()
+    assert good.rankings[0].jurisdiction == "B" and good.key_differences[0].details == {"A": "x"} and good.recommendations == ["do"] and good.model_provisions[0].rationale == "r"
+    for completer in (None, failing, lambda p: ["not json"] * len(p)):
+        plain = external.compared(rows, "fees", completer).first()
+        assert [r.jurisdiction for r in plain.rankings] == ["A", "B"] and plain.model_provisions == [] and len(plain.recommendations) == 2
+        assert [d.aspect for d in plain.key_differences] == ["Fees", "Timeframes", "Digital/Online Options"] and plain.key_differences[0].details == {"A": "$5", "B": "Not specified"}
+
+
 def test_rewriting(spark):
     docs = spark.createDataFrame([(1, "Herein you shall be kept.")], "doc_id long, text string")
     assert external.rewritten(docs).first().confidence == 0.95

@@ -1,6 +1,7 @@
 """Spark against plain Python on texts that try every rule."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ def test_needed_text_is_in_every_match():
         for body in ALL:
             for m in re.finditer(r.pattern, body, re.I):
                 plain = m.group().translate(str.maketrans("ſKİı", "skii")).lower()
-                assert scan.needed(r.pattern) in plain
-    assert scan.needed("a|b") == "" and scan.needed("colou?r(s)") == "colo" and scan.needed(r"\d+ days? x{2,3}yz") == " day"
+                assert rx.needed(r.pattern) in plain
+    assert rx.needed("a|b") == "" and rx.needed("colou?r(s)") == "colo" and rx.needed(r"\d+ days? x{2,3}yz") == " day"
 
 
 def test_sections(docs):
@@ -165,3 +166,31 @@ def test_null_and_empty_tables(spark):
     assert rewrite.rewrite(none).where("doc_id = 1").first().rewritten_text == ""
     empty = none.limit(0)
     assert scan.scan(empty).count() == 0 and scan.scan_recommendations(scan.scan(empty)).count() == 0
+
+
+def test_white_space_is_that_of_python(spark):
+    for body in ("a\x1cb c", "\x1f a\x85b \x1d", "\u3000x\u2028y\xa0", ""):
+        got = spark.createDataFrame([(body,)], "t string").select(text.word_count(F.col("t")).alias("n"), rx.strip(F.col("t")).alias("s")).first()
+        assert (got.n, got.s) == (len(body.split()), body.strip())
+
+
+def test_running_sums_and_cuts(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        got = spark.range(1).select(rx.running(F.expr(f"transform(sequence(1, {max(n, 1)}), x -> cast(x as long))" if n else "cast(array() as array<bigint>)")).alias("r")).first().r
+        assert got == [k * (k + 1) // 2 for k in range(n)]
+    body = "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(5000))
+    spans = [(0, 5), (1000, 1030), (1023, 1024), (1024, 1025), (1020, 3100), (4990, 5000), (7, 7)]
+    df = spark.createDataFrame([(body, a, b) for a, b in spans], "t string, a int, b int")
+    assert [r.c for r in df.select(rx.cut(rx.blocks(F.col("t")), F.col("a"), F.col("b")).alias("c")).collect()] == [body[a:b] for a, b in spans]
+
+
+def test_work_grows_with_the_matches_of_a_section(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "The form is filed in writing before a notary public. " * n)], "doc_id long, text string").coalesce(1)
+        began = time.perf_counter()
+        scan.scan(docs).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(50)
+    small, large = (min(seconds(n) for _ in range(2)) for n in (4000, 8000))
+    assert large < 3 * small + 0.5

@@ -38,6 +38,15 @@ def test_files(spark, folder):
     assert files.non_blank(files.readable(given)).count() == 1
 
 
+def test_all_errors_are_told(spark, tmp_path, capsys):
+    for i in range(130):
+        (tmp_path / f"bad{i}.txt").write_bytes(b"\xff")
+    (tmp_path / "good.txt").write_bytes(b"a\r\nb\rc")
+    cli.main([f"{tmp_path}"])
+    assert capsys.readouterr().out.count("Error scanning") == 130
+    assert files.readable(files.read_documents(spark, str(tmp_path))).first().text == "a\nb\nc"
+
+
 def test_reports_and_command_line(spark, folder, capsys):
     cli.main([f"{folder}", "-j", "Ohio", "-f", "json", "-o", f"{folder}/out.json"])
     said = json.loads((folder / "out.json").read_text())
@@ -45,6 +54,10 @@ def test_reports_and_command_line(spark, folder, capsys):
     assert said["jurisdiction"] == "Ohio" and said["documents_scanned"] == 1 and said["sections_analyzed"] == 2
     assert said["total_burdens"] == len(said["burdens"]) == sum(said["summary_stats"]["by_type"].values())
     assert said["high_priority_count"] == sum(b["severity"] in ("HIGH", "CRITICAL") for b in said["burdens"])
+    cli.main([f"{folder}", "-f", "jsonl", "-o", f"{folder}/lines"])
+    lines = [json.loads(x) for f in (folder / "lines").glob("*.json") for x in f.read_text().splitlines()]
+    assert len(lines) == said["total_burdens"] and {x["type"] for x in lines} == {b["type"] for b in said["burdens"]}
+    capsys.readouterr()
     cli.main([f"{folder}/law.txt", "--no-llm"])
     report = capsys.readouterr().out
     assert report.startswith("# Statutory Burden Scan: Unknown") and "## Recommendations" in report and "1. " in report
