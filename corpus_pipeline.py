@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from regulith.llm import sentencepiece_codec, stages
-from regulith.llm.common import scratch, written
+from regulith.llm.common import drop, scratch, written
 from regulith.llm.queries import public_model
 
 
@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: one document of each group of near-duplicates stays."""
+    """Operator 9: one document of each group of near-duplicates stays; SimHash finds the close ones, a prefix join the rest."""
     return stages.keep_one_of_each(docs)
 
 
@@ -43,7 +43,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each but the last written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = scratch(spark, "pipeline")
+    folder, before = scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if before:
+            drop(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
