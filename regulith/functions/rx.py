@@ -90,20 +90,24 @@ def running(numbers: Column) -> Column:
     return let(numbers, of)
 
 
-def matches(text: Column, pattern: Column) -> Column:
-    """array<struct<start, text>> of the matches one after another; ``start`` counts from 0.
+def placed(found: Column, pieces: Column) -> Column:
+    """array<struct<start, text>> of matches one after another and the pieces of a split at them; ``start`` counts from 0.
 
-    Between the matches lie the pieces of a split, so a match starts where all pieces and
-    matches before it end. The pattern mustn't match the empty string.
+    Between the matches lie the pieces, so a match starts where all pieces and matches before it end.
     """
 
-    def of(found: Column, pieces: Column) -> Column:
-        sizes = F.zip_with(found, pieces, lambda m, p: (F.length(m) + F.length(p)).cast("long"))
-        placed = F.zip_with(running(sizes), pieces, lambda at, p: (at + F.length(p)).cast("int"))
-        return F.zip_with(placed, found, lambda at, m: F.struct(at.alias("start"), m.alias("text")))
+    def of(m: Column, p: Column) -> Column:
+        sizes = F.zip_with(m, p, lambda x, y: (F.length(x) + F.length(y)).cast("long"))
+        starts = F.zip_with(running(sizes), p, lambda at, y: (at + F.length(y)).cast("int"))
+        return F.zip_with(starts, m, lambda at, x: F.struct(at.alias("start"), x.alias("text")))
 
     first = lambda m, p: F.slice(p, F.lit(1), F.size(m))
-    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: let(first(m, F.split(text, pattern, -1)), lambda p: of(m, p)))
+    return let(found, lambda m: let(first(m, pieces), lambda p: of(m, p)))
+
+
+def matches(text: Column, pattern: Column) -> Column:
+    """``placed`` of a full Java pattern, which mustn't match the empty string."""
+    return placed(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1))
 
 
 def blocks(text: Column) -> Column:

@@ -52,8 +52,8 @@ def _of_rule(values: list[str], number: Column) -> Column:
 def rule_matches(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, Column] | None = None, statutory: int = 0) -> DataFrame:
     """``split``, without the text, with one row for each match: number (of the rule), match_ord, start, group, burden_type, text_excerpt.
 
-    A rule's pattern is tried where the plain text that it needs stands; which rules match is
-    decided with literal patterns, compiled once a task, and offsets are looked for where one did.
+    A rule's pattern is tried where the plain text that it needs stands; all patterns are literals,
+    compiled once a task, and offsets are looked for where one matched.
     Outer explodes, as for others Spark would work out an array once more to see if it is empty.
     Rows are multiplied in place. With ``gate`` = (n, condition), rules from the n-th on are tried
     only where the condition holds, and give just the first match of each type. The first
@@ -61,19 +61,21 @@ def rule_matches(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, C
     within the row, so a match carries no text along and work grows with text and matches.
     """
     first, condition = gate or (len(catalog), F.lit(True))
-    tried = []
+    tried, body = [], F.col("text")
     for i, r in enumerate(catalog):
-        here = F.contains("__folded", F.lit(rx.needed(r.pattern))) & F.rlike("text", F.lit(rx.fold(r.pattern)))
-        tried.append(F.when(here & condition if i >= first else here, F.lit(i)))
-    some = split.withColumn("__folded", rx.folded(F.col("text"))).withColumn("__hits", F.array_compact(F.array(*tried))).drop("__folded")
+        pattern = F.lit(rx.fold(r.pattern))
+        here = F.contains("__folded", F.lit(rx.needed(r.pattern))) & F.rlike(body, pattern)
+        hit = F.struct(F.lit(i).alias("number"), F.regexp_extract_all(body, pattern, F.lit(0)).alias("found"), F.split(body, pattern, -1).alias("pieces"))
+        tried.append(F.when(here & condition if i >= first else here, hit))
+    some = split.withColumn("__folded", rx.folded(body)).withColumn("__hits", F.array_compact(F.array(*tried))).drop("__folded")
     if gate is not None:
         kinds = F.array(*(F.lit(r.burden_type) for r in catalog))
-        kind = lambda h: F.element_at(kinds, h + 1)
-        again = lambda h, i: F.exists(F.slice("__hits", 1, i), lambda g: (g >= first) & (kind(g) == kind(h)))
-        some = some.withColumn("__hits", F.filter("__hits", lambda h, i: (h < first) | ~again(h, i)))
-    each = some.withColumn("number", F.explode_outer("__hits")).drop("__hits").where(F.col("number").isNotNull())
-    pattern, body = _of_rule([rx.fold(r.pattern) for r in catalog], F.col("number")), F.col("text")
-    found = rx.matches(body, pattern)
+        kind = lambda h: F.element_at(kinds, h["number"] + 1)
+        again = lambda h, i: F.exists(F.slice("__hits", 1, i), lambda g: (g["number"] >= first) & (kind(g) == kind(h)))
+        some = some.withColumn("__hits", F.filter("__hits", lambda h, i: (h["number"] < first) | ~again(h, i)))
+    each = some.withColumn("__hit", F.explode_outer("__hits")).drop("__hits").where(F.col("__hit").isNotNull())
+    each = each.withColumn("number", F.col("__hit.number"))
+    found = rx.placed(F.col("__hit.found"), F.col("__hit.pieces"))
     if gate is not None:
         found = F.slice(found, F.lit(1), F.when(F.col("number") < first, F.lit(2**31 - 1)).otherwise(1))
 
@@ -86,7 +88,7 @@ def rule_matches(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, C
         return one
 
     told = rx.let(rx.blocks(body), lambda parts: rx.let(F.length(body), lambda length: F.transform(found, shown(parts, length))))
-    kept = [c for c in each.columns if c != "text"]
+    kept = [c for c in each.columns if c not in ("text", "__hit")]
     each = each.select(*kept, F.posexplode_outer(told).alias("match_ord", "__m")).where(F.col("match_ord").isNotNull())
     return each.select(*kept, "match_ord", F.col("__m.start").alias("start"), F.col("__m.text_excerpt").alias("text_excerpt"), _of_rule([r.group for r in catalog], F.col("number")).alias("group"), _of_rule([r.burden_type for r in catalog], F.col("number")).alias("burden_type"))
 
