@@ -9,7 +9,9 @@ The list comes out as one conditional expression of Spark.
 
 Learning is bounded (``bound`` labelled rows, ``steps`` candidate thresholds per
 statistic); statistics and rules are applied to every whole text. Null texts count
-as empty. With nothing to learn from the list has no rule and keeps everything.
+as empty. With nothing to learn from the list has no rule and keeps everything. Of
+thresholds with equal gain the first statistic's, "<=" and the lowest is taken; repeated
+rows get equal verdicts; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ distance: for each of its n-grams the difference between the two ranks, or
 ``size`` where the language lacks it.
 
 Learning is bounded: about ``per_language`` documents of each language, chosen
-by a hash of their ids. Everything else covers all rows and whole texts.
+by a hash of their ids and texts. Everything else covers all rows and whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 equal distances go to the language that comes first by code point; equal counts
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
     if not how_many:
         return Profiles({}, size)
     part = F.element_at(F.create_map(*(F.lit(x) for name, n in how_many.items() for x in (name, per_language / n))), F.col("l"))
-    some = rows.where(share(F.col("i"), "language") < part).select("l", "t")
+    some = rows.where(share(F.concat_ws(" ", "i", F.xxhash64("t")), "language") < part).select("l", "t")
     some = some.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     counted = some.select("l", F.explode(F.arrow_udf(count_udf, "map<long, long>")("t")).alias("k", "n")).groupBy("l", "k").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "k"))).where(F.col("r") <= size)

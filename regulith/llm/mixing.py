@@ -60,21 +60,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", keep: tuple[str, ...] = (), **how) -> DataFrame:
     """Per row of ``docs``: doc_id, columns ``keep``, source, size, source_size, target and copies (0, 1 or more)."""
-    spark = docs.sparkSession
+    folder = scratch(docs.sparkSession, "mix")
     base = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
     digits = F.col("size").cast("string")
     rows = written(
         base.withColumn("band", F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, 2))).withColumn(
             "cell", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
         ),
-        scratch(spark, "mix"),
+        f"{folder}/rows",
     )
-    cells = rows.groupBy("source", "band", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("cell_size"))
+    cells = written(rows.groupBy("source", "band", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("cell_size")), f"{folder}/cells")
     aimed = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), **how)
-    along = Window.partitionBy("source").orderBy("band", "cell")
-    before = F.sum("n").over(along) - F.col("n")
-    cells = cells.withColumn("before", before).select(F.col("source").alias("s"), F.col("band").alias("b"), F.col("cell").alias("c"), "before")
-    cells = cells.join(aimed.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
+    # sums before a band among its source's, of which each decade of size has 90, and before a cell among its band's 256
+    before = lambda order, *by: F.sum("n").over(Window.partitionBy(*by).orderBy(order)) - F.col("n")
+    bands = cells.groupBy("source", "band").agg(F.sum("n").alias("n")).select(F.col("source").alias("t"), F.col("band").alias("u"), before("band", "source").alias("above"))
+    bands = bands.join(aimed, F.col("t").eqNullSafe(F.col("source"))).drop("source")
+    cells = cells.select(F.col("source").alias("s"), F.col("band").alias("b"), F.col("cell").alias("c"), before("cell", "source", "band").alias("within"))
+    cells = cells.join(bands, F.col("s").eqNullSafe(F.col("t")) & (F.col("b") == F.col("u"))).withColumn("before", F.col("above") + F.col("within")).drop("t", "u", "above", "within")
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "band", "cell").orderBy("size", "doc_id")))
     at = placed.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")) & (F.col("cell") == F.col("c")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

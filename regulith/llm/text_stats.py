@@ -87,13 +87,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, may_learn: Colu
     """Features and labels (0 or 1) of about ``bound`` labelled rows, chosen by a hash of their ids; fewer if there are fewer.
 
     ``may_learn`` is a condition on the labels' id. Null ids and labels teach nothing; an id labelled
-    twice counts twice. The bound is what makes it safe to send the chosen ids to all tasks.
+    twice alike counts once, with both labels twice, and so do copies of a text under one id. The bound is what
+    makes it safe to send the chosen ids to all tasks; twice the bound, by a hash, is the most that comes back.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     known = known.where(may_learn) if may_learn is not None else known
-    known = known.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    known = known.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).distinct()
     total = known.count()
     some = known.where(share(F.col("__id"), "label") < min(1.0, bound / max(total, 1)))
     rows = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(some), F.col(id_col) == F.col("__id"))
-    found = with_stats(rows, text_col, ("__id", "__label")).select("__id", "__label", *FEATURES).toPandas().sort_values(["__id", "__label", *FEATURES])
+    found = with_stats(rows, text_col, ("__id", "__label")).select("__id", "__label", *FEATURES).distinct()
+    found = found.orderBy(F.xxhash64("__id", "__label", *FEATURES)).limit(2 * bound).toPandas().sort_values(["__id", "__label", *FEATURES])
     return found[list(FEATURES)].to_numpy(float), found["__label"].to_numpy(int)

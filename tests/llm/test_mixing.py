@@ -11,7 +11,7 @@ COLUMNS = ("doc_id", "size", "source_size", "target", "taken")
 def documents(sources, n=600, seed=2):
     rng = random.Random(seed)
     out = [(i, " ".join(["w"] * rng.choice([1, 3, 20, 90, 400])), rng.choice(sources), 1) for i in range(n)]
-    return out + [(n, None, sources[0], 1), (n + 1, "\t \n", "blank", 1), (5, "a b", sources[0], 1), (5, "a b", sources[0], 1), (None, "x y z", None, 1)]
+    return out + [(n, None, sources[0], 1), (n + 1, "\t \n", "blank", 1), (5, "a b", sources[0], 1), (5, "a b", sources[0], 1), (None, "x y z", None, 1), (n + 2, "long text " * 100_000, "long", 1)]
 
 
 def filled(sizes, weights, share=1.5, cap=2):

@@ -76,6 +76,20 @@ def test_blame_does_not_shrink_with_the_number_of_linking_hosts(spark, tmp_path)
     assert got == {p: "allow" if p in (40, 41) else "block" for p, *_ in pages}
 
 
+def test_null_ids_and_very_long_html(spark, tmp_path):
+    long = "<p>" + "x " * 1_000_000 + '<form method=post ACTION="https://bad.net/go"><area shape=rect href=//bad.net><iframe src=http://bad.net/>'
+    pages = [(None, "http://bad.net/", None), (None, "http://site.com/", long), (3, "http://other.com/", "<p data-href='http://bad.net/'> href=http://bad.net/"), (4, None, '<a href="http://bad.net/">')]
+    save(spark, tmp_path, "pages", pages, "page_id long, url string, html string")
+    assert rows(op1_link_graph(spark, str(tmp_path)), "page_id", "host", "verdict") == sorted([(None, "bad.net", "block"), (None, "site.com", "block"), (3, "other.com", "allow"), (4, "", "allow")], key=repr)
+
+
+def test_flows_go_on_until_they_stand_still(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trusted double, blocked double")
+    got = {r.host: r.trust for r in url_filter.propagate(edges, seeds).collect()}
+    assert got["a"] == pytest.approx(1 / (1 - 0.85**2), abs=1e-3) and got["b"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-3)
+
+
 def test_empty_table(spark, tmp_path):
     save(spark, tmp_path, "pages", [], "page_id long, url string, html string")
     assert op1_link_graph(spark, str(tmp_path)).collect() == []
