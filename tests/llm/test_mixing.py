@@ -11,7 +11,7 @@ COLUMNS = ("doc_id", "size", "source_size", "target", "taken")
 def documents(sources, n=600, seed=2):
     rng = random.Random(seed)
     out = [(i, " ".join(["w"] * rng.choice([1, 3, 20, 90, 400])), rng.choice(sources), 1) for i in range(n)]
-    return out + [(n, None, sources[0], 1), (n + 1, "\t \n", "blank", 1), (5, "a b", sources[0], 1), (5, "a b", sources[0], 1), (None, "x y z", None, 1), (n + 2, "long text " * 100_000, "long", 1)]
+    return out + [(n, None, sources[0], 1), (n + 1, "\t \n", "blank", 1), (5, "a b", sources[0], 1), (5, "a b", sources[0], 1), (None, "x y z", None, 1)]
 
 
 def filled(sizes, weights, share=1.5, cap=2):
@@ -41,6 +41,12 @@ def test_as_in_sql_and_near_targets(spark, tmp_path):
         assert mixed.copies.max() <= 2
 
 
+def test_a_very_long_text_and_null_ids(spark, tmp_path):
+    docs = [*documents(["a", "b"]), (900, "long text " * 100_000, "a", 1), *((None, "w " * k, "b", 1) for k in range(30))]
+    save(spark, tmp_path, "documents", docs, "doc_id long, text string, source string, copies int")
+    assert rows(op8_systematic_mix(spark, str(tmp_path)), *COLUMNS) == oracle(tmp_path, mixing.SQL, COLUMNS, "documents")
+
+
 def test_empty_table(spark, tmp_path):
     save(spark, tmp_path, "documents", [], "doc_id long, text string, source string")
     assert op8_systematic_mix(spark, str(tmp_path)).collect() == []
