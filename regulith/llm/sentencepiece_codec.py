@@ -28,13 +28,14 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -42,7 +43,9 @@ from .common import slices
 
 MARK = "▁"
 #: Chunks that a worker's cache holds between batches, and the longest that it keeps; rows of a matrix of agendas.
-CACHE_ENTRIES, CACHE_CHARS, ROWS = 400_000, 48, 8192
+CACHE_ENTRIES, CACHE_CHARS, ROWS = 250_000, 48, 8192
+#: Bytes of text that are encoded together, one text at least.
+PART_BYTES = 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -314,30 +317,26 @@ def codec(model: bytes, check: bool = True) -> MergeCodec:
     return MergeCodec(model, check)
 
 
-def pieces(text: Column, model: bytes, check: bool = True) -> Column:
-    """struct<ids: binary, decoded: string>: packed little-endian unsigned 32-bit ids, and their text again."""
-
-    @F.arrow_udf("struct<ids: binary, decoded: string>")
-    def encode(texts: pa.Array) -> pa.Array:
-        own, kind = codec(model, check), pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
-        done = []
-        for part in slices(texts):
-            ids = own.encode_all([x or "" for x in part.to_pylist()])
-            done.append(pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], fields=list(kind)))
-        return pa.concat_arrays(done) if done else pa.array([], kind)
-
-    return encode(text)
-
-
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
-    """Per row of ``docs``: its id, the ids with begin and end (packed, see ``pieces``) and the decoded text.
+    """Per row of ``docs``: its id, ids (binary: little-endian unsigned 32-bit numbers, with begin and end) and decoded, their text again.
 
     ``model_path`` is read on the driver; a vocabulary has a fixed size, so its bytes travel with the tasks.
+    A worker holds a part of a batch's texts, ids and decoded texts at a time.
     """
     with open(model_path, "rb") as f:
         model = f.read()
-    done = docs.select(F.col(id_col), pieces(F.col(text_col), model, check).alias("p"))
-    return done.select(id_col, F.col("p.ids").alias("ids"), F.col("p.decoded").alias("decoded"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model, check)
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1), PART_BYTES):
+                ids = own.encode_all([x or "" for x in part.to_pylist()])
+                yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], [id_col, "ids", "decoded"])
+                at += len(part)
+
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
