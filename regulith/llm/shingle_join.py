@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ from .simhash import components, labelled, links
 
 WIDTH, LEAST = 5, 0.8
 SLACK = 1e-9  # what products of LEAST may be off by
+KEPT_BYTES = 1 << 14  # texts up to this size are kept with their sets while their pairs are compared
 
 
 def shingles(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -167,9 +168,10 @@ def jaccard(a: Column, b: Column, width: int = WIDTH) -> Column:
     """Similarity of the whole sets of two texts."""
 
     def batch(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
+        out, known = [], lru_cache(maxsize=256)(partial(shingles, width=width))
+        of = lambda text: known(text) if len(text) < KEPT_BYTES else shingles(text, width)
         for s, t in zip(as_bytes(x), as_bytes(y)):
-            s, t = shingles(s, width), shingles(t, width)
+            s, t = of(s), of(t)
             common = len(np.intersect1d(s, t, assume_unique=True))
             out.append(common / max(1, len(s) + len(t) - common))
         return pa.array(out, pa.float64())
@@ -207,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that reach ``least``, by the whole sets."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp")
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp"), f"{folder}/{name}-nodes")
         texts = docs.select(c(id_col).alias("least"), c(text_col).alias("text")).join(nodes, "least").select("fp", "text")
         texts = written(texts, f"{folder}/{name}-texts")
         both = pairs.join(texts.select(c("fp").alias("a"), c("text").alias("x")), "a").join(texts.select(c("fp").alias("b"), c("text").alias("y")), "b")
