@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return folder
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """Let Arrow batches have ``rows`` rows at most while a table is written: workers hold a few copies of a batch. The setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """The rows of ``df`` as a table in ``path``: it cuts lineage and outlives executors."""
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
