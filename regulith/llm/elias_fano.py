@@ -16,7 +16,9 @@ import tempfile
 import numpy as np
 import pyarrow.fs
 
-_HALVES = tuple((np.uint64(s), np.uint64((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1))
+_EACH_BYTE = np.uint64(0x0101010101010101)
+#: Byte, k → place of its k-th one.
+_PLACES = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[:8] for byte in range(256)], np.int64)
 
 
 def pack(values: np.ndarray, width: int, block: int = 1 << 16) -> np.ndarray:
@@ -42,16 +44,15 @@ def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
 
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th one (from 0) in each word."""
-    word, k, place = word.copy(), k.astype(np.uint64), np.zeros(len(word), np.uint64)
-    for half, mask in _HALVES:
-        below = np.bitwise_count(word & mask).astype(np.uint64)
-        up = k >= below
-        k = np.where(up, k - below, k)
-        step = np.where(up, half, np.uint64(0))
-        place += step
-        word >>= step
-    return place.astype(np.int64)
+    """Place of the k-th one (from 0) in each word: the byte that holds it by sums of the bytes' counts, then its place in the byte."""
+    data = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+    counts = np.bitwise_count(data)
+    sums = (counts.view(np.uint64).ravel() * _EACH_BYTE).view(np.uint8).reshape(-1, 8)  # ones up to and in each byte
+    rest = k.astype(np.uint8)
+    byte = (sums <= rest[:, None]).sum(1)
+    at = np.arange(len(data)) * 8 + byte
+    before = sums.ravel()[at] - counts.ravel()[at]
+    return byte * 8 + _PLACES[data.ravel()[at], rest - before]
 
 
 def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:

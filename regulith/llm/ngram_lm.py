@@ -48,7 +48,8 @@ from pyspark.sql import functions as F
 from . import elias_fano as ef
 from .common import as_bytes, fold, scratch, written
 
-END = xxhash.xxh64_intdigest(b"\n", 0)  # no word holds a line break
+LINE = b"\n"  # the end's token: no word holds a line break
+END = xxhash.xxh64_intdigest(LINE)
 BLOCK_TOKENS = 1 << 20
 
 
@@ -57,23 +58,25 @@ def token_blocks(texts: Iterable[bytes], most: int = BLOCK_TOKENS) -> Iterator[t
 
     A text of more tokens is a run of its own.
     """
-    held, size = [], 0
+    held, ends = [], []
     for text in texts:
         words = text.lower().split()
-        if held and size + len(words) > most:
-            yield _block(held)
-            held, size = [], 0
-        held.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
-        size += len(words) + 1
+        if held and len(held) + len(words) > most:
+            yield _block(held, ends)
+            held, ends = [], []
+        held += words
+        held.append(LINE)
+        ends.append(len(held))
     if held:
-        yield _block(held)
+        yield _block(held, ends)
 
 
-def _block(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    end = np.array([END], np.uint64)
-    flat = np.concatenate([x for h in held for x in (h, end)])
-    distinct, place = np.unique(flat, return_inverse=True)
-    return distinct, place, np.cumsum([len(h) + 1 for h in held])
+def _block(words: list[bytes], ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = pa.array(words, pa.large_binary()).dictionary_encode().indices.to_numpy()
+    new = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))  # where each different word comes first
+    hashes = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in new.tolist()), np.uint64, len(new))
+    distinct, place = np.unique(hashes, return_inverse=True)
+    return distinct, place[codes], np.array(ends)
 
 
 class Grams:
@@ -317,7 +320,7 @@ def _build_trigrams(table: pa.Table, folder: str, model: Model, mu: float, bits:
     middle = np.zeros(level.entries, np.int64)
     middle[entry] = second
     shorter, back = np.unique(middle[context].astype(np.uint64) * np.uint64(len(vocabulary)) + last.astype(np.uint64), return_inverse=True)
-    shorter = model.log_bigrams(*(k.astype(np.int64) for k in np.divmod(shorter, np.uint64(len(vocabulary)))))[back]
+    shorter = model.log_bigrams(model.bigrams(*(k.astype(np.int64) for k in np.divmod(shorter, np.uint64(len(vocabulary))))), len(shorter))[back]
     log = np.log10((times + mu * 10**shorter) / (level.count(context) + mu))
     return _saved(unit, _ranges(context, last, level.entries) | _codes(log, bits), folder, len(keys))
 
@@ -338,9 +341,11 @@ class Level:
         self.codes, (self.low, self.step), self.bits, self.entries = arrays["codes"], arrays["range"], bits, self.next.n
 
     def find(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entry of each token after its context, and whether there is one."""
-        begin, stop = self.pointers.access(context).astype(np.int64), self.pointers.access(context + 1).astype(np.int64)
+        """Entry of each token after its context, and whether there is one. Runs of a context are looked up once."""
+        at, end = _runs(context)
+        begin, stop = self.pointers.access(context[at]).astype(np.int64), self.pointers.access(context[at] + 1).astype(np.int64)
         carried = np.where(begin > 0, self.next.access(np.maximum(begin - 1, 0)).astype(np.int64), 0) if len(begin) else begin
+        carried, stop = (np.repeat(x, end - at) for x in (carried, stop))
         place, equal = self.next.successor((carried + token + 1).astype(np.uint64))
         return place, equal & (place < stop)
 
@@ -374,13 +379,19 @@ class Model:
             if int(unit[a]) in self.files[0]:
                 yield int(unit[a]), known[a:b], x[a:b]
 
-    def log_bigrams(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """log10 p(after | before) of token numbers; NaN where the bigram isn't known."""
-        out = np.full(len(before), np.nan)
+    def bigrams(self, before: np.ndarray, after: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(unit, places, entries) of the known ones of these bigrams of token numbers."""
+        out = []
         for unit, rows, x in self._each_unit(before, after):
-            level = opened_unit(self.files[0][unit], self.bits)
-            entry, known = level.find(x, after[rows])
-            out[rows[known]] = level.log(entry[known])
+            entry, known = opened_unit(self.files[0][unit], self.bits).find(x, after[rows])
+            out.append((unit, rows[known], entry[known]))
+        return out
+
+    def log_bigrams(self, found: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        """log10 p of n bigrams; NaN where one isn't known."""
+        out = np.full(n, np.nan)
+        for unit, rows, entry in found:
+            out[rows] = opened_unit(self.files[0][unit], self.bits).log(entry)
         return out
 
     def score(self, texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -391,28 +402,26 @@ class Model:
             first = np.concatenate([[0], ends[:-1]])
             unigram = np.log10(v.share(count))
             grams = Grams(distinct, place, ends, order)
-            log = self.log_bigrams(number[grams.before], number[grams.after])
+            found = self.bigrams(number[grams.before], number[grams.after])
+            log = self.log_bigrams(found, len(grams.before))
             log = np.where(np.isnan(log), np.log10(self.mus[0] / (count[grams.before] + self.mus[0])) + unigram[grams.after], log)
             score = log[grams.pair]
             if order > 2 and len(grams.context):
-                score[grams.later] = self._log_trigrams(number, grams, log)[grams.triple]
+                score[grams.later] = self._log_trigrams(number, grams, log, found)[grams.triple]
             yield np.diff(ends, prepend=0), np.add.reduceat((count > 0)[place].astype(np.int64), first), np.add.reduceat(unigram[place], first), np.add.reduceat(score, first)
 
-    def _log_trigrams(self, number: np.ndarray, grams: Grams, log: np.ndarray) -> np.ndarray:
-        """log10 p of the distinct trigrams of a block, from the logs of its distinct bigrams."""
-        out = log[grams.shorter]
+    def _log_trigrams(self, number: np.ndarray, grams: Grams, log: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log10 p of the distinct trigrams of a block, from the logs of its distinct bigrams and the entries of the known ones."""
+        out, last = log[grams.shorter], number[grams.last]
         # trigrams are in the order of their contexts, so those of one context are a run
-        begin, stop = np.searchsorted(grams.context, np.arange(len(grams.before))), np.searchsorted(grams.context, np.arange(len(grams.before)), side="right")
-        last = number[grams.last]
-        for unit, pairs, x in self._each_unit(number[grams.before], number[grams.after]):
-            level = opened_unit(self.files[0][unit], self.bits)
-            entry, known = level.find(x, number[grams.after[pairs]])
-            pairs, entry = pairs[known], entry[known]
-            size = stop[pairs] - begin[pairs]
-            rows = np.repeat(begin[pairs] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        ends = np.searchsorted(grams.context, np.arange(len(grams.before) + 1))
+        for unit, pairs, entry in found:
+            begin, size = ends[pairs], ends[pairs + 1] - ends[pairs]
+            rows = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
             if not len(rows):
                 continue
             # the context is known: what follows it is found, or gets its share of the shorter context's
+            level = opened_unit(self.files[0][unit], self.bits)
             out[rows] += np.repeat(np.log10(self.mus[1] / (level.count(entry) + self.mus[1])), size)
             if unit in self.files[1]:
                 longer = opened_unit(self.files[1][unit], self.bits)
