@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, decision_list, language_id, mixing, ngram_lm, sentencepiece_codec, simhash, top_inner, url_filter, warc
+from . import bradley_terry, decision_list, language_id, mixing, ngram_lm, prefix_trie, sentencepiece_codec, simhash, top_inner, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_link_graph": op1_link_graph,
     "op2_decision_list": op2_decision_list,
@@ -79,10 +83,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_systematic_mix": op8_systematic_mix,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_elias_fano_lm": op10_elias_fano_lm,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_norm_sorted": top_inner.SQL,
     "op5_warc": warc.SQL,
     "op8_systematic_mix": mixing.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
