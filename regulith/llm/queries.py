@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, decision_list, language_id, mixing, ngram_lm, prefix_trie, sentencepiece_codec, simhash, source_audit, top_inner, url_filter, warc
+from . import bradley_terry, decision_list, language_id, license_scan, mixing, ngram_lm, prefix_trie, sentencepiece_codec, simhash, source_audit, top_inner, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_systematic_mix": op8_systematic_mix,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_elias_fano_lm": op10_elias_fano_lm,
+    "op11_license_scan": op11_license_scan,
     "op12_source_audit": op12_source_audit,
     "op13_prefix_trie": op13_prefix_trie,
 }
