@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .pdf import pdf_bytes, pdf_text
 
 SUFFIXES = (".txt", ".pdf", ".docx")
 WORD_SPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -33,12 +33,15 @@ def docx_text(data: bytes) -> str:
     return "\n".join(lines)
 
 
-def pdf_text(data: bytes) -> str:
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise ImportError("reading PDF files needs the package pypdf") from e
-    return "\n".join(page.extract_text() for page in PdfReader(io.BytesIO(data)).pages)
+def docx_bytes(body: str) -> bytes:
+    """A Word file with a paragraph for each line. Characters that XML can't hold become U+FFFD."""
+    marks = {"\t": "</w:t><w:tab/><w:t xml:space=\"preserve\">", "&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;"}
+    own = lambda c: marks.get(c, "\ufffd" if c < " " or c in "\ufffe\uffff" or "\ud800" <= c <= "\udfff" else c)
+    lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{"".join(map(own, line))}</w:t></w:r></w:p>' for line in body.split("\n"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{WORD_SPACE.strip("{}")}"><w:body>{lines}</w:body></w:document>')
+    return packed.getvalue()
 
 
 def _read(path: str, data: bytes) -> tuple[str | None, str | None]:
@@ -49,6 +52,47 @@ def _read(path: str, data: bytes) -> tuple[str | None, str | None]:
         return None, f"{type(e).__name__}: {e}"
 
 
+def suffix(path: Column) -> Column:
+    """The lower-cased end of a path's name from its last dot on; "" without one."""
+    return F.lower(F.regexp_extract(path, r"\.[^./]*\z", 0))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """The files (path, content, and any other columns) with their text, or with the error of those that can't be read.
+
+    Plain text stays in expressions; only Word and PDF contents go to Python, one file after the other. A file of
+    another kind, or one whose bytes don't make sense, is a row with an error.
+    """
+    kind, raw = suffix(F.col("path")), F.col("content").cast("string")
+    plain = kind == ".txt"
+
+    def run(paths: pa.Array, contents: pa.Array) -> pa.Array:
+        done = (_read(p, d.as_py()) if d.is_valid else (None, None) for p, d in zip(paths.to_pylist(), contents))
+        return pa.array([{"text": t, "error": e} for t, e in done], pa.struct([("text", pa.string()), ("error", pa.string())]))
+
+    packed = F.arrow_udf(run, "struct<text: string, error: string>")(F.col("path"), F.when(kind.isin(".docx", ".pdf"), F.col("content")))
+    bad = F.when(plain & ~F.is_valid_utf8(raw), "UnicodeDecodeError: not UTF-8").when(~kind.isin(*SUFFIXES), F.concat(F.lit("ValueError: Unsupported file type: "), kind))
+    body = F.when(plain, F.regexp_replace(F.try_validate_utf8(raw), "\r\n?", "\n"))
+    told = files.withColumn("__packed", packed).withColumns({"text": F.coalesce(body, F.col("__packed.text")), "error": F.coalesce(bad, F.col("__packed.error"))})
+    return told.drop("content", "__packed")
+
+
+def rendered(docs: DataFrame, kind: Column, name_col: str = "title", text_col: str = "text") -> DataFrame:
+    """``docs`` as files: path (the name with the kind, ".txt", ".docx" or ".pdf", behind it) and content take the place of the text; a null text is empty.
+
+    Of another kind, the content is the text's bytes.
+    """
+    body = F.coalesce(F.col(text_col), F.lit(""))
+
+    def run(kinds: pa.Array, texts: pa.Array) -> pa.Array:
+        write = {".docx": docx_bytes, ".pdf": pdf_bytes}
+        return pa.array([write[k](t.as_py()) if t.is_valid else None for k, t in zip(kinds.to_pylist(), texts)], pa.binary())
+
+    packed = F.arrow_udf(run, "binary")(F.col("__kind"), F.when(F.col("__kind").isin(".docx", ".pdf"), body))
+    files = docs.withColumn("__kind", kind).withColumn("content", F.coalesce(packed, body.cast("binary"))).withColumn("path", F.concat(F.col(name_col), "__kind"))
+    return files.drop("__kind", text_col)
+
+
 def _is_file(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
@@ -62,18 +106,7 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt", juris
         raise ValueError(f"Unsupported file type: {name}")
     reader = spark.read.format("binaryFile")
     files = reader.load(path) if single else reader.option("pathGlobFilter", pattern).load(path)
-    if name.lower().endswith(".txt"):
-        raw = F.col("content").cast("string")
-        body = F.regexp_replace(F.try_validate_utf8(raw), "\r\n?", "\n")
-        read = files.select(F.col("path").alias("source"), body.alias("text"), F.when(~F.is_valid_utf8(raw), "UnicodeDecodeError: not UTF-8").alias("error"))
-    else:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                done = [_read(p, d.as_py()) for p, d in zip(batch["path"].to_pylist(), batch["content"])]
-                yield pa.record_batch([batch["path"], pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())], ["source", "text", "error"])
-
-        read = files.select("path", "content").mapInArrow(run, "source string, text string, error string")
+    read = decoded(files.select("path", "content")).withColumnRenamed("path", "source")
     name = F.element_at(F.split("source", "/"), -1)
     return read.select(
         F.xxhash64("source").alias("doc_id"), F.regexp_replace(name, r"\.[^.]*\z", "").alias("title"), text.document_type(F.col("text")).alias("doc_type"),

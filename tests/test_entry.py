@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from regulith.plans import more_oracle, oracle
+from regulith.plans import extra_oracle, more_oracle, oracle
 
-QUERIES, SQL = entry.QUERIES, oracle.sql() | more_oracle.sql()
+QUERIES, SQL = entry.QUERIES, oracle.sql() | more_oracle.sql() | extra_oracle.sql()
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
