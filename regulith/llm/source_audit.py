@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, scratch, written
 
 #: Bytes of the texts of a block.
-BLOCK = 24 << 20
+BLOCK = 48 << 20
 #: Rows of an Arrow batch, and postings of a part of the vocabulary.
-ROWS, PART = 100_000, 50_000
+ROWS, PART = 100_000, 20_000
 SCALE = 1_000_000_000
 #: What each byte of a text becomes: bytes that part terms become spaces.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -98,7 +98,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _recount(block: pa.Table, kept: pa.Table) -> pa.Table:
-    """lang, source, term, n: occurrences of kept terms in a block, by an automaton over terms between spaces."""
+    """lang, term, found: occurrences of kept terms in a block's sources, by an automaton over terms between spaces."""
     out = []
     for lang in sorted(set(kept.column("lang").to_pylist())):
         terms = kept.filter(pa.compute.equal(kept.column("lang"), lang)).column("term").combine_chunks()
@@ -107,25 +107,31 @@ def _recount(block: pa.Table, kept: pa.Table) -> pa.Table:
             automaton.add_word(f" {term} ", i)
         automaton.make_automaton()
         own = block.filter(pa.compute.equal(block.column("lang"), lang))
-        for i, source in enumerate(own.column("source").to_pylist()):
+        each = []
+        for i in range(len(own)):
             text = zstandard.ZstdDecompressor().decompress(own.column("texts")[i].as_py()).decode()
             found = Counter(map(itemgetter(1), automaton.iter(text)))
-            some = pa.array(found.keys(), pa.int64())
-            out.append(pa.table([pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), terms.take(some), pa.array(found.values(), pa.int64())], ["lang", "source", "term", "n"]))
-    empty = pa.table([pa.array([], pa.string())] * 3 + [pa.array([], pa.int64())], ["lang", "source", "term", "n"])
-    return pa.concat_tables(out) if out else empty
+            each.append(np.array([list(found.keys()), [i] * len(found), list(found.values())], np.int64))
+        term, source, n = np.concatenate(each, axis=1) if each else np.empty((3, 0), np.int64)
+        order = np.argsort(term, kind="stable")
+        some, starts = np.unique(term[order], return_index=True)
+        items = pa.StructArray.from_arrays([own.column("source").combine_chunks().take(pa.array(source[order])), pa.array(n[order])], ["source", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), items)
+        out.append(pa.table([pa.array([lang] * len(some), pa.string()), terms.take(pa.array(some)), lists], ["lang", "term", "found"]))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], pa.string())] * 2 + [pa.array([], pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))], ["lang", "term", "found"])
 
 
 def postings(docs: DataFrame, folder: str, least: int = 3, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, source) of all groups, and (lang, source, term, n): occurrences of the terms that ``least`` documents of the language have."""
     named = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"), F.col(text_col).alias("text"))
     blocks = written(named.mapInArrow(_pack, "block long, lang string, source string, texts binary"), f"{folder}/blocks")
-    seen = written(blocks.select("block", "lang", "texts").mapInArrow(_frequencies, "block long, lang string, term string, docs long"), f"{folder}/seen")
-    dealt = seen.repartition("lang", "term")
+    seen = blocks.select("block", "lang", "texts").mapInArrow(_frequencies, "block long, lang string, term string, docs long")
+    dealt = seen.repartition("lang", "term")  # moved once for the sums and the join
     enough = dealt.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
     kept = dealt.join(enough, ["lang", "term"]).select("block", "lang", "term")
-    counted = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(_recount, "lang string, source string, term string, n long")
-    return blocks.select("lang", "source").distinct(), written(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), f"{folder}/postings")
+    counted = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(_recount, "lang string, term string, found array<struct<source: string, n: long>>")
+    each = counted.repartition("lang", "term").select("lang", "term", F.explode("found").alias("f")).select("lang", "f.source", "term", "f.n")
+    return blocks.select("lang", "source").distinct(), written(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), f"{folder}/postings")
 
 
 def _weight(n: Column, total: str, vocabulary: str) -> Column:
