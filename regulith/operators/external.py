@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rx, text
@@ -61,6 +61,7 @@ def complete(df: DataFrame, prompt: Column, completer: Completer | None, name: s
 
 BURDEN_HEAD = 'List the procedural burdens of this legal text as JSON {"burdens": [{"text_excerpt", "burden_type", "severity", "affected_parties", "estimated_impact", "reform_recommendation"}]}.\n\n'
 GAP_HEADS = ('Where does the regulation go beyond the statute or leave something out? JSON {"gaps": [{"type", "regulation_text", "statute_text", "analysis", "recommendation"}], "alignment_score": 0-100, "summary"}.\n\nSTATUTE\n', "\n\nREGULATION\n")
+COMPARISON_HEADS = ("Compare these provisions on ", '. JSON {"rankings": [{"jurisdiction", "score", "notes"}], "key_differences": [{"aspect", "details"}], "model_provisions": [{"source", "text", "rationale"}], "recommendations"}.\n\n')
 BILL_HEADS = ("Draft a model bill for ", ".\n\nCURRENT LAW\n", "\n\nBEST PRACTICE\n")
 
 
@@ -83,8 +84,7 @@ def gap_prompt(statute: Column, regulation: Column) -> Column:
 
 
 def comparison_prompt(topic: Column, formatted: Column) -> Column:
-    head = F.concat(F.lit("Compare these provisions on "), topic, F.lit('. JSON {"rankings": [{"jurisdiction", "score", "notes"}], "key_differences": [{"aspect", "details"}], "model_provisions": [{"source", "text", "rationale"}], "recommendations"}.\n\n'))
-    return F.concat(head, F.substring(formatted, 1, LIMITS["comparison"]))
+    return F.concat(F.lit(COMPARISON_HEADS[0]), topic, F.lit(COMPARISON_HEADS[1]), F.substring(formatted, 1, LIMITS["comparison"]))
 
 
 def bill_prompt(jurisdiction: Column, current: Column, practice: Column) -> Column:
@@ -183,10 +183,48 @@ def engine_rewrite(docs: DataFrame, completer: Completer | None = None, id_col:
     return told.select(id_col, F.col(text_col).alias("original"), F.col("answer.text").alias("rewritten"), F.lit("plain_language").alias("mode"), error.alias("error"))
 
 
-def joined_sections(split: DataFrame, *keys: str) -> DataFrame:
-    """(keys, text): a document's sections in order, a blank line between them."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("sec_pos", "text"))), lambda s: s["text"])
-    return split.groupBy(*keys).agg(F.array_join(parts, "\n\n").alias("text"))
+def budgeted(rows: DataFrame, keys: list[str], order: list[str], text_col: str = "text", budget: int = LIMITS["gap"], separator: str = "\n\n", cells: int = 64) -> DataFrame:
+    """(keys, text): the texts of a key in order, ``separator`` between them, as far as ``budget`` characters go. A null text is empty.
+
+    Which rows are shown follows from lengths alone, before a text moves: a row is out once the rows before it fill the
+    budget. That is worked out within ``cells`` of a key first, where it can only leave too many in (what fills the budget in
+    a cell fills it in the whole), so no task sees all rows of a key; then among what is left, which is little. Only texts
+    that are shown are gathered, so a key's row holds ``budget`` characters, and as many of the last text, at most.
+    """
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    marked = rows.select(*keys, *order, F.xxhash64(body).alias("__h"), body.alias("__text"))
+    by = [*order, "__h"]
+    sizes = marked.groupBy(*keys, *by).agg(F.sum(F.length("__text") + len(separator)).alias("__n")).withColumn("__cell", F.pmod(F.xxhash64(*by), F.lit(cells)))
+
+    def left(df: DataFrame, *within: str) -> DataFrame:
+        before = F.sum("__n").over(Window.partitionBy(*keys, *within).orderBy(*by)) - F.col("__n")
+        return df.withColumn("__before", before - len(separator)).where(F.col("__before") < budget)  # the blank line before a row may still be shown
+
+    shown = left(left(sizes, "__cell")).select(*(F.col(c).alias(f"__{i}") for i, c in enumerate([*keys, *by])))
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate([*keys, *by])]
+    texts = marked.join(shown, same, "left_semi").select(*keys, F.struct(*by, F.substring("__text", 1, budget).alias("text")).alias("__s"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("__s")), lambda x: x["text"]), separator)
+    return texts.groupBy(*keys).agg(F.substring(joined, 1, budget).alias("text"))
+
+
+def joined_sections(split: DataFrame, *keys: str, budget: int = LIMITS["gap"]) -> DataFrame:
+    """(keys, text): a document's sections in order, a blank line between them, as far as a prompt shows them."""
+    return budgeted(split, list(keys), ["sec_pos"], budget=budget)
+
+
+def paired(statutes: DataFrame, regulations: DataFrame, topic_cols: list[str], id_col: str = "doc_id", title_col: str | None = None) -> DataFrame:
+    """(topic, statute, regulation, statute_title, regulation_title): statutes and the regulations on the same topic, from sections (topic, id, sec_pos, text).
+
+    Of each side the sections stand in order of documents and places, as far as a prompt shows them; its title is the first document's. Topics
+    that one side lacks have no pair.
+    """
+
+    def side(split: DataFrame, name: str) -> DataFrame:
+        title = F.min_by(F.col(title_col or id_col).cast("string"), F.struct(id_col, "sec_pos")).alias(f"{name}_title")
+        texts = budgeted(split, topic_cols, [id_col, "sec_pos"]).withColumnRenamed("text", name)
+        return texts.join(split.groupBy(*topic_cols).agg(title), topic_cols)
+
+    return side(statutes, "statute").join(side(regulations, "regulation"), topic_cols)
 
 
 def gaps(pairs: DataFrame, completer: Completer | None = None) -> DataFrame:
@@ -214,17 +252,14 @@ def model_bill(rows: DataFrame, completer: Completer | None = None) -> DataFrame
     return told.withColumn("bill", F.lit(NO_KEY_BILL) if completer is None else F.col("answer.text")).drop("answer")
 
 
-
-
 def compared(rows: DataFrame, topic: str, completer: Completer | None = None) -> DataFrame:
     """One row: topic, rankings, key_differences, recommendations, model_provisions of provisions (jurisdiction, text, input_ord), as arrays.
 
     Without a completer, and where its answer fails or can't be read, it is the comparison by patterns. The
-    provisions stand in one prompt, of which ``LIMITS["comparison"]`` characters are shown: jurisdictions are few.
+    provisions stand in one prompt as far as it shows them; others are not gathered.
     """
-    shown = F.concat(F.lit("=== "), F.col("jurisdiction"), F.lit(" ===\n"), F.substring("text", 1, LIMITS["comparison"]))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("input_ord", shown.alias("s")))), lambda x: x["s"])
-    one = rows.agg(F.array_join(listed, "\n\n").alias("formatted"))
+    headed = rows.select("input_ord", F.concat(F.lit("=== "), F.col("jurisdiction"), F.lit(" ===\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    one = budgeted(headed, [], ["input_ord"], budget=LIMITS["comparison"]).withColumnRenamed("text", "formatted")
     told = complete(one, comparison_prompt(F.lit(topic), F.col("formatted")), completer)
     read = told.select(F.from_json(fenced(F.col("answer.text")), COMPARISON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("m"))
 

@@ -74,16 +74,43 @@ def model_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "rewritten_text", "confidence", F.size("changes").cast("long").alias("changes"), F.element_at("warnings", 1).alias("warning"))
 
 
-def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source: those with even ids as statutes, those with odd ids as the regulations on the same topic."""
     docs = base.corpus(spark, sf_dir)
-    pairs = docs.select("doc_id", F.col("source").alias("regulation_title"), F.col("doc_id").cast("string").alias("statute_title"), F.col("text").alias("statute"), F.substring("text", 1, 50).alias("regulation"))
-    done = external.gaps(pairs, answer_gaps)
+    side = lambda odd: sections.split_sections(docs.where(F.pmod("doc_id", F.lit(2)) == odd), "doc_id", "text", "source")
+    return external.paired(side(0), side(1), ["source"])
+
+
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = external.gaps(gap_pairs(spark, sf_dir), answer_gaps)
     return done.select("title", "summary", F.round("confidence", 6).alias("confidence"), external.alignment_band(F.round(F.col("confidence") * 100)).alias("band"), external.gap_icon(F.col("findings")[0]["type"]).alias("icon"))
 
 
 def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.corpus(spark, sf_dir).select(F.col("doc_id").cast("string").alias("jurisdiction"), F.col("text").alias("current_text"), F.lit("best").alias("best_practice_text"))
-    return external.model_bill(docs, lambda prompts: [f"bill {len(p)}" for p in prompts]).select("jurisdiction", "bill")
+    """A bill for each source from its documents, as far as a prompt goes, and those of the source with the lowest burden."""
+    docs = base.corpus(spark, sf_dir).where("source <> ''")
+    texts = external.budgeted(docs, ["source"], ["doc_id"]).select(F.col("source").alias("jurisdiction"), F.col("text").alias("current_text"))
+    best = base.ranked(spark, sf_dir).where("rank = 1").select(F.col("jurisdiction").alias("best"))
+    best = texts.join(best, F.col("jurisdiction") == F.col("best")).select("best", F.col("current_text").alias("best_practice_text"))
+    told = external.model_bill(texts.crossJoin(best), lambda prompts: [f"bill {len(p)}" for p in prompts])  # one best source
+    return told.select("jurisdiction", "best", "bill")
+
+
+def answer_comparison(prompts: list[str]) -> list[str]:
+    """A model that scores each provision that it is shown by the length of its name, the latest first."""
+    told = []
+    for p in prompts:
+        names = [line[4:-4] for line in p.split("\n") if line.startswith("=== ") and line.endswith(" ===")]
+        ranks = [{"jurisdiction": n, "score": len(n), "notes": str(len(p))} for n in reversed(names)]
+        told.append("```json\n" + json.dumps({"rankings": ranks, "recommendations": [f"{len(names)} shown"]}) + "\n```")
+    return told
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compare.provisions(base.corpus(spark, sf_dir), "source", "text", "doc_id")
+    told = external.compared(rows, "filing", answer_comparison)
+    ranks = F.transform("rankings", lambda r: F.concat_ws(":", r["jurisdiction"], r["score"].cast("int").cast("string"), r["notes"]))
+    return told.select("topic", F.array_join(ranks, "|").alias("rankings"), F.array_join("recommendations", "|").alias("recommendations"), F.size("model_provisions").alias("models"))
 
 
 def model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,5 +170,8 @@ QUERIES: dict[str, base.Query] = {
     "united_findings": united_findings,
     "model_rewrite": model_rewritten,
     "model_gaps": gaps,
+    "gap_pairs": gap_pairs,
+    "model_comparison": compared,
+    "provisions": lambda s, d: compare.provisions(base.corpus(s, d), "source", "text", "doc_id"),
     "model_bills": bills,
 }

@@ -36,8 +36,11 @@ def sql() -> dict[str, str]:
     shown = {"training_hours": "training_hours::VARCHAR", "total_cost": "'$' || (application_fee + exam_fee + license_fee)::INTEGER", "processing_days": "processing_days::VARCHAR", "in_person_required": mark("in_person_required"), "notarization_required": mark("notarization_required"), "burden_score": "burden_score::VARCHAR"}
     rewritten = f"SELECT doc_id, {without_jargon('text')} AS text FROM corpus"
     length = f"({len(external.rewrite_head())} + least({external.LIMITS['rewrite']}, length(text)))"
-    gap = f"({sum(map(len, external.GAP_HEADS))} + least({external.LIMITS['gap']}, length(text)) + least(50, length(text)))"
-    bill = f"({sum(map(len, external.BILL_HEADS))} + length(doc_id::VARCHAR) + length(text) + 4)"
+    gap = f"({sum(map(len, external.GAP_HEADS))} + length(statute) + length(regulation))"
+    bill = f"({sum(map(len, external.BILL_HEADS))} + length(jurisdiction) + length(current_text) + length(best_text))"
+    side = lambda odd, name: (name, f"SELECT source, substr(string_agg(text, chr(10) || chr(10) ORDER BY doc_id, sec_pos), 1, 8000) AS {name}, min(doc_id)::VARCHAR AS {name}_title FROM sections JOIN (SELECT doc_id, source FROM corpus) USING (doc_id) WHERE doc_id % 2 = {odd} GROUP BY source")
+    pairs_of = (*SECTIONS, side(0, "statute"), side(1, "regulation"), ("pairs", "SELECT * FROM statute JOIN regulation USING (source)"))
+    own = ("own", "SELECT source AS jurisdiction, arg_max(text, doc_id) AS text, min(doc_id) AS input_ord FROM named GROUP BY 1")
     parts = lambda name, frm: tuple((f"{name}_{a}" if a in ("spoken", "syllables", "parts", "eased") else a, _renamed(b, name)) for a, b in flesch(frm))
     return {
         "scan_min_severity": with_(*FINDINGS) + f"SELECT {COLUMNS} FROM findings WHERE sev_rank >= 3 AND burden_type IN ({chosen})",
@@ -72,9 +75,15 @@ def sql() -> dict[str, str]:
         "united_findings": with_(*FINDINGS, *model_rows("eligible"))
         + f"SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.sec_pos, b.sec_pos)::INTEGER AS sec_pos, (CASE WHEN a.doc_id IS NULL THEN 2 ELSE 1 END)::INTEGER AS source_ord, coalesce(a.burden_type, b.burden_type) AS burden_type, {SEVERITY_LIST}[coalesce(b.sev_rank, a.sev_rank)] AS severity, coalesce(b.text_excerpt, a.text_excerpt) AS text_excerpt, b.reform_suggestion FROM merged a FULL JOIN model b ON a.doc_id = b.doc_id AND a.sec_pos = b.sec_pos AND a.burden_type = b.burden_type",
         "model_rewrite": with_(*CORPUS, ("plain", rewritten), ("n", f"SELECT doc_id, {length} AS n FROM plain")) + "SELECT doc_id, 'plain ' || n AS rewritten_text, (n % 101)::DOUBLE / 100 AS confidence, 2::BIGINT AS changes, 'check ' || n % 7 AS warning FROM n",
-        "model_gaps": with_(*CORPUS, ("n", f"SELECT doc_id, source, {gap} AS n FROM corpus"))
-        + "SELECT concat_ws(' vs ', doc_id, source) AS title, 's' AS summary, round((n % 101)::DOUBLE / 100, 6) AS confidence, CASE WHEN n % 101 >= 80 THEN 'high' WHEN n % 101 >= 60 THEN 'medium' ELSE 'low' END AS band, CASE WHEN n % 2 = 0 THEN '🔴' ELSE '🟡' END AS icon FROM n",
-        "model_bills": with_(*CORPUS) + f"SELECT doc_id::VARCHAR AS jurisdiction, 'bill ' || {bill} AS bill FROM corpus",
+        "gap_pairs": with_(*pairs_of) + "SELECT source, statute, regulation, statute_title, regulation_title FROM pairs",
+        "model_gaps": with_(*pairs_of, ("n", f"SELECT *, {gap} AS n FROM pairs"))
+        + "SELECT concat_ws(' vs ', statute_title, regulation_title) AS title, 's' AS summary, round((n % 101)::DOUBLE / 100, 6) AS confidence, CASE WHEN n % 101 >= 80 THEN 'high' WHEN n % 101 >= 60 THEN 'medium' ELSE 'low' END AS band, CASE WHEN n % 2 = 0 THEN '🔴' ELSE '🟡' END AS icon FROM n",
+        "model_bills": with_(*NAMED, RANKED, NUMBERED, ("texts", "SELECT source AS jurisdiction, substr(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), 1, 8000) AS current_text FROM corpus WHERE source <> '' GROUP BY 1"), ("best", "SELECT t.jurisdiction AS best, current_text AS best_text FROM numbered n JOIN texts t USING (jurisdiction) WHERE rank = 1"))
+        + f"SELECT jurisdiction, best, 'bill ' || {bill} AS bill FROM texts, best",
+        "provisions": with_(*NAMED, own) + "SELECT jurisdiction, text, input_ord FROM own",
+        "model_comparison": with_(*NAMED, own, ("shown", "SELECT substr(string_agg('=== ' || jurisdiction || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY input_ord), 1, 10000) AS f FROM own"),
+            ("names", f"SELECT regexp_extract_all(f, '(?m)^=== (.*) ===$', 1) AS names, length(f) + {len(external.COMPARISON_HEADS[0]) + len('filing') + len(external.COMPARISON_HEADS[1])} AS n FROM shown"))
+        + "SELECT 'filing' AS topic, array_to_string(list_reverse(list_transform(names, lambda x: x || ':' || length(x) || ':' || n)), '|') AS rankings, len(names) || ' shown' AS recommendations, 0::INTEGER AS models FROM names",
     }
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -117,3 +118,27 @@ def test_gaps_bills_and_bands(spark):
     assert parsed(spark, external.gap_icon, "Exceeds_authority", "missing") == ["🔴", "🟡"]
     split = sections.split_sections(spark.createDataFrame([(1, "Section 1 a Section 2 b")], "doc_id long, text string"))
     assert external.joined_sections(split, "doc_id").first().text == "Section 1 a\n\nSection 2 b"
+
+
+def test_budgets_decide_before_texts_are_gathered(spark):
+    rng = random.Random(3)
+    rows = [(k, i, "x" * rng.choice([0, 1, 40, 300]) + str(i)) for k in ("a", "b", None) for i in rng.sample(range(500), 200)]
+    rows += [("hot", i, f"line {i} " * 3) for i in range(5000)] + [("long", 1, "y" * 100_000), ("long", 2, "z"), ("twice", 1, "same"), ("twice", 1, "same"), ("twice", 0, None)]
+    df = spark.createDataFrame(rows, "topic string, ord int, text string").repartition(7)
+    for budget, cells in ((1000, 64), (37, 2), (1, 1)):
+        got = {r.topic: r.text for r in external.budgeted(df, ["topic"], ["ord"], budget=budget, cells=cells).collect()}
+        want = {k: "\n\n".join(t or "" for _, t in sorted((i, t) for j, i, t in rows if j == k))[:budget] for k in {r[0] for r in rows}}
+        assert got == want
+    assert external.budgeted(df.where("ord < 0"), [], ["ord"]).first().text == ""
+    plan = external.budgeted(df, ["topic"], ["ord"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_pairs_of_statutes_and_regulations(spark):
+    law = spark.createDataFrame([("fees", 2, 0, "b"), ("fees", 1, 1, "a2"), ("fees", 1, 0, "a1"), ("alone", 9, 0, "z")], "topic string, doc_id long, sec_pos int, text string")
+    rule = spark.createDataFrame([("fees", 7, 0, "w" * 9000), ("fees", 8, 0, "never shown")], law.schema)
+    got = external.paired(law, rule, ["topic"]).collect()
+    assert [(r.topic, r.statute, r.regulation, r.statute_title, r.regulation_title) for r in got] == [("fees", "a1\n\na2\n\nb", "w" * 8000, "1", "7")]
+    asked = []
+    told = external.gaps(external.paired(law, rule, ["topic"]), lambda prompts: asked.extend(prompts) or ["no"] * len(prompts)).first()
+    assert told.title == "1 vs 7" and told.findings == []
