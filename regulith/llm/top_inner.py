@@ -39,31 +39,41 @@ from .common import drop, scratch, share, written
 
 RUN = 1024
 LOW, HIGH = -(2**63), 2**63 - 1
+#: What longer vectors count as where lengths bound scores: with it, too, they come first and are never left out.
+LONGEST = 1.7e308
+
+
+def _unit(scale: float) -> float:
+    """What components are kept in parts of: ``scale``, if dividing by it is exact."""
+    return scale if scale == 2.0 ** round(np.log2(scale)) else 1.0
 
 
 def _quantise(vectors: pa.Array, scale: float, kind: str) -> pa.Array:
-    """struct<packed: components as numbers of ``kind``, length>, null where a vector takes no part."""
+    """struct<packed: floor(scale * component) / unit as numbers of ``kind``, length>, null where a vector takes no part."""
     flat = vectors.flatten()
     values = np.asarray(flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
     sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     absent = vectors.is_null().to_numpy(zero_copy_only=False)
-    packed, lengths = [], []
+    packed, lengths, unit = [], [], _unit(scale)
     for gone, n, end in zip(absent.tolist(), sizes.tolist(), np.cumsum(sizes).tolist()):
         x = values[end - n : end]
-        with np.errstate(over="ignore"):
+        with np.errstate(over="ignore", invalid="ignore"):
             whole = np.floor(scale * x)
-        if gone or not np.isfinite(whole).all():
+            own = whole / unit
+        if unit == scale:  # a component whose product leaves the range of numbers is whole as it is
+            own = np.where(np.isfinite(whole), own, x)
+        if gone or not np.isfinite(own).all():
             packed.append(None)
             lengths.append(None)
             continue
-        packed.append(whole.astype(kind).tobytes())
-        lengths.append(float(norms(whole[None, :])[0]))
+        packed.append(own.astype(kind).tobytes())
+        lengths.append(min(float(norms(whole[None, :])[0]), LONGEST))
     fields = [pa.field("packed", pa.binary()), pa.field("length", pa.float64())]
     return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(lengths, pa.float64())], fields=fields)
 
 
 def quantised(vector: Column, scale: float = 64.0, kind: str = "<f8") -> Column:
-    """Whole numbers as floating-point ones: a number of 24 bits, such as a 32-bit component's, fits ``<f4``."""
+    """Whole numbers, in parts of ``scale`` if that is a power of 2: so what comes of a 32-bit component fits ``<f4``, whatever its size."""
     return F.arrow_udf(lambda v: _quantise(v, scale, kind), "struct<packed: binary, length: double>")(vector)
 
 
@@ -78,44 +88,53 @@ def _matrix(packed: list[bytes], dim: int, kind: str = "<f8") -> np.ndarray:
 def norms(x: np.ndarray) -> np.ndarray:
     """Lengths of rows, without overflow on the way."""
     most = np.abs(x).max(1, initial=0)
-    scaled = x / np.where(most > 0, most, 1)[:, None]
-    return most * np.sqrt((scaled * scaled).sum(1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = x / np.where(most > 0, most, 1)[:, None]
+        return np.nan_to_num(most * np.sqrt((scaled * scaled).sum(1)), nan=np.inf, posinf=np.inf)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers, row by row, as 64-bit numbers (the nearest ones)."""
-    reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+def products(a: np.ndarray, b: np.ndarray, unit: float = 1.0) -> np.ndarray:
+    """Exact inner products of whole numbers in parts of ``unit``, row by row, as 64-bit numbers (the nearest ones)."""
+    with np.errstate(over="ignore"):
+        u, v = a * unit, b * unit
+        reach = float(np.abs(u).max(initial=0)) * float(np.abs(v).max(initial=0)) * a.shape[1]
     if reach < 2**53:
-        return np.einsum("ij,ij->i", a, b).astype(np.int64)
-    if reach < 2**62 and max(float(np.abs(x).max(initial=0)) for x in (a, b)) < 2**62:
-        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
-    sums = (sum(int(x) * int(y) for x, y in zip(u, v)) for u, v in zip(a.tolist(), b.tolist()))
+        return np.einsum("ij,ij->i", u, v).astype(np.int64)
+    if reach < 2**62 and max(float(np.abs(x).max(initial=0)) for x in (u, v)) < 2**62:
+        return np.einsum("ij,ij->i", u.astype(np.int64), v.astype(np.int64))
+    whole = lambda x: int(x) * int(unit) if abs(x) >= 2**53 else int(x * unit)
+    sums = (sum(whole(x) * whole(y) for x, y in zip(p, q) if x and y) for p, q in zip(a.tolist(), b.tolist()))
     return np.array([max(LOW, min(HIGH, s)) for s in sums], np.int64)
 
 
 def fit_rotation(sample: np.ndarray) -> np.ndarray:
     """Right singular vectors, those of the largest singular values first."""
     dim = sample.shape[1]
+    sample = sample[np.abs(sample).max(1, initial=0) < 1e100]  # squares of others may leave the range of numbers
     if not len(sample) or not dim:
         return np.eye(dim)
     values, vectors = np.linalg.eigh(sample.T.astype(float) @ sample.astype(float))
     return np.ascontiguousarray(vectors[:, ::-1])
 
 
-def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, rotation: np.ndarray, floor: np.ndarray | None = None, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, rotation: np.ndarray, floor: np.ndarray | None = None, run: int = RUN, unit: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query's place, vector's place, score) of each query's best k, and the number of pairs scored.
 
-    Vectors of a query's own row are left out. ``floor``: a k-th score that each query has
-    already, or minus infinity; lower scores are left out.
+    Queries and vectors hold whole numbers in parts of ``unit``. Vectors of a query's own row are left out. ``floor``: a
+    k-th score that each query has already, or minus infinity; lower scores are left out.
     """
-    dim = queries.shape[1]
+    dim, exact = queries.shape[1], (queries, vectors)
+    with np.errstate(over="ignore"):  # a component beyond the range of numbers is infinite in bounds, not in scores
+        queries, vectors = queries * unit, vectors * unit
     least = np.full(len(queries), -np.inf) if floor is None else floor.astype(float).copy()
     length = norms(vectors)
     order = np.lexsort((ids, -length))
     vectors, ids, rows, length = vectors[order], ids[order], rows[order], length[order]
+    exact = exact[0], exact[1][order]
     q_length = norms(queries)
     head = max(1, dim // 4) if dim else 0
-    turned, q_turned = vectors @ rotation, queries @ rotation
+    with np.errstate(over="ignore", invalid="ignore"):
+        turned, q_turned = vectors @ rotation, queries @ rotation
     rest, q_rest = norms(turned[:, head:]), norms(q_turned[:, head:])
     found = np.empty((3, 0), np.int64)
     scored = 0
@@ -131,7 +150,8 @@ def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids
             worth = ~(bound + slack[live, None] < least[live, None])
         worth &= query_rows[live, None] != rows[None, at:stop]
         scored += int(worth.sum())
-        reach = float(np.abs(queries[live]).max(initial=0)) * float(np.abs(vectors[at:stop]).max(initial=0)) * dim
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = float(np.abs(queries[live]).max(initial=0)) * float(np.abs(vectors[at:stop]).max(initial=0)) * dim
         if worth.mean() > 0.05 and reach < 2**53:
             score = (queries[live] @ vectors[at:stop].T).astype(np.int64)
             if score.shape[1] > k:
@@ -141,7 +161,7 @@ def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids
             new = np.stack([live[i], at + j, score[i, j]])
         else:
             i, j = np.nonzero(worth)
-            score = products(queries[live[i]], vectors[at + j])
+            score = products(exact[0][live[i]], exact[1][at + j], unit)
             reached = score >= least[live[i]]
             new = np.stack([live[i][reached], at + j[reached], score[reached]])
         if not new.shape[1]:
@@ -156,13 +176,13 @@ def search(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids
     return found[0], order[found[1]], found[2], scored
 
 
-def _meet(queries: pa.Table, block: pa.Table, dim: int, k: int, rotation: np.ndarray, kind: str) -> pa.Table:
+def _meet(queries: pa.Table, block: pa.Table, dim: int, k: int, rotation: np.ndarray, kind: str, unit: float) -> pa.Table:
     schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     if not queries.num_rows or not block.num_rows:
         return schema.empty_table()
-    floor = queries["least"].combine_chunks().cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+    floor = queries["least"].combine_chunks().cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)
     own, ids = queries["q"].to_numpy(), block["vec_id"].to_numpy()
-    i, j, score, _ = search(_matrix(queries["packed"].to_pylist(), dim, kind), own, _matrix(block["packed"].to_pylist(), dim, kind), ids, block["row"].to_numpy(), k, rotation, floor)
+    i, j, score, _ = search(_matrix(queries["packed"].to_pylist(), dim, kind), own, _matrix(block["packed"].to_pylist(), dim, kind), ids, block["row"].to_numpy(), k, rotation, floor, unit=unit)
     return pa.table([own[i], ids[j], score], schema=schema)
 
 
@@ -196,18 +216,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """query_id, rank (from 1), vec_id, score: each query's ``k`` best rows other than its own."""
     spark = vectors.sparkSession
     folder = scratch(spark, "top-k")
-    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" and scale == 2.0 ** round(np.log2(scale)) else "<f8"
+    unit = _unit(scale)
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" and unit == scale else "<f8"
     base = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), quantised(F.col(vector_col), scale, kind).alias("x"))
     base = base.where("x.packed is not null").select(F.monotonically_increasing_id().alias("row"), "vec_id", "asks", "x.packed", "x.length")
     base = written(base, f"{folder}/all")
     n, widest = base.agg(F.count("*"), F.max(F.length("packed"))).first()
     dim = (widest or 0) // np.dtype(kind).itemsize
     some = base.where(share(F.col("row"), "rotation") < min(1.0, sample / max(n, 1))).select("packed").collect()
-    rotation = fit_rotation(_matrix([r.packed for r in some], dim, kind))
+    rotation = fit_rotation(_matrix([r.packed for r in some], dim, kind))  # in parts of the unit: a rotation is the same
     asked = written(base.where("asks").select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "packed", "length"), f"{folder}/queries")
     blocks = _in_blocks(base, n, block, folder)
     drop(spark, f"{folder}/all")
-    meet = partial(_meet, dim=dim, k=k, rotation=rotation, kind=kind)
+    meet = partial(_meet, dim=dim, k=k, rotation=rotation, kind=kind, unit=unit)
     reach, total = _reach(blocks), -(-n // block)
     best = written(spark.createDataFrame([], "q long, vec_id long, score long"), f"{folder}/best-0")
     at, width, wave = 0, 1, 0

@@ -76,3 +76,23 @@ def test_rows_that_repeat_ids_are_queries_and_candidates_of_their_own(spark, tmp
     assert rows(op3_norm_sorted(spark, str(tmp_path)), *COLUMNS) == want
     df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
     assert rows(top_inner.top_k(df, F.col("vec_id") % 20 == 0, block=10, queries_a_task=4), *COLUMNS) == want
+
+
+def test_finite_components_of_any_size(spark, tmp_path):
+    for kind, sizes in (("float", [3e37, 3.4e38, 5.4e36, 1e-45]), ("double", [1e307, 1.7e308, 3e37, 5e-324])):
+        data = [(20 * i, [x, -x, 1.5] + [x] * 5, 0) for i, x in enumerate(sizes)] + [(101 + i, [-x / 3, x / 7, 0.25] + [0.0] * 5, 0) for i, x in enumerate(sizes)]
+        data += [(200, [1.0] * 8, 0), (201, [0.0] * 8, 0), (220, [0.0] * 8, 0), (203, [2.5] * 8, 0)]
+        save(spark, tmp_path, "embeddings", data, f"vec_id long, embedding array<{kind}>, score int")
+        own = np.float32 if kind == "float" else float
+        whole = {i: [int(float(own(x))) * 64 if abs(x) > 2**60 else int(np.floor(64 * float(own(x)))) for x in v] for i, v, _ in data}
+        limit = lambda x: max(-(2**63), min(2**63 - 1, x))
+        want = []
+        for q in whole:
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q) if q % 20 == 0 else []
+            want += [(q, c, limit(-s)) for s, c in scores]
+        got = rows(op3_norm_sorted(spark, str(tmp_path)), "query_id", "vec_id", "score")
+        assert got == sorted(want, key=repr)
+        df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+        few = rows(top_inner.top_k(df, F.col("vec_id") % 20 == 0, k=3, block=3, queries_a_task=2), "query_id", "rank", "score")
+        by = {q: sorted((-s for a, _, s in want if a == q))[:3] for q in whole if q % 20 == 0}
+        assert few == sorted([(q, i + 1, -s) for q, v in by.items() for i, s in enumerate(v)], key=repr)
