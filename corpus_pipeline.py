@@ -9,28 +9,38 @@ from regulith.llm.common import drop, scratch, written
 from regulith.llm.queries import public_model
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Arrow batches of some 8 MB in this session: workers and executors hold a few copies of a batch of whole texts, and texts differ in length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the quality ranking rejects go."""
+    _bounded(spark)
     return stages.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents without a language, or clearly in another than theirs, go."""
+    _bounded(spark)
     return stages.keep_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: one document of each group of near-duplicates stays; SimHash finds the close ones, a prefix join the rest."""
+    _bounded(spark)
     return stages.keep_one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: each source's documents as often as its target asks, none, once or twice."""
+    _bounded(spark)
     return stages.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: number of ids, and digests of the ids and of the text they decode to."""
+    _bounded(spark)
     return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(docs, public_model()))
 
 

@@ -43,7 +43,7 @@ from .common import slices
 
 MARK = "▁"
 #: Chunks that a worker's cache holds between batches, and the longest that it keeps; rows of a matrix of agendas.
-CACHE_ENTRIES, CACHE_CHARS, ROWS = 250_000, 48, 8192
+CACHE_ENTRIES, CACHE_CHARS, ROWS = 100_000, 48, 8192
 #: Bytes of text that are encoded together, one text at least.
 PART_BYTES = 1 << 20
 NONE = np.int32(2**31 - 1)
