@@ -126,9 +126,8 @@ def postings(docs: DataFrame, folder: str, least: int = 3, lang_col: str = "lang
     named = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"), F.col(text_col).alias("text"))
     blocks = written(named.mapInArrow(_pack, "block long, lang string, source string, texts binary"), f"{folder}/blocks")
     seen = blocks.select("block", "lang", "texts").mapInArrow(_frequencies, "block long, lang string, term string, docs long")
-    dealt = seen.repartition("lang", "term")  # moved once for the sums and the join
-    enough = dealt.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
-    kept = dealt.join(enough, ["lang", "term"]).select("block", "lang", "term")
+    whole = F.sum("docs").over(Window.partitionBy("lang", "term"))  # a term has a row for each block at most, and all move once
+    kept = seen.withColumn("in_all", whole).where(F.col("in_all") >= least).select("block", "lang", "term")
     counted = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(_recount, "lang string, term string, found array<struct<source: string, n: long>>")
     each = counted.repartition("lang", "term").select("lang", "term", F.explode("found").alias("f")).select("lang", "f.source", "term", "f.n")
     return blocks.select("lang", "source").distinct(), written(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), f"{folder}/postings")
