@@ -93,21 +93,26 @@ def rule_matches(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, C
     return each.select(*kept, "match_ord", F.col("__m.start").alias("start"), F.col("__m.text_excerpt").alias("text_excerpt"), _of_rule([r.group for r in catalog], F.col("number")).alias("group"), _of_rule([r.burden_type for r in catalog], F.col("number")).alias("burden_type"))
 
 
-def match_counts(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, Column] | None = None) -> DataFrame:
-    """As ``rule_matches``, with one row for each section and rule, and the number of its matches as n: no offsets, no excerpts."""
+def section_counts(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, Column] | None = None) -> DataFrame:
+    """As ``rule_matches``, with the sections as they are, without their text, and an array of their rules' numbers of matches (number, n, group, burden_type) as hits: no offsets, no excerpts."""
     first, condition = gate or (len(catalog), F.lit(True))
     counted = []
     for i, r in enumerate(catalog):
         here = F.contains("__folded", F.lit(rx.needed(r.pattern)))
         times = F.when(here & condition if i >= first else here, rx.count(F.col("text"), rx.fold(r.pattern))).otherwise(0)
         counted.append(F.struct(F.lit(i).alias("number"), times.alias("n"), F.lit(r.group).alias("group"), F.lit(r.burden_type).alias("burden_type")))
-    some = split.withColumn("__folded", rx.folded(F.col("text"))).withColumn("__hits", F.filter(F.array(*counted), lambda h: h["n"] > 0)).drop("__folded")
+    some = split.withColumn("__folded", rx.folded(F.col("text"))).withColumn("hits", F.filter(F.array(*counted), lambda h: h["n"] > 0)).drop("__folded")
     if gate is not None:
-        again = lambda h, i: F.exists(F.slice("__hits", 1, i), lambda g: (g["number"] >= first) & (g["burden_type"] == h["burden_type"]))
-        some = some.withColumn("__hits", F.filter("__hits", lambda h, i: (h["number"] < first) | ~again(h, i)))
-    each = some.drop("text").withColumn("__h", F.explode_outer("__hits")).drop("__hits").where(F.col("__h").isNotNull())
-    n = F.when(F.col("__h.number") < first, F.col("__h.n")).otherwise(1).cast("long")
-    return each.select(*(c for c in each.columns if c != "__h"), "__h.number", n.alias("n"), "__h.group", "__h.burden_type")
+        again = lambda h, i: F.exists(F.slice("hits", 1, i), lambda g: (g["number"] >= first) & (g["burden_type"] == h["burden_type"]))
+        some = some.withColumn("hits", F.filter("hits", lambda h, i: (h["number"] < first) | ~again(h, i)))
+    n = lambda h: F.when(h["number"] < first, h["n"]).otherwise(1).cast("long")
+    return some.drop("text").withColumn("hits", F.transform("hits", lambda h: h.withField("n", n(h))))
+
+
+def match_counts(split: DataFrame, catalog: tuple[Rule, ...], gate: tuple[int, Column] | None = None) -> DataFrame:
+    """``section_counts`` with one row for each section and rule."""
+    each = section_counts(split, catalog, gate).withColumn("__h", F.explode_outer("hits")).drop("hits").where(F.col("__h").isNotNull())
+    return each.select(*(c for c in each.columns if c != "__h"), "__h.number", "__h.n", "__h.group", "__h.burden_type")
 
 
 def _findings(found: DataFrame, keys: tuple[str, ...], statutory: int) -> DataFrame:
@@ -197,12 +202,21 @@ def from_engine(rows: DataFrame) -> DataFrame:
 # Counts and texts -------------------------------------------------------------------------
 
 
-def counts(findings: DataFrame, *keys: str, id_col: str = "doc_id") -> DataFrame:
-    """(keys, dimension, value, n, first) for type, category and severity, in one pass; ``first`` is the place of the first finding."""
-    names = {"by_type": "burden_type", "by_category": "category", "by_severity": "severity"}
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), F.col(c).alias("value")) for k, c in names.items())))
+def counts(findings: DataFrame, *keys: str, id_col: str = "doc_id", whole: bool = False) -> DataFrame:
+    """(keys, dimension, value, n, first) for type, category and severity; ``first`` is the place of the first finding. With ``whole``, also a row "all" without a value.
+
+    Findings are summed where they lie to a row for each type and severity, and only these few rows are grouped three ways.
+    """
+    names = {"burden_type": "by_type", "category": "by_category", "severity": "by_severity"}
     place = F.struct(id_col, *ORDER).alias("place")
-    return findings.select(*keys, place, pairs.alias("p")).groupBy(*keys, "p.dimension", "p.value").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    few = findings.select(*keys, *names, place).groupBy(*keys, *names).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    sets = [[F.col(c) for c in (*keys, *own)] for own in (*([n] for n in names), *([[]] if whole else []))]
+    grouped = few.groupingSets(sets, *keys, *names).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.grouping_id(*keys, *names).alias("g"))
+    named = F.lit("all")  # of the bits of the names, the one of the column that is grouped by is 0
+    for i, (column, name) in enumerate(names.items()):
+        named = F.when(F.col("g").bitwiseAND(F.lit(4 >> i)) == 0, F.lit(name)).otherwise(named)
+    out = grouped.select(*keys, named.alias("dimension"), F.coalesce(*names).alias("value"), "n", "first")
+    return out.where(F.col("n").isNotNull())  # no findings at all: no row
 
 
 def totals(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,12 +258,13 @@ def engine_recommendations(findings: DataFrame, id_col: str = "doc_id", most: in
 
 
 def burden_summary(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, summary): how many findings of each severity, the highest first; every document has one."""
-    per = findings.groupBy(id_col).agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s) for s in rules.SEVERITIES))
+    """(id, summary): how many findings of each severity, the highest first; every document has one. Rows that share an id share one."""
+    marks = {s: (F.col("severity") == s).cast("long") for s in rules.SEVERITIES}
+    found = findings.select(id_col, *(c.alias(s) for s, c in marks.items()))
+    all_ids = docs.select(id_col, *(F.lit(0).cast("long").alias(s) for s in marks))  # ids only: no text is read for them, and there is no join
+    per = all_ids.unionByName(found).groupBy(id_col).agg(*(F.sum(s).alias(s) for s in marks)).withColumn("n", sum((F.col(s) for s in marks), F.lit(0)))
     lines = F.concat_ws("\n", F.format_string("Identified %d procedural burdens:", F.col("n")), *(F.when(F.col(s) > 0, F.format_string(f"- {s}: %d", F.col(s))) for s in reversed(rules.SEVERITIES)))
-    told = per.select(F.col(id_col).alias("__id"), lines.alias("__lines"))
-    joined = docs.select(id_col).join(told, F.col(id_col) == F.col("__id"), "left")
-    return joined.select(id_col, F.coalesce("__lines", F.lit("No significant procedural burdens identified.")).alias("summary"))
+    return per.select(id_col, F.when(F.col("n") > 0, lines).otherwise("No significant procedural burdens identified.").alias("summary"))
 
 
 def analysis(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, completer: external.Completer | None = None) -> DataFrame:

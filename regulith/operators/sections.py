@@ -77,11 +77,12 @@ def cross_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def attached_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sections with the references whose raw text they contain: id, sec_pos, ref_pos, raw_text. A document's references travel with its sections, so there is no join."""
+    """Sections with the references whose raw text they contain: id, sec_pos, ref_pos, raw_text. A document's references travel with its sections, and only those that a section contains become rows."""
     refs = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rx.fold(rules.CROSS_REFERENCE)), F.lit(0))
-    split = split_sections(docs.withColumn("__refs", refs), id_col, text_col, "__refs")
-    each = split.select(id_col, "sec_pos", "text", F.posexplode_outer("__refs").alias("ref_pos", "raw_text"))
-    return each.where(F.contains("text", "raw_text")).select(id_col, "sec_pos", "ref_pos", "raw_text")
+    numbered = F.transform(refs, lambda raw, i: F.struct(i.alias("ref_pos"), raw.alias("raw_text")))
+    split = split_sections(docs.withColumn("__refs", numbered), id_col, text_col, "__refs")
+    own = split.select(id_col, "sec_pos", F.filter("__refs", lambda r: F.contains(F.col("text"), r["raw_text"])).alias("__own"))
+    return own.select(id_col, "sec_pos", F.inline_outer("__own")).where(F.col("ref_pos").isNotNull())
 
 
 def section_complexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,10 +6,10 @@ import json
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare, scan
+from ..operators import compare, scan, sections
 
 # The formats of the reports.
 SCAN_HEAD = """# Statutory Burden Scan: {jurisdiction}
@@ -70,6 +70,58 @@ def scan_result(docs: DataFrame, findings: DataFrame, jurisdiction: str = "Unkno
     return {"jurisdiction": jurisdiction, **totals, "summary_stats": stats, "burdens": burdens, "recommendations": _advice(findings, id_col)}
 
 
+def _object(columns: dict[str, Column]) -> Column:
+    return F.to_json(F.struct(*(c.alias(n) for n, c in columns.items())), {"ignoreNullFields": "false"})
+
+
+def scan_lines(docs: DataFrame, findings: DataFrame, by: str = "jurisdiction", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(by, ord, place, line): what ``scan_result`` gives for each jurisdiction as lines of text, however many findings there are.
+
+    The lines of a jurisdiction in order of (ord, place) are one JSON object: a head with totals and counts (ord 0), a line for each finding
+    (ord 1), and a tail with recommendations (ord 2). ``by`` is a column of ``docs``; null is a jurisdiction too. Findings are joined with it
+    by id, which has to name one document.
+    """
+    places = docs.select(id_col, F.coalesce(by, F.lit("")).alias("j"))
+    own = findings.join(places, id_col)
+    split = docs.select(F.coalesce(by, F.lit("")).alias("j"), F.greatest(F.lit(1), F.size(sections.markers(F.coalesce(F.col(text_col), F.lit(""))))).alias("n"))
+    scanned = split.groupBy("j").agg(F.count("*").alias("documents_scanned"), F.sum("n").alias("sections_analyzed"))
+    # a jurisdiction has a row for each type, category and severity, and one in all
+    counted = scan.counts(own, "j", id_col=id_col, whole=True)
+    listed = lambda d: F.array_sort(F.collect_list(F.when(F.col("dimension") == d, F.struct("first", "value", "n"))))
+    told = lambda d: F.map_from_entries(F.transform(listed(d), lambda x: F.struct(x["value"], x["n"]))).alias(d)
+    count = lambda c: F.coalesce(F.max(F.when(c, F.col("n"))), F.lit(0))
+    severe = F.coalesce(F.sum(F.when((F.col("dimension") == "by_severity") & F.col("value").isin("HIGH", "CRITICAL"), F.col("n"))), F.lit(0))
+    stats = counted.groupBy("j").agg(count(F.col("dimension") == "all").alias("total"), severe.alias("severe"), F.min(F.when(F.col("dimension") == "all", F.col("first"))).alias("first"), *map(told, ("by_type", "by_category", "by_severity")))
+    advice = scan.scan_recommendations(own, "j", id_col=id_col).groupBy("j").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "recommendation"))), lambda x: x["recommendation"]).alias("said"))
+    whole = scanned.join(stats, "j", "left").join(advice, "j", "left")
+    nothing = F.create_map().cast("map<string, long>")
+    head = _object({
+        "jurisdiction": F.col("j"), "documents_scanned": F.col("documents_scanned"), "sections_analyzed": F.col("sections_analyzed"), "total_burdens": F.coalesce("total", F.lit(0)),
+        "high_priority_count": F.coalesce("severe", F.lit(0)), "summary_stats": F.struct(*(F.coalesce(c, nothing).alias(c) for c in ("by_type", "by_category", "by_severity"))),
+    })
+    tail = F.concat(F.lit('], "recommendations": '), F.to_json(F.coalesce("said", F.array().cast("array<string>"))), F.lit("}"))
+    place = F.struct(id_col, *scan.ORDER)
+    none = F.lit(None).cast(own.select(place.alias("p")).schema["p"].dataType.simpleString())
+    ends = F.inline(F.array(F.struct(F.lit(0).alias("ord"), F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(', "burdens": [')).alias("line")), F.struct(F.lit(2).alias("ord"), F.col("tail").alias("line"))))
+    frame = whole.select("j", head.alias("head"), tail.alias("tail")).select("j", ends).select("j", "ord", none.alias("place"), "line")
+    firsts = stats.select(F.col("j").alias("k"), "first")
+    placed = own.join(firsts, F.col("j") == F.col("k"))
+    shape = findings_json(placed.limit(0)).columns
+    row = _object(dict(zip(shape, (F.col("burden_type"), F.col("category"), F.col("severity"), F.col("location"), F.substring("text_excerpt", 1, 200), F.col("reform_suggestion")))))
+    comma = F.when(place == F.col("first"), "").otherwise(",")
+    lines = placed.select("j", F.lit(1).alias("ord"), place.alias("place"), F.concat(comma, row).alias("line"))
+    return frame.unionByName(lines).withColumnRenamed("j", by)
+
+
+def write_scan_results(lines: DataFrame, path: str, by: str = "jurisdiction") -> None:
+    """A folder for each jurisdiction (``by=name``), whose text files, in order of their names and one behind the other, are its JSON object.
+
+    Lines are dealt by ranges of their order, so a large jurisdiction is written by many tasks, and no report passes through one.
+    """
+    ordered = lines.repartitionByRange(by, "ord", "place").sortWithinPartitions(by, "ord", "place")
+    ordered.select(by, "line").write.mode("overwrite").partitionBy(by).text(path)
+
+
 def scan_markdown(docs: DataFrame, findings: DataFrame, jurisdiction: str = "Unknown", id_col: str = "doc_id", most: int = 10) -> str:
     """A report with the first ``most`` findings of high priority."""
     totals = scan.totals(docs, findings).first().asDict()
