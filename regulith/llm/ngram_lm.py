@@ -22,7 +22,8 @@ The vocabulary is cut into shards by the first bits of a token's hash, as many a
 input has partitions (rounded to a power of 2). An n-gram belongs to the shard of its
 first token and, in it, to the unit of its second token's number: a shard has a unit
 for each ``unit_tokens`` tokens that it counts, so that a context which a third of all
-tokens follow is dealt to a third of all units. Counts are summed in each batch before they
+tokens follow is dealt to a third of all units. Trigrams of a unit whose bigrams count more tokens than
+that, as one common pair can, are cut again by their third token. Counts are summed in each batch before they
 are moved, cover every training text, and nothing is pruned. Units are files in the
 shared folder, which scoring maps into memory page by page as it looks things up; a
 manifest names those of the tasks that ended well.
@@ -103,7 +104,7 @@ class Grams:
 # Counting and building --------------------------------------------------------------------
 
 
-BLOBS = "unit int, x binary, y binary, z binary, n binary, runs binary"
+BLOBS = "unit long, x binary, y binary, z binary, n binary, runs binary"
 
 
 def _squeezed(values: np.ndarray, ascending: bool = False) -> bytes:
@@ -126,7 +127,7 @@ def _spread(data: bytes, ascending: bool = False) -> np.ndarray:
 
 def _blobs(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[]] * 6
-    return pa.record_batch([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["unit", "x", "y", "z", "n", "runs"])
+    return pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["unit", "x", "y", "z", "n", "runs"])
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,8 +243,26 @@ def opened_vocabulary(v: Vocabulary) -> dict[int, tuple[ef.Sequence, ef.Sequence
     return {shard: tuple(ef.Sequence(ef.part(arrays, k)) for k in ("token", "sums")) for shard, uri, *_ in v.shards if (arrays := ef.load(uri))}
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, order: int) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Parts:
+    """Into how many parts the trigrams of a bigrams' unit are cut, by their third tokens: part k of unit u is unit u + k * ``units`` of the third level.
+
+    ``several``: (unit, parts) of those of more than one, which common pairs make.
+    """
+
+    units: int
+    several: tuple[tuple[int, int], ...] = ()
+
+    def numbers(self) -> np.ndarray:
+        out = np.ones(self.units, np.int64)
+        for unit, n in self.several:
+            out[unit] = n
+        return out
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, order: int, parts: Parts) -> Iterator[pa.RecordBatch]:
     """Bigrams, or trigrams, of each block, by unit: x and y are the first two tokens' numbers, once for each run of them, and z the third's."""
+    cut = parts.numbers() if order > 2 else None
     for batch in batches:
         for distinct, place, ends in token_blocks(as_bytes(batch.column(0))):
             grams = Grams(distinct, place, ends, order)
@@ -251,6 +270,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, orde
             pair = np.arange(len(grams.before)) if order == 2 else grams.context
             first, second, times = number[grams.before[pair]], number[grams.after[pair]], grams.pair_times if order == 2 else grams.triple_times
             unit, x = vocabulary.unit(first, second)
+            if cut is not None:
+                unit = unit + number[grams.last] % cut[unit] * parts.units
             by = np.argsort(unit, kind="stable")
             unit, x, y, times = unit[by], x[by], second[by], times[by]
             z = np.empty(0) if order == 2 else number[grams.last][by]
@@ -282,13 +303,13 @@ def _codes(log: np.ndarray, bits: int) -> dict[str, np.ndarray]:
     return {"codes": ef.pack(np.rint((log - low) / step).astype(np.uint64), bits), "range": np.array([low, step])}
 
 
-def _saved(unit: int, arrays: dict[str, np.ndarray], folder: str, n: int) -> pa.Table:
+def _saved(unit: int, arrays: dict[str, np.ndarray], folder: str, n: int, total: int) -> pa.Table:
     uri = f"{folder}/{unit}-{uuid.uuid4().hex}"
     ef.save(uri, arrays)
-    return pa.table([pa.array([unit], pa.int32()), pa.array([uri]), pa.array([n], pa.int64())], ["unit", "uri", "grams"])
+    return pa.table([pa.array([unit], pa.int64()), pa.array([uri]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["unit", "uri", "grams", "total"])
 
 
-MADE = "unit int, uri string, grams long"
+MADE = "unit long, uri string, grams long, total long"
 
 
 def _build_bigrams(table: pa.Table, folder: str, vocabulary: Vocabulary, mu: float, bits: int) -> pa.Table:
@@ -302,12 +323,12 @@ def _build_bigrams(table: pa.Table, folder: str, vocabulary: Vocabulary, mu: flo
     counts = np.diff(opened_vocabulary(vocabulary)[shard][1].all().astype(np.int64))
     log = np.log10((times + mu * vocabulary.share(vocabulary.counts(follow))[back]) / (counts[before] + mu))
     sums = np.concatenate([[0], np.cumsum(times)])
-    return _saved(unit, _ranges(before, after, len(counts)) | _codes(log, bits) | ef.named(ef.build(sums, int(sums[-1]) + 1), "sums"), folder, len(keys))
+    return _saved(unit, _ranges(before, after, len(counts)) | _codes(log, bits) | ef.named(ef.build(sums, int(sums[-1]) + 1), "sums"), folder, len(keys), int(sums[-1]))
 
 
 def _build_trigrams(table: pa.Table, folder: str, model: Model, mu: float, bits: int) -> pa.Table:
     unit = table["unit"][0].as_py()
-    vocabulary, level = model.vocabulary, opened_unit(model.files[0][unit], model.bits)
+    vocabulary, level = model.vocabulary, opened_unit(model.files[0][unit % model.parts.units], model.bits)
     pairs, where = np.unique(_joined(table["x"], True) * np.uint64(len(vocabulary)) + _joined(table["y"]), return_inverse=True)
     where, z, n = np.repeat(where, _joined(table["runs"]).astype(np.int64)), _joined(table["z"]), _joined(table["n"])
     first, second = (k.astype(np.int64) for k in np.divmod(pairs, np.uint64(len(vocabulary))))
@@ -322,7 +343,7 @@ def _build_trigrams(table: pa.Table, folder: str, model: Model, mu: float, bits:
     shorter, back = np.unique(middle[context].astype(np.uint64) * np.uint64(len(vocabulary)) + last.astype(np.uint64), return_inverse=True)
     shorter = model.log_bigrams(model.bigrams(*(k.astype(np.int64) for k in np.divmod(shorter, np.uint64(len(vocabulary))))), len(shorter))[back]
     log = np.log10((times + mu * 10**shorter) / (level.count(context) + mu))
-    return _saved(unit, _ranges(context, last, level.entries) | _codes(log, bits), folder, len(keys))
+    return _saved(unit, _ranges(context, last, level.entries) | _codes(log, bits), folder, len(keys), int(times.sum()))
 
 
 def _builder(model: Model, folder: str, mu: float, bits: int) -> Callable[[pa.Table], pa.Table]:
@@ -364,6 +385,11 @@ class Model:
     units: tuple[tuple[tuple[int, str], ...], ...]
     mus: tuple[float, ...]
     bits: int
+    parts: Parts
+
+    @cached_property
+    def cut(self) -> np.ndarray:
+        return self.parts.numbers()
 
     @cached_property
     def files(self) -> list[dict[int, str]]:
@@ -423,13 +449,13 @@ class Model:
             # the context is known: what follows it is found, or gets its share of the shorter context's
             level = opened_unit(self.files[0][unit], self.bits)
             out[rows] += np.repeat(np.log10(self.mus[1] / (level.count(entry) + self.mus[1])), size)
-            if unit in self.files[1]:
-                longer = opened_unit(self.files[1][unit], self.bits)
-                token, entry = last[rows], np.repeat(entry, size)
-                told = token >= 0
-                rows, entry, token = rows[told], entry[told], token[told]
-                place, known = longer.find(entry, token)
-                out[rows[known]] = longer.log(place[known])
+            token, entry = last[rows], np.repeat(entry, size)
+            part = np.where(token >= 0, token % self.cut[unit], -1)
+            for k in np.unique(part[part >= 0]).tolist():
+                if unit + k * self.parts.units in self.files[1]:
+                    longer, own = opened_unit(self.files[1][unit + k * self.parts.units], self.bits), np.flatnonzero(part == k)
+                    place, known = longer.find(entry[own], token[own])
+                    out[rows[own[known]]] = longer.log(place[known])
         return out
 
 
@@ -449,12 +475,14 @@ def train(texts: DataFrame, text_col: str = "text", mus: tuple[float, ...] = (30
     made = counted.groupBy("unit").applyInArrow(lambda table: _build_vocabulary(table, f"{folder}/tokens", shard_bits), "shard int, uri string, tokens long, total long")
     shards = sorted(written(made, f"{folder}/token-files").collect())  # one row a shard
     vocabulary = Vocabulary(tuple((r.shard, r.uri, r.tokens, r.total) for r in shards), shard_bits, unit_tokens)
-    model = Model(vocabulary, (), mus, bits)
+    parts = Parts(int(vocabulary.first_units[-1]))
+    model = Model(vocabulary, (), mus, bits, parts)
     for order, mu in enumerate(mus, 2):
-        counted = rows.mapInArrow(partial(_count_grams, vocabulary=vocabulary, order=order), BLOBS)
+        counted = rows.mapInArrow(partial(_count_grams, vocabulary=vocabulary, order=order, parts=parts), BLOBS)
         made = counted.groupBy("unit").applyInArrow(_builder(model, f"{folder}/{order}", mu, bits), MADE)
         units = sorted(written(made, f"{folder}/files-{order}").collect())  # one row a unit
-        model = Model(vocabulary, (*model.units, tuple((r.unit, r.uri) for r in units)), mus, bits)
+        parts = Parts(parts.units, tuple((r.unit, -(-r.total // unit_tokens)) for r in units if r.total > unit_tokens)) if order == 2 else parts
+        model = Model(vocabulary, (*model.units, tuple((r.unit, r.uri) for r in units)), mus, bits, parts)
     return model
 
 

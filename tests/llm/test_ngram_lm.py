@@ -96,3 +96,15 @@ def test_nothing_to_learn_from(spark, tmp_path):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     save(spark, tmp_path, "documents", [(held, "a b")], "doc_id long, text string")
     assert [tuple(r) for r in op10_elias_fano_lm(spark, str(tmp_path)).collect()] == [(held, True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_a_common_pair_makes_no_large_unit(spark):
+    rng = random.Random(8)
+    texts = [" ".join(x for _ in range(40) for x in ("of", "the", f"w{rng.randrange(4000)}", f"v{rng.randrange(50)}")) for _ in range(250)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    cut, whole = ngram_lm.train(df, unit_tokens=2_000), ngram_lm.train(df, unit_tokens=10**9)
+    sizes = [ngram_lm.opened_unit(uri, cut.bits).entries for _, uri in cut.units[1]]
+    assert cut.parts.several and max(sizes) <= 3_000 and sum(sizes) == sum(ngram_lm.opened_unit(uri, whole.bits).entries for _, uri in whole.units[1])
+    some = [t.encode() for t in [*texts[:5], "of the w1 never seen", ""]]
+    a, b = ([np.concatenate(x) for x in zip(*m.score(some))] for m in (cut, whole))
+    assert all((x == y).all() for x, y in zip(a[:3], b[:3])) and np.abs(a[3] - b[3]).max() < 0.01 * np.abs(b[3]).max()
