@@ -31,14 +31,21 @@ def test_hosts_paths_and_rules(spark, tmp_path):
 
 
 def brute(edges, seeds, damping, rounds):
+    """Trust, distrust, and all that can be known along and against links."""
     hosts = {h for e in edges for h in e[:2]} | set(seeds)
+    judged = {h for h in seeds if sum(seeds[h])}
+    own = [
+        {h: seeds.get(h, (0, 0))[0] for h in hosts}, {h: seeds.get(h, (0, 0))[1] for h in hosts},
+        {h: float(h in judged or (h in {e[0] for e in edges} and h not in {e[1] for e in edges})) for h in hosts},
+        {h: float(h in judged or (h in {e[1] for e in edges} and h not in {e[0] for e in edges})) for h in hosts},
+    ]
     out = []
-    for kind in (0, 1):
-        arcs = [(a, b, n) if kind == 0 else (b, a, n) for a, b, n in edges]
+    for kind in range(4):
+        arcs = [(a, b, n) if kind % 2 == 0 else (b, a, n) for a, b, n in edges]
         total = {h: sum(n for a, _, n in arcs if a == h) for h in hosts}
-        now = {h: seeds.get(h, (0, 0))[kind] for h in hosts}
+        now = dict(own[kind])
         for _ in range(rounds):
-            now = {h: seeds.get(h, (0, 0))[kind] + damping * sum(now[a] * n / total[a] for a, b, n in arcs if b == h) for h in hosts}
+            now = {h: own[kind][h] + damping * sum(now[a] * n / total[a] for a, b, n in arcs if b == h) for h in hosts}
         out.append(now)
     return out
 
@@ -46,13 +53,15 @@ def brute(edges, seeds, damping, rounds):
 def test_flows_are_as_brute_force(spark):
     rng = random.Random(4)
     edges = {(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}"): rng.randint(1, 5) for _ in range(40)}
-    edges = [(a, b, n) for (a, b), n in edges.items() if a != b]
+    edges = [(a, b, n) for (a, b), n in edges.items() if a != b] + [("start", "h1", 2), ("h4", "end", 3), ("h2", "end", 1)]
     seeds = {"h1": (1.0, 0.0), "h2": (0.25, 0.5), "h3": (0.0, 1.0), "lone": (0.5, 0.5)}
     df = spark.createDataFrame(edges, "src string, dst string, links long")
     own = spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trusted double, blocked double")
-    trust, distrust = brute(edges, seeds, 0.85, 12)
+    trust, distrust, forth, back = brute(edges, seeds, 0.85, 12)
+    shares = lambda a, b: min(1.0, a / b) if b else 0.0
     for r in url_filter.propagate(df, own, rounds=12, tolerance=0).collect():
         assert r.trust == pytest.approx(trust[r.host], abs=1e-8) and r.distrust == pytest.approx(distrust[r.host], abs=1e-8)
+        assert r.trust_share == pytest.approx(shares(trust[r.host], forth[r.host]), abs=1e-7) and r.distrust_share == pytest.approx(shares(distrust[r.host], back[r.host]), abs=1e-7)
 
 
 def test_links_to_blocked_hosts_are_blamed_and_from_trusted_ones_praised(spark, tmp_path):
@@ -93,3 +102,19 @@ def test_flows_go_on_until_they_stand_still(spark):
 def test_empty_table(spark, tmp_path):
     save(spark, tmp_path, "pages", [], "page_id long, url string, html string")
     assert op1_link_graph(spark, str(tmp_path)).collect() == []
+
+
+def test_praise_and_distrust_are_on_one_scale(spark, tmp_path):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">t</a>' for h in hosts)
+    pages = [(0, "http://bad.net/", ""), (1, "http://one.org/fr/", link("praised.com", *(f"x{i}.com" for i in range(9)))), (2, "http://praised.com/", link("bad.net"))]
+    pages += [(3, "http://two.org/fr/", link("both.com")), (4, "http://three.org/fr/", link("both.com")), (5, "http://both.com/", link("bad.net")), (6, "http://alone.com/", link("bad.net"))]
+    save(spark, tmp_path, "pages", pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, round(r.trust_share, 6), round(r.distrust_share, 6)) for r in op1_link_graph(spark, str(tmp_path)).collect()}
+    assert got[2] == ("allow", 1, 1) and got[5] == ("allow", 1, 1)  # one link of ten or two whole hosts: all that is known of them is trust and distrust
+    assert got[6] == ("block", 0, 1)
+
+
+def test_a_few_judged_pages_do_not_condemn_a_host(spark, tmp_path):
+    pages = [(i, "http://www.example.com/" + ("de/x" if i == 0 else "en/x"), "") for i in range(100)]
+    save(spark, tmp_path, "pages", pages, "page_id long, url string, html string")
+    assert sorted(r.page_id for r in op1_link_graph(spark, str(tmp_path)).collect() if r.verdict == "block") == [0]
