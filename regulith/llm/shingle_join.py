@@ -31,6 +31,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from .simhash import components, labelled, links
 
 WIDTH, LEAST = 5, 0.8
 SLACK = 1e-9  # what products of LEAST may be off by
-KEPT_BYTES = 1 << 14  # texts up to this size are kept with their sets while their pairs are compared
+KEPT_BYTES = 1 << 13  # packed texts up to this size are kept with their sets while their pairs are compared
 
 
 def shingles(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -164,14 +165,25 @@ def shared_entries(nodes: DataFrame, common: np.ndarray, bits: int, folder: str)
     return rare.union(often)
 
 
+def packed(text: Column) -> Column:
+    """UTF-8 of texts, compressed: a text goes along with each pair that it is in. Null counts as empty."""
+
+    def batch(texts: pa.Array) -> pa.Array:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pa.array(map(pack, as_bytes(texts)), pa.binary())
+
+    return F.arrow_udf(batch, "binary")(text)
+
+
 def jaccard(a: Column, b: Column, width: int = WIDTH) -> Column:
-    """Similarity of the whole sets of two texts."""
+    """Similarity of the whole sets of two packed texts."""
 
     def batch(x: pa.Array, y: pa.Array) -> pa.Array:
-        out, known = [], lru_cache(maxsize=256)(partial(shingles, width=width))
-        of = lambda text: known(text) if len(text) < KEPT_BYTES else shingles(text, width)
-        for s, t in zip(as_bytes(x), as_bytes(y)):
-            s, t = of(s), of(t)
+        unpack = zstandard.ZstdDecompressor().decompress
+        out, known = [], lru_cache(maxsize=256)(lambda data: shingles(unpack(data), width))
+        of = lambda data: known(data) if len(data) < KEPT_BYTES else shingles(unpack(data), width)
+        for s, t in zip(x, y):
+            s, t = of(s.as_py()), of(t.as_py())
             common = len(np.intersect1d(s, t, assume_unique=True))
             out.append(common / max(1, len(s) + len(t) - common))
         return pa.array(out, pa.float64())
@@ -210,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that reach ``least``, by the whole sets."""
         nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp"), f"{folder}/{name}-nodes")
-        texts = docs.select(c(id_col).alias("least"), c(text_col).alias("text")).join(nodes, "least").select("fp", "text")
+        texts = docs.select(c(id_col).alias("least"), packed(c(text_col)).alias("text")).join(nodes, "least").select("fp", "text")
         texts = written(texts, f"{folder}/{name}-texts")
         both = pairs.join(texts.select(c("fp").alias("a"), c("text").alias("x")), "a").join(texts.select(c("fp").alias("b"), c("text").alias("y")), "b")
         found = written(both.select("a", "b", jaccard(c("x"), c("y"), width).alias("like")).where(c("like") >= least - SLACK).select("a", "b"), f"{folder}/{name}")
