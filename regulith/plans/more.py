@@ -135,11 +135,13 @@ def citation_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.licenses(spark)
-    return licensing.for_license(rows, "COSMETOLOGY").union(licensing.state_data(rows, "Texas", "contractor")).select("license_key", "state", "burden_score")
+    found = licensing.for_license(rows, "COSMETOLOGY").union(licensing.state_data(rows, "Texas", "contractor")).select("license_key", "state", "burden_score")
+    return base.applied(found, spark, sf_dir)
 
 
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licensing.transposed(licensing.shown(licensing.compare_states(licenses.licenses(spark), ["Texas", "Florida"], "cosmetology")))
+    shown = licensing.shown(licensing.compare_states(licenses.licenses(spark), ["Texas", "Florida"], "cosmetology"))
+    return licensing.transposed(base.applied(shown, spark, sf_dir, "cosmetology"))
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +159,7 @@ QUERIES: dict[str, base.Query] = {
     "ranking_marks": marks,
     "license_lookup": looked_up,
     "states_side_by_side": side_by_side,
-    "sample_provisions": lambda s, d: licensing.with_sample_statute(licenses.licenses(s), licenses.sample_statutes(s)).select("state", "license_type", F.length("sample_text").alias("characters")),
+    "sample_provisions": lambda s, d: base.applied(licensing.with_sample_statute(licenses.licenses(s), licenses.sample_statutes(s)), s, d).select("state", "license_type", F.length("sample_text").alias("characters"), "applications"),
     "project_changes": project_changes,
     "project_advance": advanced,
     "project_delete": lambda s, d: workflow.delete(projects(s, d), ["1", "2", "30"]).select("id", "stage"),

@@ -6,7 +6,7 @@ from ..functions import rules
 from ..operators import external, rewrite, workflow
 from ..sources.licenses import SAMPLE_STATUTES
 from . import more
-from .oracle import CATEGORY, COLUMNS, CORPUS, FINDINGS, JARGON_MATCHES, LIC, MAPPED, NAMED, NUMBERED, RANKED, SECTIONS, SEVERITY_LIST, STAGE, STAGED, TAX, case, flesch, q, values, with_, without_jargon
+from .oracle import APPLIED, CATEGORY, COLUMNS, CORPUS, FINDINGS, JARGON_MATCHES, LIC, MAPPED, NAMED, NUMBERED, RANKED, SECTIONS, SEVERITY_LIST, STAGE, STAGED, TAX, case, applied, flesch, q, values, with_, without_jargon
 
 STAGED_AS = (STAGED, ("s", f"SELECT user_id::VARCHAR AS id, 'Project ' || user_id AS name, {STAGE} AS stage FROM staged"))
 
@@ -33,7 +33,7 @@ def sql() -> dict[str, str]:
     )
     pairs = ("training_hours", "total_cost", "processing_days", "in_person_required", "notarization_required", "burden_score")
     mark = lambda c: f"CASE WHEN {c} THEN '✅' ELSE '❌' END"
-    shown = {"training_hours": "training_hours::VARCHAR", "total_cost": "'$' || (application_fee + exam_fee + license_fee)::INTEGER", "processing_days": "processing_days::VARCHAR", "in_person_required": mark("in_person_required"), "notarization_required": mark("notarization_required"), "burden_score": "burden_score::VARCHAR"}
+    shown = {"training_hours": "training_hours::VARCHAR", "total_cost": "'$' || (application_fee + exam_fee + license_fee)::INTEGER", "processing_days": "processing_days::VARCHAR", "in_person_required": mark("in_person_required"), "notarization_required": mark("notarization_required"), "burden_score": "burden_score::VARCHAR", "applications": "applications::VARCHAR"}
     rewritten = f"SELECT doc_id, {without_jargon('text')} AS text FROM corpus"
     length = f"({len(external.rewrite_head())} + least({external.LIMITS['rewrite']}, length(text)))"
     gap = f"({sum(map(len, external.GAP_HEADS))} + length(statute) + length(regulation))"
@@ -58,9 +58,9 @@ def sql() -> dict[str, str]:
         "non_blank_documents": "SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S')",
         "severity_ranks": f"SELECT name, coalesce(list_position([{', '.join(map(q, rules.SEVERITIES))}], upper(name)), 2)::INTEGER AS severity_rank FROM ({named(more.SEVERITY_NAMES)})",
         "ranking_marks": with_(*NAMED, RANKED, NUMBERED) + "SELECT rank, jurisdiction, CASE rank WHEN 1 THEN '🥇' WHEN 2 THEN '🥈' WHEN 3 THEN '🥉' ELSE '🔹' END AS medal, CASE WHEN score <= 3 THEN '🟢' WHEN score <= 6 THEN '🟡' ELSE '🔴' END AS light FROM numbered",
-        "license_lookup": with_(LIC) + "SELECT license_key, state, burden_score::INTEGER AS burden_score FROM lic WHERE license_key = 'cosmetology' OR (license_key = 'contractor' AND state = 'Texas')",
-        "states_side_by_side": with_(LIC, ("c", "SELECT * FROM lic WHERE license_key = 'cosmetology'")) + " UNION ALL ".join(f"SELECT {q(a)} AS attribute, max(CASE WHEN state = 'Florida' THEN {shown[a]} END) AS \"Florida\", max(CASE WHEN state = 'Texas' THEN {shown[a]} END) AS \"Texas\" FROM c" for a in pairs),
-        "sample_provisions": with_(LIC, ("samples(name, body)", values(SAMPLE_STATUTES.items()))) + "SELECT state, license_type, length(body)::INTEGER AS characters FROM lic JOIN samples ON name = state || ' ' || license_type",
+        "license_lookup": applied("SELECT license_key, state, burden_score::INTEGER AS burden_score FROM lic WHERE license_key = 'cosmetology' OR (license_key = 'contractor' AND state = 'Texas')"),
+        "states_side_by_side": with_(LIC, APPLIED, ("c", "SELECT lic.*, coalesce(applications, 0) AS applications FROM lic LEFT JOIN applied USING (state, license_key) WHERE license_key = 'cosmetology'")) + " UNION ALL ".join(f"SELECT {q(a)} AS attribute, max(CASE WHEN state = 'Florida' THEN {shown[a]} END) AS \"Florida\", max(CASE WHEN state = 'Texas' THEN {shown[a]} END) AS \"Texas\" FROM c" for a in (*pairs, "applications")),
+        "sample_provisions": with_(LIC, APPLIED, ("samples(name, body)", values(SAMPLE_STATUTES.items()))) + "SELECT state, license_type, length(body)::INTEGER AS characters, coalesce(applications, 0)::BIGINT AS applications FROM lic JOIN samples ON name = state || ' ' || license_type LEFT JOIN applied USING (state, license_key)",
         "project_changes": "WITH changes AS (SELECT user_id, ts, 0 AS v, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2 UNION ALL SELECT user_id, ts, 1, arg_max(event_id, (ts, event_id)) FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), "
         "newest AS (SELECT user_id, arg_max(event_id, (ts, v)) AS event_id FROM changes GROUP BY 1) SELECT user_id, event_id, event_type, value FROM newest JOIN events USING (user_id, event_id)",
         "project_advance": f"WITH e AS (SELECT [{', '.join(map(q, rules.STAGES))}][1 + event_id % {len(rules.STAGES)}] AS stage, CASE WHEN event_type IN ('view', 'click') THEN 'scan' WHEN event_type = 'purchase' THEN 'comparison' ELSE 'note' END AS event FROM events) "

@@ -159,6 +159,14 @@ def first_three(items: str) -> str:
 
 LICENSE_COLUMNS = "license_key, state, license_type, training_hours, experience_days, processing_days, application_fee, exam_fee, license_fee, renewal_fee, exam_required, in_person_required, notarization_required, background_check, renewal_years, ce_hours_per_cycle, recent_reforms, burden_score, input_ord"
 LIC = (f"lic({LICENSE_COLUMNS})", values((*r, i) for i, r in enumerate(LICENSES)))
+_states, _keys = ("[" + ", ".join(map(q, sorted({r[i] for r in LICENSES}))) + "]" for i in (1, 0))
+APPLIED = ("applied", f"SELECT ({_states})[1 + c_nationkey % len({_states})] AS state, ({_keys})[1 + c_custkey % len({_keys})] AS license_key, count(*)::BIGINT AS applications FROM customer GROUP BY ALL")
+
+
+def applied(body: str, license_type: str | None = None, more: str = "") -> str:
+    """Rows of states, and of licences unless one is given, with the number of applications."""
+    own = f"(SELECT state, applications FROM applied WHERE license_key = {q(license_type)})" if license_type else "applied"
+    return with_(LIC, APPLIED) + f"SELECT r.*, coalesce(a.applications, 0)::BIGINT AS applications{more} FROM ({body}) r LEFT JOIN {own} a USING (state{'' if license_type else ', license_key'})"
 
 STAGED = ("staged", "SELECT user_id, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS scans, count(*) FILTER (WHERE event_type = 'purchase' AND value > 200) AS comparisons FROM events GROUP BY 1")
 STAGE = "CASE WHEN comparisons > 0 THEN 'analyzed' WHEN scans > 0 THEN 'scanned' ELSE 'created' END"
@@ -233,11 +241,11 @@ def sql() -> dict[str, str]:
         "digital_options": differing("Digital/Online Options", f"CASE WHEN bool_or(regexp_matches(text, {rx(rules.DIGITAL)})) THEN 'Available' ELSE 'Not mentioned' END"),
         "basic_recommendations": with_(*NAMED, RANKED, NUMBERED, ("ends", "SELECT count(*) AS n, arg_min(jurisdiction, rank) AS best, arg_max(jurisdiction, rank) AS worst, arg_max(score, rank) AS top FROM numbered"))
         + "SELECT 0 AS ord, 'Consider adopting approaches from ' || best || ', which has the lowest burden score.' AS recommendation FROM ends WHERE n >= 2 UNION ALL SELECT 1, printf('Significant simplification opportunities exist - %s has a high burden score of %.1f.', worst, top) FROM ends WHERE n >= 2 AND top > 7 UNION ALL SELECT (CASE WHEN n < 2 THEN 0 WHEN top > 7 THEN 2 ELSE 1 END)::INTEGER, 'Conduct detailed analysis of specific provisions to identify model language.' FROM ends",
-        "compare_states": with_(LIC, ("asked(state, o)", values([("New York", 0), ("Texas", 1), ("Nowhere", 2), ("Florida", 3)])))
-        + "SELECT row_number() OVER (ORDER BY burden_score NULLS LAST, o)::INTEGER AS rank, state, training_hours::INTEGER AS training_hours, (application_fee + exam_fee + license_fee)::DOUBLE AS total_cost, processing_days::INTEGER AS processing_days, burden_score::INTEGER AS burden_score, recent_reforms, in_person_required, notarization_required FROM lic JOIN asked USING (state) WHERE license_key = 'cosmetology'",
-        "best_practice_state": with_(LIC) + "SELECT license_key, arg_min(state, (coalesce(nullif(burden_score, 0), 10), input_ord)) AS state FROM lic GROUP BY 1",
-        "model_provisions": with_(LIC) + "SELECT license_key, row_number() OVER (PARTITION BY license_key ORDER BY burden_score NULLS LAST, input_ord)::INTEGER AS rank, state, recent_reforms AS reform, burden_score::INTEGER AS burden_score FROM lic WHERE recent_reforms <> ''",
-        "license_cost_time": with_(LIC) + "SELECT license_key, state, (application_fee + exam_fee + license_fee)::DOUBLE AS total_initial_cost, (experience_days + processing_days)::INTEGER AS total_time_days FROM lic",
+        "compare_states": applied("WITH asked(state, o) AS (" + values([("New York", 0), ("Texas", 1), ("Nowhere", 2), ("Florida", 3)]) + ") "
+        "SELECT row_number() OVER (ORDER BY burden_score NULLS LAST, o)::INTEGER AS rank, state, training_hours::INTEGER AS training_hours, (application_fee + exam_fee + license_fee)::DOUBLE AS total_cost, processing_days::INTEGER AS processing_days, burden_score::INTEGER AS burden_score, recent_reforms, in_person_required, notarization_required FROM lic JOIN asked USING (state) WHERE license_key = 'cosmetology'", "cosmetology"),
+        "best_practice_state": applied("SELECT license_key, arg_min(state, (coalesce(nullif(burden_score, 0), 10), input_ord)) AS state FROM lic GROUP BY 1"),
+        "model_provisions": applied("SELECT license_key, row_number() OVER (PARTITION BY license_key ORDER BY burden_score NULLS LAST, input_ord)::INTEGER AS rank, state, recent_reforms AS reform, burden_score::INTEGER AS burden_score FROM lic WHERE recent_reforms <> ''"),
+        "license_cost_time": applied("SELECT license_key, state, (application_fee + exam_fee + license_fee)::DOUBLE AS total_initial_cost, (experience_days + processing_days)::INTEGER AS total_time_days FROM lic", more=", r.total_initial_cost * coalesce(a.applications, 0) AS all_costs"),
         "stage_progress": with_(STAGED, ("s", f"SELECT user_id, scans, comparisons, {STAGE} AS stage FROM staged")) + f"SELECT user_id, scans::BIGINT AS scans, comparisons::BIGINT AS comparisons, stage, round(({INDEX})::DOUBLE / 6 * 100, 6) AS progress FROM s",
         "next_step": with_(STAGED, ("s", f"SELECT user_id, {STAGE} AS stage FROM staged")) + "SELECT stage, CASE stage WHEN 'created' THEN 'Use the Burden Scanner to analyze your target statute.' WHEN 'scanned' THEN 'Use the Gap Analyzer to compare against regulations.' WHEN 'analyzed' THEN 'Use the Cross-State Comparator to find best practices.' END AS next_step, count(*)::BIGINT AS projects FROM s GROUP BY 1, 2",
         "stage_rows": with_(STAGED, ("s", f"SELECT user_id, {STAGE} AS stage FROM staged"), ("all_stages(o, st)", values(enumerate(rules.STAGES)))) + f"SELECT user_id, o::INTEGER AS stage_ord, st AS stage, o = {INDEX} AS is_current, o < {INDEX} AS is_complete FROM s, all_stages",

@@ -116,6 +116,23 @@ def type_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", text.mapped_type(F.col("name")).alias("burden_type"))
 
 
+STATES, LICENCES = (sorted({r[i] for r in licenses.LICENSES}) for i in (1, 0))
+
+
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """state, license_key, applications: customers as applicants in the state of their nation's number, for the licence of their own."""
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (F.pmod(i, F.lit(len(names))) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select(pick(STATES, F.col("c_nationkey")).alias("state"), pick(LICENCES, F.col("c_custkey")).alias("license_key"))
+    return rows.groupBy("state", "license_key").agg(F.count("*").alias("applications"))
+
+
+def applied(rows: DataFrame, spark: SparkSession, sf_dir: str, license_type: str | None = None) -> DataFrame:
+    """``rows`` of states (and licences, unless one is given) with the number of applications."""
+    own = applications(spark, sf_dir)
+    own = own.where(F.col("license_key") == license_type).drop("license_key") if license_type else own
+    return rows.join(own, [c for c in own.columns if c != "applications"], "left").withColumn("applications", F.coalesce("applications", F.lit(0)))
+
+
 QUERIES: dict[str, Query] = {
     "readability": readability,
     "complexity_rating_counts": lambda s, d: rewrite.readability_counts(documents(s, d)),
@@ -151,10 +168,10 @@ QUERIES: dict[str, Query] = {
     "timeframe_differences": differing("Timeframes"),
     "digital_options": differing("Digital/Online Options"),
     "basic_recommendations": lambda s, d: compare.recommendations(ranked(s, d)),
-    "compare_states": lambda s, d: licensing.compare_states(licenses.licenses(s), ["New York", "Texas", "Nowhere", "Florida"], "Cosmetology"),
-    "best_practice_state": lambda s, d: licensing.best_practice(licenses.licenses(s)),
-    "model_provisions": lambda s, d: licensing.model_provisions(licenses.licenses(s)),
-    "license_cost_time": lambda s, d: licensing.with_totals(licenses.licenses(s)).select("license_key", "state", "total_initial_cost", "total_time_days"),
+    "compare_states": lambda s, d: applied(licensing.compare_states(licenses.licenses(s), ["New York", "Texas", "Nowhere", "Florida"], "Cosmetology"), s, d, "cosmetology"),
+    "best_practice_state": lambda s, d: applied(licensing.best_practice(licenses.licenses(s)), s, d),
+    "model_provisions": lambda s, d: applied(licensing.model_provisions(licenses.licenses(s)), s, d),
+    "license_cost_time": lambda s, d: applied(licensing.with_totals(licenses.licenses(s)).select("license_key", "state", "total_initial_cost", "total_time_days"), s, d).withColumn("all_costs", F.col("total_initial_cost") * F.col("applications")),
     "stage_progress": lambda s, d: staged(s, d).withColumn("progress", F.round(workflow.progress(F.col("stage")), 6)),
     "next_step": lambda s, d: staged(s, d).groupBy("stage", workflow.next_step(F.col("stage")).alias("next_step")).agg(F.count("*").alias("projects")),
     "stage_rows": lambda s, d: workflow.stage_rows(staged(s, d), "user_id"),
