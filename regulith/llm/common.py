@@ -116,11 +116,15 @@ def settled(df: DataFrame, path: str) -> DataFrame:
     return df if _settled(df._jdf.queryExecution().optimizedPlan()) else written(df, path)
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns, whatever their names, as struct ``row``."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+
+
 def keyed(docs: DataFrame, path: str) -> DataFrame:
     """(row_id, row): each row whole, under a number of its own.
 
     Decisions are made on the number, so columns of any name and repeated ids do no harm.
     """
     rows = settled(docs, path)
-    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
-    return rows.select(F.monotonically_increasing_id().alias("row_id"), whole)
+    return rows.select(F.monotonically_increasing_id().alias("row_id"), whole(rows))

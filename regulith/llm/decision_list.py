@@ -8,7 +8,9 @@ better on the other third. Covering ends when the next rule isn't good enough.
 The list comes out as one conditional expression of Spark.
 
 Learning is bounded (``bound`` labelled rows, ``steps`` candidate thresholds per
-statistic); statistics and rules are applied to every whole text. Null texts count
+statistic), and so is what is learnt: ``rules`` rules at most (12), of ``tests`` thresholds
+at most (4), so that a list stays readable; covering ends there even if a further rule would be
+good enough. Statistics and rules are applied to every whole text. Null texts count
 as empty. With nothing to learn from the list has no rule and keeps everything. Of
 thresholds with equal gain the first statistic's, "<=" and the lowest is taken; repeated
 rows get equal verdicts; other columns are not looked at.

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bradley_terry, language_id, mixing, shingle_join
-from .common import fold, keyed, scratch, written
+from .common import fold, keyed, scratch, whole, written
 from .text_stats import measured, with_ratios
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return docs.select(whole(docs))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5, parts: int = 3, held: int = 1, **how) -> DataFrame:

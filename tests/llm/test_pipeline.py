@@ -7,9 +7,10 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as pipeline
-from regulith.llm import mixing
+from regulith.llm import mixing, stages
 from regulith.llm.queries import public_model
 
+from .helpers import rows
 from .test_learned import folder  # noqa: F401
 from .test_shingle_join import brute_labels
 
@@ -89,3 +90,9 @@ def test_little_input(spark, tmp_path, docs):
         rows = stage(spark, rows, str(tmp_path))
         assert rows.columns == table(spark, docs).columns
     assert rows.count() == 0
+
+
+def test_columns_with_backticks(spark):
+    docs = spark.createDataFrame([(1, "some words of a text", "en", "a", 3), (2, "other words of another text", "en", "a", 4)], "doc_id long, text string, lang string, source string, `a``b.c` int")
+    assert stages.mixed(docs).columns == docs.columns and sorted(set(stages.mixed(docs).toPandas()["a`b.c"])) in ([3], [4], [3, 4])
+    assert rows(stages._whole(docs).select("row.*"), "doc_id") == [(1,), (2,)]
