@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql as functions
 from ..functions.rules import STAGES
 from ..operators import scan, workflow
 from ..sources import files, reports
@@ -111,7 +112,20 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.rollup(spark, f"{folder}/out")
 
 
+def in_sql(text: str, table: str = "documents") -> base.Query:
+    """A query in SQL text over ``{rows}``: a table, or documents with regulatory wording ("corpus")."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        functions.register(spark)
+        return spark.sql(text, rows=base.corpus(spark, sf_dir) if table == "corpus" else base.table(spark, sf_dir, table))
+
+    return run
+
+
 QUERIES: dict[str, base.Query] = {
+    "sql_readability": in_sql("SELECT doc_id, legal_words(x) AS words, greatest(1, legal_sentences(x)) AS sentences, legal_syllables(x) AS syllables, round(legal_readability(x), 6) AS score, legal_rating(legal_readability(x)) AS rating FROM (SELECT doc_id, coalesce(text, '') AS x FROM {rows})"),
+    "sql_provision_scores": in_sql("SELECT doc_id, round(legal_burden_score(text), 6) AS score, legal_fees(text) AS fees, legal_timeframes(text) AS timeframes, legal_digital(text) AS digital FROM {rows}", "corpus"),
+    "sql_type_mapping": in_sql("SELECT p_name AS name, legal_burden_type(p_name) AS burden_type, legal_category(legal_burden_type(p_name)) AS category, count(*) AS n FROM {rows} GROUP BY 1, 2, 3", "part"),
     "stage_machine": stage_machine,
     "finding_counts": finding_counts,
     "report_findings": report_findings,

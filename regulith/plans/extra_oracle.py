@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions.rules import STAGES
-from .oracle import FINDINGS, q, with_
+from . import oracle
+from .oracle import CATEGORY, FINDINGS, MAPPED, q, with_
 
 #: The files that can be read, in place of all documents.
 READABLE = tuple((n, b.replace("FROM documents d", "FROM (SELECT * FROM documents WHERE doc_id % 4 <> 3) d") if n == "corpus" else b) for n, b in FINDINGS)
@@ -24,6 +25,9 @@ def sql() -> dict[str, str]:
         "SELECT src, 'by_type', burden_type, count(*)::BIGINT FROM own GROUP BY 1, 3", "SELECT src, 'by_category', category, count(*)::BIGINT FROM own GROUP BY 1, 3",
     ))
     return {
+        "sql_readability": oracle.sql()["readability"],
+        "sql_provision_scores": oracle.sql()["provision_scores"],
+        "sql_type_mapping": f"WITH low AS (SELECT p_name AS name, translate(lower(p_name), ' -', '__') AS l FROM part), typed AS (SELECT name, {MAPPED} AS burden_type FROM low) SELECT name, burden_type, {CATEGORY} AS category, count(*)::BIGINT AS n FROM typed GROUP BY 1, 2, 3",
         "stage_machine": f"""WITH kinds AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'scan' WHEN event_type = 'purchase' THEN 'comparison' ELSE 'set' END AS kind, {stages}[1 + event_id % {len(STAGES)}] AS too FROM events),
             runs AS (SELECT user_id, list({{'kind': kind, 'too': too}} ORDER BY ts, event_id) AS e FROM kinds GROUP BY 1),
             done AS (SELECT user_id, len(e)::BIGINT AS events, {run('created')} AS stage, {run('drafted')} AS stage_of_a_draft FROM runs)

@@ -75,3 +75,17 @@ def test_a_stream_in_any_split_gives_the_batch_s_counts(spark, tmp_path):
     assert {r for r in got if r[1] != "by_category"} == {tuple(r) for r in counts.collect()}
     named = scan.counts(scan.scan(whole).join(whole.selectExpr("doc_id", "coalesce(source, '') as source"), "doc_id"), "source").where("dimension <> 'by_severity'")
     assert {r for r in got if r[1] in ("by_type", "by_category")} == {(r.source, r.dimension, r.value, r.n) for r in named.collect()}
+
+
+def test_sql_functions_are_the_columns(spark):
+    from regulith.functions import sql, text
+
+    names = sql.register(spark)
+    texts = [LAW, "", "Plain. A waiver online costs $1,250.00 within 30 days! İstanbul’s naïve\x1ccafé", "it's \\ 'quoted'", None, "notarised", "Wet-Signature", "critical"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = {"words": text.word_count, "sentences": text.sentence_count, "syllables": text.syllable_count, "readability": text.readability, "document_type": text.document_type, "burden_score": text.burden_score, "fees": text.fees, "timeframes": text.timeframes, "digital": text.digital, "burden_type": text.mapped_type, "category": text.category, "severity_rank": text.severity_rank}
+    got = spark.sql("SELECT " + ", ".join(f"legal_{n}(t) AS {n}" for n in pairs) + " FROM {rows}", rows=rows)
+    assert got.collect() == rows.select(*(f(rows.t).alias(n) for n, f in pairs.items())).collect()
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "legal_report" in names
+    report = spark.sql("SELECT r.* FROM {rows}, LATERAL legal_report(t) r WHERE t = ''", rows=rows).first()
+    assert (report.words, report.rating, report.doc_type) == (0, rows.where("t = ''").select(text.rating(text.readability(rows.t))).first()[0], "unknown")
