@@ -99,6 +99,13 @@ def test_project_store(spark, tmp_path):
     store.delete(ids["two"], "nothing")
     again = projects.ProjectStore(spark, f"{tmp_path}/projects")
     assert [r.name for r in again.list().collect()] == ["one"]
+    mine, yours = (spark.createDataFrame(again.get(ids["one"]).collect(), again.list().schema) for _ in range(2))  # both read the same state
+    again.save(workflow.add_note(mine, "mine"))
+    with pytest.raises(projects.Conflict):
+        again.save(workflow.add_note(yours, "yours"))
+    again.save(workflow.add_note(again.get(ids["one"]), "yours"))
+    assert [n.text for n in again.get(ids["one"]).first().notes] == ["mine", "yours"]
+    assert projects.ProjectStore(spark, f"{tmp_path}/none").list().count() == 0 and not (tmp_path / "none").exists()
 
 
 def test_stages(spark):
