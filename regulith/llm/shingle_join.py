@@ -14,10 +14,12 @@ order, such a pair shares one of the first n - ceil(least * n) + 1 of each. Any
 is right; rare shingles first makes few candidates, so those that are common in a
 sample come last, by their number. Entries (shingle, document) travel packed, by the
 first bits of the shingle, and one that no other document holds ends there; those of
-sampled shingles, which many documents may hold, go as rows, whose smallest document is
-found by partial sums. A shingle's documents are first held against the smallest of them
-alone, and then, in pairs, only where components still differ: a group of copies
-needs no pairs. Candidates are compared by their whole sets.
+sampled shingles, which many documents may hold, go as rows, whose centre is found by
+partial sums: the document in which the shingle stands first, as the fewest rare shingles
+precede it there, so that most others may be like it (of equal ones, the smallest). A
+shingle's documents are first held against its centre alone, and then, in pairs, only where
+components still differ: a group of copies needs no pairs. Candidates are compared by their
+whole sets.
 
 Defined results: null, empty and blank texts are copies of each other.
 """
@@ -132,7 +134,7 @@ def _packed_entries(batches: Iterator[pa.RecordBatch], common: np.ndarray, bits:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Entries of shingles that several documents hold, each with that of its shingle's smallest document."""
+    """Entries of shingles that several documents hold, each with that of its shingle's centre: the document in which it stands first."""
     read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]])
     h, fp, n, at = read("h", "<i8"), read("fp", "<i8"), read("n", "<u4").astype(np.int32), read("at", "<u4").astype(np.int32)
     by = np.argsort(h, kind="stable")
@@ -141,7 +143,7 @@ def _shared(table: pa.Table) -> pa.Table:
     several[1:] |= equal
     several[:-1] |= equal
     by = by[several]
-    by = by[np.lexsort((fp[by], h[by]))]
+    by = by[np.lexsort((fp[by], at[by], h[by]))]
     h, fp, n, at = h[by], fp[by], n[by], at[by]
     start = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
@@ -159,7 +161,7 @@ def shared_entries(nodes: DataFrame, common: np.ndarray, bits: int, folder: str)
     # a bounded list (``listed``); what it keeps is a small part of all entries
     often = nodes.select("fp", "n", F.posexplode("prefix").alias("at", "h")).join(F.broadcast(listed), F.col("h") == F.col("l")).select("h", "fp", "n", "at")
     often = written(often, f"{folder}/often")
-    first = often.groupBy("h").agg(F.min(F.struct("fp", "n", "at")).alias("first"), F.count("*").alias("many")).where("many > 1").select(F.col("h").alias("fh"), "first")
+    first = often.groupBy("h").agg(F.min(F.struct("at", "fp", "n")).alias("m"), F.count("*").alias("many")).where("many > 1").select(F.col("h").alias("fh"), F.struct("m.fp", "m.n", "m.at").alias("first"))
     first = written(first, f"{folder}/first")
     often = often.join(first, often.h == first.fh).select("h", "fp", "n", "at", "first")
     return rare.union(often)
