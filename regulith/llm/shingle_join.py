@@ -18,8 +18,9 @@ sampled shingles, which many documents may hold, go as rows, whose centre is fou
 partial sums: the document in which the shingle stands first, as the fewest rare shingles
 precede it there, so that most others may be like it (of equal ones, the smallest). A
 shingle's documents are first held against its centre alone, and then, in pairs, only where
-components still differ: a group of copies needs no pairs. Candidates are compared by their
-whole sets.
+components still differ: a group of copies needs no pairs. Candidates first meet by
+sketches, numbers of shingles by their first bits, whose smaller numbers add up to the most
+that two sets can share; those that may reach ``least`` are compared by their whole sets.
 
 Defined results: null, empty and blank texts are copies of each other.
 """
@@ -71,7 +72,7 @@ def sets(text: Column, width: int = WIDTH) -> Column:
 
 
 def signed(text: Column, common: np.ndarray, counts: np.ndarray, width: int = WIDTH, least: float = LEAST) -> Column:
-    """(fp, sim, n, prefix): digest, SimHash and size of the set, and its first shingles in the order of all; ``common`` ascends."""
+    """(fp, sim, n, sketch, prefix): digest, SimHash, size and sketch of the set, and its first shingles in the order of all; ``common`` ascends."""
 
     def prefix(s: np.ndarray) -> np.ndarray:
         weight = np.zeros(len(s), np.int64)
@@ -84,9 +85,10 @@ def signed(text: Column, common: np.ndarray, counts: np.ndarray, width: int = WI
         found = [shingles(x, width) for x in as_bytes(texts)]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in found], np.uint64).view(np.int64)
         sim = np.array([majority(s) for s in found], np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(fp), pa.array(sim), pa.array([len(s) for s in found], pa.int32()), _lists([prefix(s) for s in found])], ["fp", "sim", "n", "prefix"])
+        size, counts = pa.array([len(s) for s in found], pa.int32()), pa.array(map(sketch, found), pa.binary())
+        return pa.StructArray.from_arrays([pa.array(fp), pa.array(sim), size, counts, _lists([prefix(s) for s in found])], ["fp", "sim", "n", "sketch", "prefix"])
 
-    return F.arrow_udf(batch, "struct<fp: long, sim: long, n: int, prefix: array<long>>")(text)
+    return F.arrow_udf(batch, "struct<fp: long, sim: long, n: int, sketch: binary, prefix: array<long>>")(text)
 
 
 def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
@@ -97,6 +99,33 @@ def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many of the set's shingles begin with each number of some bits, so many that two to four share one; empty if a count doesn't fit."""
+    bits = max(0, len(s).bit_length() - 2)
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_like(a: bytes, b: bytes) -> float:
+    """A bound on the similarity of the sets of two sketches."""
+    if not a or not b:
+        return 1.0
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    few = min(len(x), len(y))
+    x, y = (v.reshape(few, -1).sum(1) for v in (x, y))
+    common = int(np.minimum(x, y).sum())
+    return common / max(1, int(x.sum() + y.sum()) - common)
+
+
+def bounded(a: Column, b: Column) -> Column:
+    """``most_like`` of two columns of sketches."""
+
+    def batch(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(map(most_like, as_bytes(x), as_bytes(y)), pa.float64())
+
+    return F.arrow_udf(batch, "double")(a, b)
+
+
 def close_pairs(nodes: DataFrame, folder: str) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (fp, sim) that connect what fingerprints within 3 bits connect."""
     heads = written(nodes.groupBy("sim").agg(F.min("fp").alias("head")), f"{folder}/heads")
@@ -210,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signatures.join(distinct.select(c("least").alias(id_col)), id_col, "left_semi")
     close = written(close_pairs(nodes.select("fp", "sim"), folder), f"{folder}/close")
     shared = written(shared_entries(nodes, common, max(1, (docs.rdd.getNumPartitions() * 4 - 1).bit_length()), folder), f"{folder}/shared")
-    for name in ("signed", "rare", "often", "first"):
+    for name in ("rare", "often", "first"):
         drop(spark, f"{folder}/{name}")
 
     def possible(n: Column, at: Column, m: Column, to: Column) -> Column:
@@ -221,14 +250,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = shared.where((c("fp") != c("first.fp")) & possible(c("n"), c("at"), c("first.n"), c("first.at")))
     stars = written(stars.select(c("first.fp").alias("a"), c("fp").alias("b")).distinct(), f"{folder}/stars")
 
+    def met(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+        """``pairs`` with x and y, what ``values`` (least, own) hold for a and b."""
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp"), f"{folder}/{name}-ends")
+        held = written(values.join(ends, "least").select("fp", "own"), f"{folder}/{name}")
+        return pairs.join(held.select(c("fp").alias("a"), c("own").alias("x")), "a").join(held.select(c("fp").alias("b"), c("own").alias("y")), "b")
+
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that reach ``least``, by the whole sets."""
-        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp"), f"{folder}/{name}-nodes")
-        texts = docs.select(c(id_col).alias("least"), packed(c(text_col)).alias("text")).join(nodes, "least").select("fp", "text")
-        texts = written(texts, f"{folder}/{name}-texts")
-        both = pairs.join(texts.select(c("fp").alias("a"), c("text").alias("x")), "a").join(texts.select(c("fp").alias("b"), c("text").alias("y")), "b")
+        likely = written(met(pairs, signatures.select(c(id_col).alias("least"), c("sketch").alias("own")), f"{name}-sketch").where(bounded(c("x"), c("y")) >= least - SLACK).select("a", "b"), f"{folder}/{name}-likely")
+        both = met(likely, docs.select(c(id_col).alias("least"), packed(c(text_col)).alias("own")), f"{name}-text")
         found = written(both.select("a", "b", jaccard(c("x"), c("y"), width).alias("like")).where(c("like") >= least - SLACK).select("a", "b"), f"{folder}/{name}")
-        drop(spark, f"{folder}/{name}-texts")
+        for kind in ("sketch", "text"):
+            drop(spark, f"{folder}/{name}-{kind}")
         return found
 
     near = linked(close, "close-links")
@@ -248,4 +282,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drop(spark, f"{folder}/{name}")
     if pairs.take(1):
         edges = edges.union(linked(pairs, "pair-links"))
+    drop(spark, f"{folder}/signed")
     return labelled(fps, distinct, edges, id_col, folder)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
@@ -65,3 +66,39 @@ def test_stage_drops_copies_at_0_8_to_0_95(spark, tmp_path):
         dropped.add(1000 + i)
     left = {r.doc_id for r in pipeline.near_duplicates(spark, spark.createDataFrame(docs, EXTRA), str(tmp_path)).collect()}
     assert left == {d[0] for d in docs} - dropped
+
+
+def test_sketches_bound_the_similarity_of_sets():
+    rng = np.random.default_rng(5)
+    for n, m in [(0, 0), (0, 3), (1, 1), (7, 8), (40, 60), (500, 520), (4000, 3300)]:
+        both = rng.integers(0, 1 << 64, n, np.uint64)
+        for kept in (0.0, 0.3, 0.8, 1.0):
+            a = np.unique(both)
+            b = np.unique(np.concatenate([both[: int(kept * n)], rng.integers(0, 1 << 64, max(0, m - int(kept * n)), np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            like = common / max(1, len(a) + len(b) - common)
+            bound = shingle_join.most_like(shingle_join.sketch(a), shingle_join.sketch(b))
+            assert like <= bound <= 1
+            if n >= 500 and kept <= 0.3:
+                assert bound < 0.8
+    crowded = np.arange(300, dtype=np.uint64)  # all begin alike: a count that a byte doesn't hold bounds nothing
+    assert shingle_join.sketch(crowded) == b""
+    assert shingle_join.most_like(shingle_join.sketch(crowded), shingle_join.sketch(both)) == 1
+
+
+def test_a_group_around_one_text_needs_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            copy[at] = f"n{i}x{at}"
+        texts.append(" ".join(copy))
+    made, keep = [], shingle_join.written
+    monkeypatch.setattr(shingle_join, "written", lambda df, path: made.append(path) or keep(df, path))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_labels(texts)
+    pairs = spark.read.parquet(next(p for p in made if p.endswith("/pairs"))).count()
+    assert pairs < 5 * len(texts)  # all pairs are 80,200
