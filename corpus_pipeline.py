@@ -10,8 +10,8 @@ from regulith.llm.queries import public_model
 
 
 def _bounded(spark: SparkSession) -> None:
-    """Arrow batches of some 8 MB in this session: workers and executors hold a few copies of a batch of whole texts, and texts differ in length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Arrow batches of some 4 MB in this session: workers and executors hold a few copies of a batch of whole texts, and texts differ in length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
