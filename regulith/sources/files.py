@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable, Iterable
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from ..functions import text
 from .pdf import pdf_bytes, pdf_text
 
 SUFFIXES = (".txt", ".pdf", ".docx")
+#: Bytes or characters of results that are Python objects at once.
+PART = 4 << 20
 WORD_SPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -44,6 +47,18 @@ def docx_bytes(body: str) -> bytes:
     return packed.getvalue()
 
 
+def _array(rows: Iterable, kind: pa.DataType, size: Callable[[object], int]) -> pa.Array:
+    """Rows as an Arrow array, taken over in parts of some MB: no more of them than that are Python objects at once."""
+    parts, some, n = [], [], 0
+    for row in rows:
+        some.append(row)
+        n += size(row)
+        if n >= PART:
+            parts.append(pa.array(some, kind))
+            some, n = [], 0
+    return pa.concat_arrays([*parts, pa.array(some, kind)])
+
+
 def _read(path: str, data: bytes) -> tuple[str | None, str | None]:
     kind = path[path.rfind(".") :].lower()
     try:
@@ -67,8 +82,9 @@ def decoded(files: DataFrame) -> DataFrame:
     plain = kind == ".txt"
 
     def run(paths: pa.Array, contents: pa.Array) -> pa.Array:
-        done = (_read(p, d.as_py()) if d.is_valid else (None, None) for p, d in zip(paths.to_pylist(), contents))
-        return pa.array([{"text": t, "error": e} for t, e in done], pa.struct([("text", pa.string()), ("error", pa.string())]))
+        done = (_read(p.as_py(), d.as_py()) if d.is_valid else (None, None) for p, d in zip(paths, contents))
+        kind = pa.struct([("text", pa.string()), ("error", pa.string())])
+        return _array(({"text": t, "error": e} for t, e in done), kind, lambda r: 100 + len(r["text"] or ""))
 
     packed = F.arrow_udf(run, "struct<text: string, error: string>")(F.col("path"), F.when(kind.isin(".docx", ".pdf"), F.col("content")))
     bad = F.when(plain & ~F.is_valid_utf8(raw), "UnicodeDecodeError: not UTF-8").when(~kind.isin(*SUFFIXES), F.concat(F.lit("ValueError: Unsupported file type: "), kind))
@@ -86,7 +102,7 @@ def rendered(docs: DataFrame, kind: Column, name_col: str = "title", text_col: s
 
     def run(kinds: pa.Array, texts: pa.Array) -> pa.Array:
         write = {".docx": docx_bytes, ".pdf": pdf_bytes}
-        return pa.array([write[k](t.as_py()) if t.is_valid else None for k, t in zip(kinds.to_pylist(), texts)], pa.binary())
+        return _array((write[k.as_py()](t.as_py()) if t.is_valid else None for k, t in zip(kinds, texts)), pa.binary(), lambda b: 100 + len(b or b""))
 
     packed = F.arrow_udf(run, "binary")(F.col("__kind"), F.when(F.col("__kind").isin(".docx", ".pdf"), body))
     files = docs.withColumn("__kind", kind).withColumn("content", F.coalesce(packed, body.cast("binary"))).withColumn("path", F.concat(F.col(name_col), "__kind"))
