@@ -29,7 +29,8 @@ def batch_counts(docs: DataFrame, config: ScanConfig = ScanConfig(), text_col: s
     row = lambda dimension, value, n: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"), n.cast("long").alias("n"))
     hits = F.transform(F.filter("hits", lambda h: h["burden_type"].isin(*config.burden_types)), lambda h: row("by_type", h["burden_type"], h["n"]))
     whole = F.array(row("documents", F.lit(""), F.col("sec_pos") == 0), row("sections", F.lit(""), F.lit(1)))
-    return counted.select("source", F.explode(F.concat(whole, hits)).alias("x")).groupBy("source", "x.dimension", "x.value").agg(F.sum("x.n").alias("n")).where("n > 0")
+    each = counted.select("source", F.explode_outer(F.concat(whole, hits)).alias("x"))  # never empty; for an inner explode all rules would be counted twice
+    return each.groupBy("source", "x.dimension", "x.value").agg(F.sum("x.n").alias("n")).where("n > 0")
 
 
 def rollup_stream(docs: DataFrame, out: str, checkpoint: str, config: ScanConfig = ScanConfig(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", time_col: str | None = None, remember: str = "30 days", once: bool = True) -> StreamingQuery:
@@ -42,6 +43,9 @@ def rollup_stream(docs: DataFrame, out: str, checkpoint: str, config: ScanConfig
     new = seen.withWatermark(time_col, remember).dropDuplicatesWithinWatermark([id_col]) if time_col else seen.dropDuplicates([id_col])
 
     def batch(rows: DataFrame, number: int) -> None:
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:  # as many as the state has parts; the rules are bound by computing
+            rows = rows.repartition(cores)
         batch_counts(rows, config, text_col, source_col).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = new.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from regulith.operators import external, sections
+from regulith.functions import rx
+from regulith.operators import external, scan, sections
+from regulith.streaming import rollup
 
 
 def generated(frame, name):
@@ -35,3 +37,16 @@ def test_only_documents_that_are_shown_are_split_again(spark):
     few = external.paired(*map(split, sides), ["topic"], again=tuple(map(again, sides)))
     assert few.columns == plain.columns and sorted(few.collect()) == sorted(plain.collect()) and plain.count() == 3
     assert len(asked) == 2 and all(0 < len(ids) < 40 for ids in asked)
+
+
+def test_a_batch_counts_its_rules_once(spark):
+    docs = spark.createDataFrame([(1, "a", "Filing fee, in writing.")], "doc_id long, source string, text string")
+    plan = rollup.batch_counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "size(concat" in line]
+
+
+def test_few_roots_begin_with_common_characters():
+    wanted = sorted({x for r in scan.CATALOG for x in rx.needed_any(r.pattern)})
+    found = rx.roots(wanted)
+    assert set(found) == set(wanted) and all(root in x for x, root in found.items()) and len(set(found.values())) < 40
+    assert sum(rx.COMMON.get(root[0], 1) for root in set(found.values())) < 900  # 1,675 when roots were chosen by number alone
