@@ -2,8 +2,9 @@
 
 A sequence of n ascending numbers below u keeps the low bits of each, as many as
 log2(u / n), packed; and the rest as gaps in unary in a bit vector, with the number
-of ones, and that of zeros, before each of its 64-bit words. ``access`` selects a one; ``successor``
-selects the zeros round a bucket of equal high bits and searches its low bits.
+of ones, and that of zeros, before each of its 64-bit words, and the words of every HINT-th one and zero.
+``access`` selects a one; ``successor`` selects the zero before a bucket of equal high bits, goes on to the
+next one and searches the bucket's low bits.
 All lookups take arrays and are vectorised.
 """
 
@@ -16,7 +17,8 @@ import tempfile
 import numpy as np
 import pyarrow.fs
 
-_EACH_BYTE = np.uint64(0x0101010101010101)
+_EACH_BYTE, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+HINT = 32
 #: Byte, k → place of its k-th one.
 _PLACES = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[:8] for byte in range(256)], np.int64)
 
@@ -45,14 +47,22 @@ def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th one (from 0) in each word: the byte that holds it by sums of the bytes' counts, then its place in the byte."""
-    data = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-    counts = np.bitwise_count(data)
-    sums = (counts.view(np.uint64).ravel() * _EACH_BYTE).view(np.uint8).reshape(-1, 8)  # ones up to and in each byte
-    rest = k.astype(np.uint8)
-    byte = (sums <= rest[:, None]).sum(1)
-    at = np.arange(len(data)) * 8 + byte
-    before = sums.ravel()[at] - counts.ravel()[at]
-    return byte * 8 + _PLACES[data.ravel()[at], rest - before]
+    sums = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * _EACH_BYTE  # bytes: ones up to and in each byte
+    k = k.astype(np.uint64)
+    # a byte's top bit stays where no more than k ones end: no byte of the sums is above 64
+    shift = np.bitwise_count(((k * _EACH_BYTE | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+    before = ((sums << np.uint64(8)) >> shift) & np.uint64(255)
+    return shift.astype(np.int64) + _PLACES[(word >> shift) & np.uint64(255), k - before]
+
+
+def _trailing(words: np.ndarray) -> np.ndarray:
+    """Zeros below the lowest one of each word that isn't 0."""
+    return np.bitwise_count((words & (~words + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+
+
+def _hints(before: np.ndarray) -> np.ndarray:
+    """The word in which every HINT-th one (or zero) stands, given how many there are before each word."""
+    return (np.searchsorted(before, np.arange(0, int(before[-1]), HINT), side="right") - 1).astype(np.int32 if len(before) < 1 << 31 else np.int64)
 
 
 def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -66,25 +76,51 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view(np.uint64)
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-    return {"shape": np.array([n, low], np.int64), "low": pack(values & np.uint64((1 << low) - 1), low), "high": words, "ones": ones, "zeros": np.arange(len(ones), dtype=np.int64) * 64 - ones}
+    zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+    return {"shape": np.array([n, low], np.int64), "low": pack(values & np.uint64((1 << low) - 1), low), "high": words, "ones": ones, "zeros": zeros, "one_words": _hints(ones), "zero_words": _hints(zeros)}
 
 
 class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.width = (int(x) for x in arrays["shape"])
-        self.low, self.high, self.ones, self.zeros = (arrays[k] for k in ("low", "high", "ones", "zeros"))
+        self.low, self.high, self.ones, self.zeros, self.one_words, self.zero_words = (arrays[k] for k in ("low", "high", "ones", "zeros", "one_words", "zero_words"))
+
+    @staticmethod
+    def _word(before: np.ndarray, hints: np.ndarray, k: np.ndarray, steps: int = 3) -> np.ndarray:
+        """The word of each k-th: a few words on from the hint, or else searched for."""
+        word = hints[k // HINT].astype(np.int64)
+        for _ in range(steps):
+            more = before[word + 1] <= k
+            if not more.any():
+                return word
+            word += more
+        far = np.flatnonzero(before[word + 1] <= k)
+        word[far] = np.searchsorted(before, k[far], side="right") - 1
+        return word
 
     def _one(self, k: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, k, side="right") - 1
+        word = self._word(self.ones, self.one_words, k)
         return word * 64 + _select_in_word(self.high[word], k - self.ones[word])
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.zeros, k, side="right") - 1
+        word = self._word(self.zeros, self.zero_words, k)
         return word * 64 + _select_in_word(~self.high[word], k - self.zeros[word])
 
+    def _value(self, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((place - at).astype(np.uint64) << np.uint64(self.width)) | unpack(self.low, self.width, at)
+
     def access(self, at: np.ndarray) -> np.ndarray:
-        high = (self._one(at) - at).astype(np.uint64)
-        return (high << np.uint64(self.width)) | unpack(self.low, self.width, at)
+        return self._value(self._one(at), at)
+
+    def both(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries ``at``, and those after them, which there have to be."""
+        place = self._one(at)
+        after = place + 1
+        rest = self.high[after >> 6] >> (after & 63).astype(np.uint64)
+        after += _trailing(rest)
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._one(at[far] + 1)
+        return self._value(place, at), self._value(after, at + 1)
 
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
@@ -99,8 +135,11 @@ class Sequence:
         buckets = int(self.zeros[-1])
         over = high >= buckets
         high = np.where(over, 0, high)
-        begin = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        end = self._zero(high) - high
+        place = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0)  # of the bucket's first bit
+        begin, rest = place - high, ~self.high[place >> 6] >> (place & 63).astype(np.uint64)
+        end = begin + _trailing(rest)
+        far = np.flatnonzero(rest == 0)  # ones up to the word's end
+        end[far] = self._zero(high[far]) - high[far]
         end = np.minimum(np.where(over, self.n, end), self.n)
         begin = np.minimum(np.where(over, self.n, begin), end)
         low, top = begin.copy(), end.copy()
@@ -154,6 +193,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
         size += 64
     size += 64
     places = json.loads(bytes(data[:size]))
+    data = data.view(np.ndarray)  # as a plain array, whose parts keep the mapping
     return {name: data[size + at : size + at + n * np.dtype(kind).itemsize].view(kind) for name, (at, kind, n) in places.items()}
 
 

@@ -75,7 +75,7 @@ def token_blocks(texts: Iterable[bytes], most: int = BLOCK_TOKENS) -> Iterator[t
 def _block(words: list[bytes], ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = pa.array(words, pa.large_binary()).dictionary_encode().indices.to_numpy()
     new = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))  # where each different word comes first
-    hashes = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in new.tolist()), np.uint64, len(new))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(words.__getitem__, new.tolist())), np.uint64, len(new))
     distinct, place = np.unique(hashes, return_inverse=True)
     return distinct, place[codes], np.array(ends)
 
@@ -97,8 +97,8 @@ class Grams:
         at = np.flatnonzero(self.later)
         triples, self.triple, self.triple_times = np.unique(self.pair[at - 1] * size + place[at], return_inverse=True, return_counts=True)
         self.context, self.last = np.divmod(triples, size)  # the context's bigram, the token after it
-        # the bigram that ends a trigram
-        self.shorter = np.searchsorted(pairs, self.after[self.context] * size + self.last)
+        self.shorter = np.empty(len(triples), np.int64)  # the bigram that ends a trigram, the same wherever the trigram stands
+        self.shorter[self.triple] = self.pair[at]
 
 
 # Counting and building --------------------------------------------------------------------
@@ -219,8 +219,8 @@ class Vocabulary:
         shard = np.searchsorted(self.starts, numbers, side="right") - 1
         for a, b in zip(*(x.tolist() for x in _runs(shard))):
             at = numbers[a:b] - self.starts[shard[a]]
-            sums = opened[int(shard[a])][1]
-            out[a:b] = sums.access(at + 1) - sums.access(at)
+            before, after = opened[int(shard[a])][1].both(at)
+            out[a:b] = after - before
         return out
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +234,8 @@ class Vocabulary:
             at, known = tokens.successor(hashes[a:b] & np.uint64((1 << (64 - self.bits)) - 1))
             at = at[known]
             number[a:b][known] = starts[shard] + at
-            count[a:b][known] = (sums.access(at + 1) - sums.access(at)).astype(np.int64)
+            before, after = sums.both(at)
+            count[a:b][known] = (after - before).astype(np.int64)
         return number, count
 
 
@@ -364,7 +365,7 @@ class Level:
     def find(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry of each token after its context, and whether there is one. Runs of a context are looked up once."""
         at, end = _runs(context)
-        begin, stop = self.pointers.access(context[at]).astype(np.int64), self.pointers.access(context[at] + 1).astype(np.int64)
+        begin, stop = (x.astype(np.int64) for x in self.pointers.both(context[at]))
         carried = np.where(begin > 0, self.next.access(np.maximum(begin - 1, 0)).astype(np.int64), 0) if len(begin) else begin
         carried, stop = (np.repeat(x, end - at) for x in (carried, stop))
         place, equal = self.next.successor((carried + token + 1).astype(np.uint64))
@@ -374,7 +375,8 @@ class Level:
         return self.low + self.step * ef.unpack(self.codes, self.bits, entry).astype(float)
 
     def count(self, entry: np.ndarray) -> np.ndarray:
-        return (self.sums.access(entry + 1) - self.sums.access(entry)).astype(np.int64)
+        before, after = self.sums.both(entry)
+        return (after - before).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -440,7 +442,7 @@ class Model:
         """log10 p of the distinct trigrams of a block, from the logs of its distinct bigrams and the entries of the known ones."""
         out, last = log[grams.shorter], number[grams.last]
         # trigrams are in the order of their contexts, so those of one context are a run
-        ends = np.searchsorted(grams.context, np.arange(len(grams.before) + 1))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(grams.context, minlength=len(grams.before)))])
         for unit, pairs, entry in found:
             begin, size = ends[pairs], ends[pairs + 1] - ends[pairs]
             rows = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())

@@ -108,3 +108,19 @@ def test_a_common_pair_makes_no_large_unit(spark):
     some = [t.encode() for t in [*texts[:5], "of the w1 never seen", ""]]
     a, b = ([np.concatenate(x) for x in zip(*m.score(some))] for m in (cut, whole))
     assert all((x == y).all() for x, y in zip(a[:3], b[:3])) and np.abs(a[3] - b[3]).max() < 0.01 * np.abs(b[3]).max()
+
+
+def test_select_and_neighbours():
+    rng = np.random.default_rng(4)
+    words = np.concatenate([rng.integers(0, 1 << 64, 300, dtype=np.uint64) & rng.integers(0, 1 << 64, 300, dtype=np.uint64), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64)])
+    for word in words[words > 0]:
+        ones = [i for i in range(64) if int(word) >> i & 1]
+        assert elias_fano._select_in_word(np.full(len(ones), word), np.arange(len(ones))).tolist() == ones
+    # buckets and gaps of many words, far from any hint
+    for values in (np.repeat(np.array([5, 6, 900], np.uint64), [300, 1, 700]), np.array([0, 1, 1 << 20, (1 << 20) + 1], np.uint64), np.arange(0, 10**6, 7, dtype=np.uint64)):
+        arrays = elias_fano.build(values, (1 << 20) + 2)
+        s, at = elias_fano.Sequence(arrays), rng.permutation(len(values) - 1)
+        assert {len(arrays[k]) for k in ("one_words",)} == {-(-len(values) // elias_fano.HINT)}
+        assert all((x == values[at + i]).all() for i, x in enumerate(s.both(at)))
+        x = rng.integers(0, 1 << 20, 2000, dtype=np.uint64)
+        assert (s.successor(x)[0] == np.searchsorted(values, x)).all()
