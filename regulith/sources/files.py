@@ -8,6 +8,7 @@ doesn't end a scan; ``readable`` and ``errors`` part them. Ids are a hash of the
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterable
 from xml.etree import ElementTree
@@ -22,6 +23,8 @@ from .pdf import pdf_bytes, pdf_text
 SUFFIXES = (".txt", ".pdf", ".docx")
 #: Bytes or characters of results that are Python objects at once.
 PART = 4 << 20
+#: Characters that XML can't hold as they are, but for line ends.
+NOT_XML = re.compile("[\x00-\t\x0b-\x1f&<>\ud800-\udfff\ufffe\uffff]")
 WORD_SPACE = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -39,8 +42,8 @@ def docx_text(data: bytes) -> str:
 def docx_bytes(body: str) -> bytes:
     """A Word file with a paragraph for each line. Characters that XML can't hold become U+FFFD."""
     marks = {"\t": "</w:t><w:tab/><w:t xml:space=\"preserve\">", "&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;"}
-    own = lambda c: marks.get(c, "\ufffd" if c < " " or c in "\ufffe\uffff" or "\ud800" <= c <= "\udfff" else c)
-    lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{"".join(map(own, line))}</w:t></w:r></w:p>' for line in body.split("\n"))
+    held = NOT_XML.sub(lambda m: marks.get(m[0], "\ufffd"), body)
+    lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{line}</w:t></w:r></w:p>' for line in held.split("\n"))
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="{WORD_SPACE.strip("{}")}"><w:body>{lines}</w:body></w:document>')
